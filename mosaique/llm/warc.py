@@ -138,7 +138,7 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
                     out.append((head["WARC-Record-ID"], None if page is None else int(page), head.get("WARC-Target-URI"), kind, digest, len(payload), head.get("WARC-Refers-To")))
                 yield pd.DataFrame(out, columns=["record_id", "page_id", "url", "record_type", "payload_digest", "held_bytes", "refers_to_record"]).astype({"page_id": "Int64", "held_bytes": "int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").repartition(max(1, spark.sparkContext.defaultParallelism))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(parse, "record_id string, page_id long, url string, record_type string, payload_digest string, held_bytes long, refers_to_record string")
 
 
