@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEPS, SAMPLED, TABLES, MOST_TABLES, SPAN = 96, 7, 4, 16, 6
+STEPS, SAMPLED, TABLES, MOST_TABLES, SPAN = 96, 9, 8, 32, 6
 RATE, LSH_RATE, RECALL, SEED = 0.15, 0.1, 0.95, 11
 BLOCK_CHARS = 4 << 20
-LEAST_SAME = 0.4
+LEAST_SAME, GRAM = 0.4, 5
 SHORT = 24
 
 
@@ -78,10 +78,12 @@ class Embedding:
 
 
 def grams(s: np.ndarray) -> np.ndarray:
-    """16 bits of a hash of the four symbols from every place on."""
-    p = np.concatenate([s, np.zeros(3, np.uint8)]).astype("u4")
-    n = len(s)
-    return ((p[:n] * np.uint32(0x9E3779B1) ^ p[1 : n + 1] * np.uint32(0x85EBCA77) ^ p[2 : n + 2] * np.uint32(0xC2B2AE3D) ^ p[3 : n + 3] * np.uint32(0x27D4EB2F)) >> np.uint32(16)).astype("u2")
+    """14 bits of a hash of the ``GRAM`` symbols from every place on."""
+    p = np.concatenate([s, np.zeros(GRAM - 1, np.uint8)]).astype("u4")
+    h = np.zeros(len(s), "u4")
+    for k in range(GRAM):
+        h = (h ^ p[k : k + len(s)]) * np.uint32(0x9E3779B1)
+    return (h >> np.uint32(18)).astype("u2")
 
 
 def nearest(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -149,15 +151,24 @@ class Matcher:
                 keys.append((k[order], order, some))
             self.classes.append((e, np.array(own), np.array(where), outs, keys))
 
-    def may_hold(self, n: int, part: np.ndarray, allowed: int) -> bool:
-        """Whether a text with these grams can hold item ``n``: an edit spoils at most four grams, the others stay."""
-        table = self.tables.get(n)
-        if table is None:
-            if len(self.tables) >= 1024:
+    def may_hold(self, n: int, text_grams: np.ndarray, start: int, a: int, b: int, allowed: int) -> bool:
+        """Whether the part a..b of a text can hold item ``n`` from about ``start`` on.
+
+        An edit spoils at most GRAM of the item's grams and moves the others by one place, so that those of each quarter of
+        the item are still found near it; no item within ``allowed`` edits is missed.
+        """
+        item = self.items[n][1]
+        bounds = [len(item) * k // 4 for k in range(5)]
+        tables = self.tables.get(n)
+        if tables is None:
+            if len(self.tables) >= 512:
                 self.tables.clear()
-            table = self.tables[n] = np.zeros(1 << 16, bool)
-            table[grams(self.items[n][1])[:-3]] = True
-        return int(np.count_nonzero(table[part])) >= len(self.items[n][1]) - 3 - 4 * allowed
+            tables = self.tables[n] = np.zeros((4, 1 << 14), bool)
+            own = grams(item)[: 1 - GRAM]
+            for k in range(4):
+                tables[k][own[bounds[k] : bounds[k + 1]]] = True
+        there = sum(int(np.count_nonzero(tables[k][text_grams[max(a, start + bounds[k] - allowed - 1) : max(a, min(b, start + bounds[k + 1] + allowed + 1))]])) for k in range(4))
+        return there >= len(item) + 1 - GRAM - GRAM * allowed
 
     def candidates(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (item, place of the item's start in ``s``) that share a key and agree in over a third of the steps."""
@@ -212,7 +223,7 @@ class Matcher:
                     if b - a < len(item) - allowed or any(abs(start - x) <= 2 for x in tried[d, n]):
                         continue
                     tried[d, n].append(start)
-                    if not self.may_hold(n, whole_grams[a:b], allowed):
+                    if not self.may_hold(n, whole_grams, start, a, b, allowed):
                         continue
                     distance, end = nearest(item, whole[a:b])
                     if distance <= allowed and (d, n) not in best or (d, n) in best and distance < best[d, n][0]:
