@@ -424,3 +424,27 @@ def trial_ranking(spark, d):
     k = F.col("n_nationkey")
     t = read(spark, d, "nation").select(k.alias("trial"), F.round((k * 7 % 5) / 5.0, 6).alias("j"), (k * 3 % 4).cast("double").alias("dbi"), (k * 11 % 6).cast("double").alias("chi"))
     return t.select("trial", F.row_number().over(Window.orderBy(F.desc("j"), "dbi", F.desc("chi"), "trial")).alias("place"))
+
+
+# --- at scale -----------------------------------------------------------------------------------------------------------
+
+
+@query("""with base as (select *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as k from lineitem), sized as (select l_returnflag as lab, count(*) as size from lineitem group by 1),
+nums as (unpivot (select k, l_returnflag as own, l_quantity, l_discount, l_tax from base) on l_quantity, l_discount, l_tax into name f value x),
+rng as (select f, 1.0 / greatest(max(x) - min(x), 1e-9) as i from nums group by f), cell as (select f, x, own as lab, count(*) as c from nums group by 1, 2, 3),
+grid as (select f, x, lab, size, coalesce(c, 0) as c from (select distinct f, x from cell) cross join sized left join cell using (f, x, lab)),
+pre as (select *, sum(c) over w as n, sum(c * x) over w as s, sum(c * x) over (partition by f, lab) as t from grid window w as (partition by f, lab order by x rows unbounded preceding)),
+d as (select f, x, lab, (x * n - s + t - s - x * (size - n)) * i as d from pre join rng using (f)),
+flag as (select l_linestatus as v, l_returnflag as lab, count(*) as c from lineitem group by 1, 2), flags as (select v, lab, size - coalesce(c, 0) as d from (select distinct v from flag) cross join sized left join flag using (v, lab)),
+tot as (select k, own, lab, sum(d) as d from (select k, own, lab, d from nums join d using (f, x) union all select k, l_returnflag, lab, d from base join flags on v = l_linestatus) group by 1, 2, 3),
+ab as (select k, own, max(d / 4 / (size - 1)) filter (own = lab) as a, min(d / 4 / size) filter (own <> lab) as b from tot join sized using (lab) group by 1, 2)
+select own as label, count(*) as n, round(avg(case when greatest(a, b) <= 0 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from ab group by own""")
+def silhouette_lineitem(spark, d):
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in LINE_KEYS])
+    f = MixedFrame(_line(spark, d).withColumn("k", key), "k", ["l_quantity", "l_discount", "l_tax"], ["l_linestatus"], "l_returnflag")
+    return metrics.silhouette(f).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("silhouette"))
+
+
+@query(f"{_LONG}, g as (select feature, avg(x) as g from long group by feature) select feature, cluster, round(avg(x), 5) as mean, round(median(x), 5) as median, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 5) as iqr, round(avg(x) - any_value(g), 5) as diff_vs_global from long join g using (feature) group by 1, 2")
+def profile_lineitem(spark, d):
+    return profile.numeric(_line(spark, d), "l_returnflag", LINE_NUM)
