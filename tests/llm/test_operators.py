@@ -1,0 +1,286 @@
+import gzip
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mosaique.llm import common, decontaminate, embedding_dedup, html_text, licenses, packing, pii, quality, simhash, url_filters, warc
+from mosaique.llm.queries import URL_RULES, tokenizer_paths
+
+LONG = " ".join(f"word{k % 977}" for k in range(30000))
+#: Null in any column, empty, very long, repeated rows, and columns whose names clash with the operators' own.
+ODD = [(1, None, "x"), (2, "", None), (3, LONG, "x"), (3, LONG, "x"), (None, "short text", "y"), (4, "short text", "y"), (5, " \n\t ", "z")]
+KEY = b"test"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, fp string").withColumn("label", F.lit(1)).withColumn("key", F.lit("k")).withColumn("h", F.lit(None).cast("string"))
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def components(ids, links):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)]
+    want = components({x for e in edges if e[0] != e[1] for x in e}, edges)
+    got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame([*edges, (None, 5)], "a long, b long")).collect()}
+    assert got == want
+
+
+def test_surrogates(spark, odd, none):
+    text = "Mail Anna.B@mail.example.com or call +1 (308) 555-5864. Card 4111 1111 1111 1111, ip 10.20.30.40. Mrs. Smith met Mary Smith. password=569f672d50d5949088"
+    rows = [(1, text, "x"), (2, "anna.b@mail.example.com and +1 308 555 5864", "x"), (3, "clean words, 12 of them", None)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, kind string"), KEY).collect()}
+    assert got[3] == rows[2][1]
+    for gone in ("Anna.B", "555-5864", "4111 1111", "10.20.30.40", "Smith", "569f672d50d5949088"):
+        assert gone not in got[1]
+    a, b = pii.detect(got[1]), pii.detect(got[2])
+    assert [m.kind for m in a] == [m.kind for m in pii.detect(text)]
+    assert {m.norm for m in a if m.kind in ("email", "phone")} == {m.norm for m in b}
+    assert len({m.norm for m in a if m.kind.startswith("surname")}) == 1
+    out = pii.replace_entities(odd, KEY, count="n")
+    assert out.count() == len(ODD) and out.columns == [*odd.columns, "n"]
+    assert pii.replace_entities(none, KEY).count() == 0
+
+
+def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
+    plain = pii.surrogate
+    names = [f"198.51.{a}.{b}" for a in range(3) for b in range(40)]
+    entities = spark.createDataFrame([("ipv4", n) for n in names], "kind string, norm string")
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, norm, attempt=0: f"9.9.9.{sum(map(ord, norm)) % 3}" if attempt < 2 else plain(key, kind, norm, attempt))
+    got = pii.assign(entities, KEY).collect()
+    assert sorted(r["norm"] for r in got) == sorted(names)
+    new = [pii.surrogate(KEY, "ipv4", r["norm"], r["attempt"]) for r in got]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+
+
+def test_url_rules_and_aliases(spark):
+    pages = [
+        (0, "http://a.example.com/en/1", ""), (1, "http://a.example.com/en/7x", ""), (2, "HTTP://B.Net/de/x?q", ""), (3, "http://example.net/de/8", ""),
+        (4, "http://alias.io/page", '<link rel="canonical" href="http://www.spam.com/en/3">'), (5, "http://two.io/", '<meta http-equiv="refresh" content="0;url=http://alias.io/page">'),
+        (6, "http://mixed.io/", '<link rel=canonical href="http://alias.org/q">'), (7, None, None), (8, "no scheme", ""), (9, "http://free.io/x", ""), (9, "http://free.io/x", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("node", F.lit(1)).withColumn("rule", F.lit("r"))
+    redirects = spark.createDataFrame([("http://alias.org/q", "http://x.net/de/1"), ("http://alias.org/q", "http://y.org/es/")], "src string, dst string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(df, URL_RULES, redirects).collect()}
+    assert got[0] == ("a.example.com", "/en/1", "com/en/", "block")
+    assert got[1] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
+    assert got[2] == ("b.net", "/de/x", "net/de/", "allow")
+    assert got[3] == ("example.net", "/de/8", "example.net/de/8", "block")
+    assert got[4] == ("alias.io", "/page", None, "block") and got[5][3] == "block"
+    assert got[6][3] == "allow"
+    assert got[7] == ("", "", None, "allow") and got[8] == got[7] and got[9][3] == "allow"
+    assert url_filters.judge_urls(df, URL_RULES).count() == len(pages)
+    assert url_filters.judge_urls(df.limit(0), URL_RULES).count() == 0
+    many = [*URL_RULES, *[("block", f"h{k}.test", "/") for k in range(40)]]
+    joined = {r["page_id"]: r["rule"] for r in url_filters.judge_urls(df, many).collect()}
+    assert all(joined[k] == got[k][2] for k in got)
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/", "same"), (2, "http://b/\r\nx", "same"), (3, None, ""), (4, "http://d/", None), (5, "http://e/", "é\r\n\r\nWARC/1.1\r\n" * 3), (7, "http://f/", "one"), (7, "http://f/", "one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("k", F.lit(0)).withColumn("payload_digest", F.lit(""))
+    got = {}
+    for r in warc.round_trip(df).collect():
+        got.setdefault(r["page_id"], []).append((r["payload_bytes"], r["record_type"], r["refers_to"]))
+    assert got[1] == [(4, "revisit", 2)] and got[2] == [(4, "response", None)]
+    assert got[3] == [(0, "revisit", 4)] and got[4] == [(0, "response", None)]
+    assert got[5] == [(len(rows[4][2].encode()), "response", None)]
+    assert sorted(got[7], key=str) == sorted([(3, "revisit", 7), (3, "response", None)], key=str)
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_parser_goes_by_length():
+    record = b"WARC/1.1\r\nContent-Length: 9\r\n\r\n\r\n\r\nWARC/\r\n\r\n"
+    assert [b for _, b in warc.parse_warc(gzip.decompress(gzip.compress(record * 2)))] == [b"\r\n\r\nWARC/"] * 2
+
+
+def test_licences(spark, odd, none):
+    text = "Some words.\nLicensed under the Apache Licence, Version 2.0.\nmore. Released under the MIT License. All rights reserved"
+    got = licenses.scan(text, licenses.Index(licenses.TEMPLATES))
+    assert [g[0] for g in got] == ["Apache-2.0", "MIT", "All-rights-reserved"]
+    assert text[got[1][2] : got[1][3]] == "Released under the MIT License"
+    assert got[0][1] == pytest.approx(6 / 7) and got[1][1] == 1.0
+    assert licenses.scan("the work is under a license of the version", licenses.Index(licenses.TEMPLATES)) == []
+    assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_leaks(spark, odd, none):
+    rng = np.random.default_rng(0)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, prose(40)) for k in range(30)] + [(100, "tiny item"), (101, None), (102, "")]
+    docs = [(k, f"{prose(100)} {items[k][1].upper()} {prose(50)}", "x") for k in range(10)]
+    docs += [(k, f"{prose(100)} {bytes(decontaminate.mutate(decontaminate.symbols(items[k][1]), len(items[k][1]) // 20, rng)).decode('latin-1')} {prose(9)}", "x") for k in range(10, 30)]
+    docs += [(50 + k, prose(300), "x") for k in range(30)] + [(99, "a tiny item here", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(df, bench).collect()}
+    assert {(k, k) for k in range(10)} <= set(got) and (99, 100) in got
+    assert sum((k, k) in got for k in range(10, 30)) >= 18
+    assert all(d == i or (d, i) == (99, 100) for d, i in got)
+    texts = {d: t for d, t, _ in docs}
+    for (d, i), r in list(got.items())[:12]:
+        part = texts[d][r["start"] : r["end"]].lower()
+        assert edit_distance(part, dict(items)[i].lower()) == r["distance"]
+    assert decontaminate.find_leaks(odd, bench).count() == 0
+    assert decontaminate.find_leaks(none, bench).count() == 0
+    assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_quality(spark, odd, none):
+    rng = random.Random(2)
+    words = "the of and to in a is that house river stone walks under bright field tomorrow never quick garden letter".split()
+    good = [" ".join(rng.choice(words) for _ in range(60)).capitalize() + ", and so it is." for _ in range(150)]
+    bad = [" ".join(rng.choice(words).upper() + "!!" for _ in range(60)) for _ in range(25)] + ["spam " * 60 for _ in range(5)] + [" ".join(rng.choice(words) + rng.choice(["%%%", "$$$", "###"]) for _ in range(60)) for _ in range(20)]
+    rows = [(k, t, 0) for k, t in enumerate(good + bad)]
+    got = {r["doc_id"]: r["accepted"] for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string, votes int")).collect()}
+    assert all(got[k] for k in range(150)) and not any(got[k] for k in range(150, 200))
+    out = quality.classify(odd).collect()
+    assert len(out) == len(ODD) and not any(r["accepted"] for r in out if r["doc_id"] in (1, 2, 5))
+    assert quality.classify(none).count() == 0 and quality.accept(none).count() == 0
+
+
+def test_em_finds_the_wrong_labeller():
+    rng, patterns = random.Random(3), {}
+    for _ in range(5000):
+        y = rng.random() < 0.8
+        p = "".join("2" if (y if rng.random() < a else not y) else "0" for a in (0.95, 0.9, 0.9, 0.55))
+        patterns[p] = patterns.get(p, 0) + 1
+    _, table = quality.fit_labellers(patterns)
+    right = [(table[k][1][2] * 0.8 + table[k][0][0] * 0.2) for k in range(4)]
+    assert right[0] == pytest.approx(0.95, abs=0.03) and right[3] == pytest.approx(0.55, abs=0.05)
+
+
+def test_packing_round_trip(spark, odd, none):
+    path, ranks = tokenizer_paths()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    docs = [*ODD, (9, "Tricky <|endoftext|> ünïcode 中文 ɐ 'll  spaces\n\n\tend ", "q"), *[(100 + k, f"text {k} " * (k % 90), "q") for k in range(300)]]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string, piece string"), path, ranks).collect()
+    by_doc, by_seq = {}, {}
+    for r in got:
+        assert r["length"] * 4 == len(r["tokens"])
+        by_doc.setdefault(r["doc_id"], []).append((r["piece"], r["start"], np.frombuffer(r["tokens"], "<u4").tolist()))
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for doc, text, _ in docs:
+        if doc in (3, None):
+            continue
+        want = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        parts = sorted(by_doc[doc])
+        assert list(itertools.chain(*[p[2] for p in parts])) == want
+        assert [p[1] for p in parts] == list(itertools.accumulate([0, *[len(p[2]) for p in parts[:-1]]]))
+        assert all(len(p[2]) == 2048 for p in parts[1:])
+    for places in by_seq.values():
+        places.sort()
+        assert [p[0] for p in places] == list(itertools.accumulate([0, *[p[1] for p in places[:-1]]])) and sum(p[1] for p in places) <= 2048
+    total = sum(len(r["tokens"]) // 4 for r in got)
+    assert len(by_seq) <= 1.1 * total / 2048 + 8
+    r = packing.digest(packing.pack_documents(odd.where("doc_id = 2"), path)).first()
+    assert r["ids_crc32"] == zlib.crc32(b"\0\0\0\0") and r["length"] == 1
+    assert packing.pack_documents(none, path).count() == 0
+
+
+def test_bins_close_the_fullest():
+    bins = packing.Bins(10, 1)
+    assert bins.add(6, "a") is None
+    assert [x[0] for x in bins.add(7, "b")[1:]] == ["b"]
+    assert [x[0] for x in bins.add(4, "c")[1:]] == ["a", "c"]
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((30, 16))
+    vs = [(k, (base[k % 30] + 0.02 * rng.standard_normal(16) * (k // 30)).tolist(), k % 30 % 3) for k in range(240)]
+    vs += [(1000, vs[0][1], 0), (1001, vs[0][1], 1), (1002, None, 0), (1003, [0.0] * 16, 0), (1004, [float("nan")] * 16, 0), (1005, vs[0][1], None), (1006, [None] * 16, 0), (1007, [1e200] * 16, 2), (1008, [1e-200] * 16, 2)]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>, label int").withColumn("class", F.lit("c")).withColumn("n", F.lit(1))
+    good = {k: (np.array(v, float) / np.abs(v).max(), lab) for k, v, lab in vs if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)}
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    links = [(a, b) for a, b in itertools.combinations(good, 2) if good[a][1] == good[b][1] and cos(good[a][0], good[b][0]) >= 0.98]
+    want = components([v[0] for v in vs], links)
+    got = {r["vec_id"]: r for r in embedding_dedup.link_embeddings(df, block=32).collect()}
+    assert len(links) > 100 and len(got) == len(vs)
+    for k, r in got.items():
+        assert r["component_id"] == want[k] and r["kept"] == (want[k] == k)
+        assert r["n_links"] == sum(k in e for e in links)
+    assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
+
+
+def test_embedding_count_is_calibrated():
+    width, need = embedding_dedup.plan(0.98)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((400, 64))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * z
+    i, j = embedding_dedup.similar_pairs(x, y, 0.98, embedding_dedup.directions(64), width, need, False)
+    assert (i == j).sum() >= 0.99 * 400
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=x>menu</a></li></ul></nav>
+<!-- note --><div class="ad">Buy now.</div><article><h1>Head &amp; title</h1><p><b>First  one.<br><p>Second&nbsp;para,
+with &lt;b&gt; text.</p><div class="comments"><p>Nice!</p></div></article><aside>side</aside><form><p>Name</p></form><footer>&copy; x</footer></body>"""
+
+
+def test_html(spark):
+    assert html_text.main_text(PAGE) == "Head & title\n\nFirst one.\n\nSecond para, with <b> text."
+    plain = "<div class=nav><a href=a>Home</a> <a href=b>About</a></div>" + "".join(f"<div><p>This is paragraph {k}, which is long enough, and has points. It goes on.</p></div>" for k in range(4)) + "<ul><li><a href=c>More</a></li></ul>"
+    got = html_text.main_text(plain)
+    assert got.count("paragraph") == 4 and "Home" not in got and "More" not in got
+    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", PAGE), (3, "u", "<p>" * 3000 + "x"), (3, "u", "<a <b <!--")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    rows = html_text.extract_text(df).collect()
+    assert len(rows) == 5 and all(r["n_chars"] == len(r["text"]) for r in rows)
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_simhash(spark, odd, none):
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(200)]
+    for f in fps[:60]:
+        for _ in range(5):
+            fps.append(f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in [*fps, 0, 1, 7, 15]})
+    want = components(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
+    got = {r["fp"]: r["label"] for r in simhash.link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+    assert groups(got) == groups(want)
+    rows = simhash.simhash_groups(odd).collect()
+    assert len(rows) == len(ODD)
+    assert {r["doc_id"]: r["component_id"] for r in rows}[5] == 1
+    assert {r["fingerprint"] for r in rows if r["doc_id"] in (1, 2, 5)} == {"0" * 16}
+    assert {r["component_id"] for r in rows if r["doc_id"] in (None, 4)} == {4}
+    assert simhash.simhash_groups(none).count() == 0
