@@ -120,12 +120,8 @@ def lnc_star(f: MixedFrame, landmarks: DataFrame, k: int, classes: int, alpha: f
     return entropy.join(gaps, "landmark").select("landmark", F.round(alpha * nc + (1 - alpha) * delta, 6).alias("lnc"))
 
 
-def silhouette(f: MixedFrame) -> DataFrame:
-    """Exact Gower silhouette (key, label, s) of every row in O(n log n) per column.
-
-    The distance to a cluster is a mean over columns: of a category by its counts, of a number by prefix sums over its
-    distinct values. Distances to all clusters of a (column, value) are computed once and joined back to the rows.
-    """
+def _cluster_sums(f: MixedFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows unpivoted, sums of distances of each (column, value) to each cluster, and the clusters' sizes."""
     base = f.clean
     sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     columns = f.num + f.cat
@@ -144,6 +140,17 @@ def silhouette(f: MixedFrame) -> DataFrame:
     if f.cat:
         parts.append(full.where(F.col("f").isin(f.cat)).select("f", "x", "v", "label", (F.col("size") - F.col("c")).cast("double").alias("d")))
     sums = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return long, sums, sizes
+
+
+def silhouette(f: MixedFrame) -> DataFrame:
+    """Exact Gower silhouette (key, label, s) of every row in O(n log n) per column.
+
+    The distance to a cluster is a mean over columns: of a category by its counts, of a number by prefix sums over its
+    distinct values. Distances to all clusters of a (column, value) are computed once and joined back to the rows.
+    """
+    long, sums, sizes = _cluster_sums(f)
+    columns = f.num + f.cat
     per_value = sums.groupBy("f", "x", "v").agg(F.map_from_entries(F.collect_list(F.struct("label", "d"))).alias("to"))
     met = long.join(per_value, ["f", "x", "v"]).select("key", "label", F.explode("to").alias("other", "d"))
     to = met.groupBy("key", "label", "other").agg((F.sum("d") / len(columns)).alias("d")).join(sizes.withColumnsRenamed({"label": "other", "size": "m"}), "other")
@@ -152,6 +159,23 @@ def silhouette(f: MixedFrame) -> DataFrame:
     return ab.select("key", "label", F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
 
 
+def silhouette_parts(f: MixedFrame) -> DataFrame:
+    """Per row the mean distance in each column to its own cluster (a_0, a_1, ...) and to each other one (others).
+
+    The silhouette over any subset of the columns is then a sum of some of these.
+    """
+    long, sums, sizes = _cluster_sums(f)
+    columns = f.num + f.cat
+    code = F.create_map(*[x for k, c in enumerate(columns) for x in (F.lit(c), F.lit(k))])
+    to = sums.join(sizes.withColumnRenamed("size", "m"), "label").groupBy("f", "x", "v").agg(F.collect_list(F.struct("label", "d", "m")).alias("to"))
+    met = long.join(to, ["f", "x", "v"]).select("key", "label", code[F.col("f")].alias("i"), F.explode("to").alias("t"))
+    own = F.col("label") == F.col("t.label")
+    met = met.select("key", "label", F.col("t.label").alias("other"), "i", F.when(own, F.col("t.d") / F.greatest(F.lit(1), F.col("t.m") - 1)).otherwise(F.col("t.d") / F.col("t.m")).alias("d"))
+    each = met.groupBy("key", "label", "other").agg(*[F.max(F.when(F.col("i") == k, F.col("d"))).alias(f"d{k}") for k in range(len(columns))])
+    mine = F.col("label") == F.col("other")
+    return each.groupBy("key").agg(*[F.max(F.when(mine, F.col(f"d{k}"))).alias(f"a_{k}") for k in range(len(columns))], F.collect_list(F.when(~mine, F.array(*[F.col(f"d{k}") for k in range(len(columns))]))).alias("others"))
+
+
 def davies_bouldin(df: DataFrame, label: str, num: list[str]) -> DataFrame:
     """Mean over clusters of the worst (scatter + scatter) / centroid distance; two passes over the rows, clusters are few."""
     centre = df.groupBy(label).agg(*[F.avg(c).alias(f"m_{c}") for c in num])

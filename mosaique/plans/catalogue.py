@@ -448,3 +448,10 @@ def silhouette_lineitem(spark, d):
 @query(f"{_LONG}, g as (select feature, avg(x) as g from long group by feature) select feature, cluster, round(avg(x), 5) as mean, round(median(x), 5) as median, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 5) as iqr, round(avg(x) - any_value(g), 5) as diff_vs_global from long join g using (feature) group by 1, 2")
 def profile_lineitem(spark, d):
     return profile.numeric(_line(spark, d), "l_returnflag", LINE_NUM)
+
+
+@query()
+def end_to_end(spark, d):
+    from .pipeline import Params, run_pipeline
+
+    return run_pipeline(read(spark, d, "part").drop("p_name"), "p_partkey", "p_type", params=Params(sa_iters=8, c_max=3)).get("assignments")

@@ -122,3 +122,14 @@ def test_composite_penalises_tiny_clusters():
 def test_empty_frame(spark):
     df = spark.createDataFrame(pd.DataFrame({"label": pd.Series([], dtype="str")}), "label string")
     assert profile.sizes(df, "label").count() == 0
+
+
+def test_pipeline_writes_its_artifacts(spark, tmp_path):
+    from mosaique.plans.pipeline import Params, run_pipeline
+
+    rows = [(i, 10.0 * (i % 2) + (i * 37 % 100) / 100, float(i * 61 % 97), ["a", "b"][i % 2], 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, noise double, c string, const double")
+    out = run_pipeline(df, outdir=str(tmp_path / "out"), params=Params(c_max=3, sa_iters=6, mab_T=5))
+    assert out["dropped"] == ["const"] and out["assignments"].count() == 200
+    names = {p.name for p in (tmp_path / "out").iterdir()}
+    assert names >= {"cluster_assignments", "dqc_report", "config.json", "features.json", "metrics_internal.json", "profiles.json", "profiles.md", "summary.xlsx"}
