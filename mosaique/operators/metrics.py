@@ -147,15 +147,23 @@ def silhouette(f: MixedFrame) -> DataFrame:
     """Exact Gower silhouette (key, label, s) of every row in O(n log n) per column.
 
     The distance to a cluster is a mean over columns: of a category by its counts, of a number by prefix sums over its
-    distinct values. Distances to all clusters of a (column, value) are computed once and joined back to the rows.
+    distinct values. Distances to all clusters of a (column, value) are computed once and joined back to the rows, column by
+    column, without a shuffle of the rows where the distinct values are few. Clusters are literals of the plan.
     """
-    long, sums, sizes = _cluster_sums(f)
-    columns = f.num + f.cat
-    per_value = sums.groupBy("f", "x", "v").agg(F.map_from_entries(F.collect_list(F.struct("label", "d"))).alias("to"))
-    met = long.join(per_value, ["f", "x", "v"]).select("key", "label", F.explode("to").alias("other", "d"))
-    to = met.groupBy("key", "label", "other").agg((F.sum("d") / len(columns)).alias("d")).join(sizes.withColumnsRenamed({"label": "other", "size": "m"}), "other")
-    own = F.col("label") == F.col("other")
-    ab = to.groupBy("key", "label").agg(F.max(F.when(own & (F.col("m") > 1), F.col("d") / (F.col("m") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("m"))).alias("b"))
+    _, sums, sizes = _cluster_sums(f)
+    sums = sums.persist()
+    counts = {r["label"]: r["size"] for r in sizes.collect()}
+    rows = f.clean
+    for i, c in enumerate(f.num + f.cat):
+        # Rows stay where they are while a column's table of distinct values is small enough to broadcast.
+        to = sums.where(F.col("f") == c).groupBy("x", "v").agg(F.map_from_entries(F.collect_list(F.struct("label", "d"))).alias(f"_m{i}"))
+        value = F.coalesce(F.col(c), F.lit(0.0)) if c in f.num else F.col(c)
+        rows = rows.join(to.select(F.col("x" if c in f.num else "v").alias(f"_v{i}"), f"_m{i}"), value == F.col(f"_v{i}"))
+    p = len(f.num) + len(f.cat)
+    total = lambda label: sum((F.col(f"_m{i}")[label] for i in range(1, p)), F.col("_m0")[label]) / p
+    own = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(n))])[F.col("label")]
+    others = F.array(*[F.when(F.col("label") != k, total(F.lit(k)) / n) for k, n in counts.items()])
+    ab = rows.select(F.col(f.key).alias("key"), "label", F.when(own > 1, total(F.col("label")) / (own - 1)).alias("a"), F.array_min(others).alias("b"))
     return ab.select("key", "label", F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
 
 
