@@ -46,3 +46,9 @@ def huber(df: DataFrame, x: str, y: str, epsilon: float = 1.35) -> tuple[float,
 
     model = LinearRegression(featuresCol="_x", labelCol=y, loss="huber", epsilon=epsilon).fit(VectorAssembler(inputCols=[x], outputCol="_x").transform(pairs_of(df, x, y)))
     return float(model.coefficients[0]), float(model.intercept)
+
+
+def summary(predicted: DataFrame, y: str) -> DataFrame:
+    """Of leave-one-out predictions: their number, mean and root mean square error, and correlation with the truth."""
+    e = F.col("pred") - F.col(y)
+    return predicted.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(e)), 5).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"), F.round(F.corr("pred", y), 5).alias("r"))

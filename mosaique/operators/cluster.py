@@ -127,3 +127,76 @@ def nrd0(df: DataFrame, column: str) -> DataFrame:
     iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
     low = F.when((iqr > 0) & (iqr < F.col("s")), iqr).otherwise(F.col("s"))
     return s.select(F.round(0.9 * F.when(low > 0, low).otherwise(1.0) * F.pow(F.col("n").cast("double"), F.lit(-0.2)), 6).alias("bandwidth"))
+
+
+def balanced(f: MixedFrame, k: int, least: float = 0.02, retries: int = 3, seed: int = 42) -> DataFrame:
+    """k-prototypes (k-means or k-modes by the columns there are), retried with other seeds while a cluster is tiny; of
+    unbalanced results that with the greatest smallest cluster stays."""
+    best: tuple[int, DataFrame | None] = (-1, None)
+    for turn in range(retries + 1):
+        labels = k_prototypes(f, k, seed=seed + turn)[0]
+        sizes = [r["count"] for r in labels.groupBy("cluster").count().collect()]
+        small = min(sizes) if len(sizes) == k else 0
+        best = max(best, (small, labels), key=lambda x: x[0])
+        if small >= max(3, int(least * f.n)):
+            break
+    return best[1]
+
+
+def split_to(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """Splits the largest cluster (of equals the first) in two, again and again, until there are k; clusters below 4 rows,
+    and those whose rows are all alike, stay whole."""
+    while True:
+        sizes = {r["cluster"]: r["count"] for r in labels.groupBy("cluster").count().collect()}
+        if len(sizes) >= k:
+            return labels
+        big = min(sizes, key=lambda c: (-sizes[c], c))
+        if sizes[big] < 4:
+            return labels
+        part = MixedFrame(f.df.join(labels.where(F.col("cluster") == big), f.key, "left_semi"), f.key, f.num, f.cat)
+        halves, prototypes, _ = k_prototypes(part, 2, seed=seed, starts=1)
+        halves = halves.withColumnRenamed("cluster", "_half")
+        if halves.select("_half").distinct().count() < 2:
+            return labels
+        new = max(sizes) + 1
+        labels = labels.join(halves, f.key, "left").select(f.key, F.when(F.col("_half") == 1, F.lit(new)).otherwise(F.col("cluster")).alias("cluster")).persist()
+
+
+def propagate(f: MixedFrame, known: DataFrame, label: str) -> DataFrame:
+    """(key, label) of the nearest labelled row by Euclidean distance of the numbers (of equals the smallest key).
+
+    ``known`` is a sample whose size is a parameter; rows stream past it in blocks.
+    """
+    import numpy as np
+
+    from .landmarks import MOST_BROADCAST
+
+    some = known.select(f.key, label, *[F.col(c).cast("double").alias(c) for c in f.num]).orderBy(f.key).toPandas()
+    if some.memory_usage(deep=True).sum() > MOST_BROADCAST:
+        raise ValueError("labelled sample beyond the broadcast bound")
+    to, names, num, key = some[f.num].to_numpy(float), some[label].to_numpy(), f.num, f.key
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                rows = batch.iloc[at : at + 2048]
+                d = np.zeros((len(rows), len(to)))
+                for i, c in enumerate(num):
+                    d += (rows[c].to_numpy()[:, None] - to[None, :, i]) ** 2
+                yield rows[[key]].assign(**{label: names[d.argmin(axis=1)]})
+
+    kind = dict(known.dtypes)[label]
+    return f.clean.select(key, *num).mapInPandas(run, f"{key} long, {label} {kind}")
+
+
+def smooth_counts(counts: DataFrame, label: str, level: str, b: float = 0.025) -> DataFrame:
+    """(label, level, share) of counts ``c`` over the whole grid, lent first to other labels, then to other levels."""
+    from pyspark.sql import Window
+
+    grid = counts.select(label).distinct().crossJoin(counts.select(level).distinct()).join(counts, [label, level], "left").fillna(0, ["c"])
+    per_level, per_label = Window.partitionBy(level), Window.partitionBy(label)
+    sized = grid.withColumn("k", F.count(F.lit(1)).over(per_level)).withColumn("m", F.count(F.lit(1)).over(per_label))
+    lend = lambda x, total, n: (1 - b) * x + b / F.greatest(n - 1, F.lit(1)) * (total - x)
+    across = sized.withColumn("x", lend(F.col("c").cast("double"), F.sum("c").over(per_level), F.col("k")))
+    along = across.withColumn("y", lend(F.col("x"), F.sum("x").over(per_label), F.col("m")))
+    return along.select(label, level, F.round(F.col("y") / F.sum("y").over(per_label), 6).alias("share"))

@@ -212,3 +212,42 @@ def composite(sizes: list[int], lsil_score: float, lnc: float, weight: float = 0
     mean = n / k
     cv = math.sqrt(sum((s - mean) ** 2 for s in sizes) / k) / mean
     return base - 0.5 * tiny - 0.1 * max(0.0, cv - 1) - 0.02 * math.log(max(2, k))
+
+
+def cosine_silhouette(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    """Exact silhouette (key, label, s) by cosine distance, from the sums of the labels' unit vectors: no pairs.
+
+    The mean distance to a label is 1 less the product with its mean unit vector; labels are few rows.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    v = F.col(vector)
+    unit = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))).alias("u"))
+    place = unit.select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    sums = place.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("t"), F.max("n").alias("m"))
+    every = sums.agg(F.collect_list(F.struct(F.col("label").alias("l"), "t", "m")).alias("every"))
+    met = unit.crossJoin(F.broadcast(every) if sums.count() <= 10_000 else every)
+    far = lambda e: F.struct(e["l"].alias("l"), e["m"].alias("m"), (e["m"] - dot(F.col("u"), e["t"])).alias("d"))
+    met = met.select("key", "label", F.transform("every", far).alias("e"))
+    own = F.filter("e", lambda e: e["l"] == F.col("label"))[0]
+    b = F.array_min(F.transform(F.filter("e", lambda e: e["l"] != F.col("label")), lambda e: e["d"] / e["m"]))
+    ab = met.select("key", "label", F.when(own["m"] > 1, own["d"] / (own["m"] - 1)).alias("a"), b.alias("b"))
+    return ab.select("key", "label", F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+
+
+def cost_to_set(f: MixedFrame, to: DataFrame, k: int = 3) -> DataFrame:
+    """(key, mean_d, min_d, topk_d): mean, least, and mean of the ``k`` least distances to a small set, itself left out."""
+    some = to.select(f.key, *f.num, *f.cat).toPandas()
+    if some.memory_usage(deep=True).sum() > MOST_BROADCAST:
+        raise ValueError("set beyond the broadcast bound")
+    num, cat, stats, key = f.num, f.cat, f.stats, f.key
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                rows = batch.iloc[at : at + 2048]
+                d = gower_block(rows, some, num, cat, stats)
+                d[rows[key].to_numpy()[:, None] == some[key].to_numpy()[None, :]] = np.inf
+                got = {name: group_distance(d, mode, k) for name, mode in (("mean_d", "mean"), ("min_d", "min"), ("topk_d", "topk"))}
+                yield rows[[key]].assign(**{c: np.round(np.where(np.isfinite(v), v, 0.0), 6) for c, v in got.items()})
+
+    return f.clean.mapInPandas(run, f"{key} long, mean_d double, min_d double, topk_d double")

@@ -455,3 +455,6 @@ def end_to_end(spark, d):
     from .pipeline import Params, run_pipeline
 
     return run_pipeline(read(spark, d, "part").drop("p_name"), "p_partkey", "p_type", params=Params(sa_iters=8, c_max=3)).get("assignments")
+
+
+from . import selection  # noqa: E402, F401  (registers further queries with the decorator above)
