@@ -50,9 +50,9 @@ def consistency(f: MixedFrame, columns: list[str], c: float = 3.0, k: int = 50,
     return math.nan if got is None else got
 
 
-def composite_score(f: MixedFrame, c: float = 3.0, weight: float = 0.6, seed: int = 42) -> float:
+def composite_score(f: MixedFrame, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42) -> float:
     sizes = [r["count"] for r in f.df.groupBy(f.label).count().collect()]
-    ss = metrics.landmark_scores(f, metrics.landmarks_of(f, c, seed)).agg(F.avg("s")).first()[0]
+    ss = metrics.landmark_scores(f, metrics.landmarks_of(f, c, seed), k=topk).agg(F.avg("s")).first()[0]
     return metrics.composite(sizes, ss, math.nan, weight)
 
 
@@ -70,20 +70,23 @@ def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int =
     return out
 
 
-def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, seed: int = 42) -> Trial:
-    """Best composite score. Algorithms whose mean over the first and last k is worse than the best one's by ``screen`` are
-    not tried on the other numbers of clusters."""
+def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42) -> tuple[Trial, list[Trial]]:
+    """Best composite score, and all trials. Algorithms whose mean over the first and last k is worse than the best one's by
+    ``screen`` are not tried on the other numbers of clusters. Of equal scores the fewest clusters stay."""
+
+    def scored(names: tuple[str, ...], some: list[int]) -> list[Trial]:
+        found = trials_of(f, names, some, seed)
+        for t in found:
+            t.score = composite_score(labelled(f, t.labels), c, weight, topk, seed)
+        return found
+
     few = sorted({ks[0], ks[-1]})
-    first = trials_of(f, algorithms, few, seed)
-    for t in first:
-        t.score = composite_score(labelled(f, t.labels), seed=seed)
+    first = scored(algorithms, few)
     mean = {a: sum(t.score for t in first if t.algorithm == a) / n for a in algorithms if (n := sum(t.algorithm == a for t in first))}
     if not mean:
         raise ValueError("no clustering with two clusters or more was found")
-    rest = trials_of(f, tuple(a for a in mean if mean[a] >= max(mean.values()) - screen), [k for k in ks if k not in few], seed)
-    for t in rest:
-        t.score = composite_score(labelled(f, t.labels), seed=seed)
-    return max(first + rest, key=lambda t: (t.score, -t.k))
+    every = first + scored(tuple(a for a in mean if mean[a] >= max(mean.values()) - screen), [k for k in ks if k not in few])
+    return max(every, key=lambda t: (t.score, -t.k)), every
 
 
 def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), anchor_least: float = 0.5, overall_least: float = 0.5, rows: int = 10_000, seed: int = 42) -> tuple[Trial, list[Trial]]:
@@ -99,14 +102,22 @@ def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ..
         best = max(good, key=lambda t: (t.anchored, -t.k))
         best.by_anchor, best.score = True, best.anchored
         return best, found
-    return search(f, algorithms, ks, seed=seed), found
+    return search(f, algorithms, ks, seed=seed)[0], found
+
+
+def choose(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...], ks: range, anchor_least: float, overall_least: float, c: float, weight: float, topk: int, seed: int) -> tuple[Trial, list[Trial]]:
+    """By anchors where there are any among the columns, else by composite score."""
+    here = [a for a in anchors if a in f.num + f.cat]
+    if here:
+        return anchored_search(f, here, algorithms, ks, anchor_least, overall_least, seed=seed)
+    return search(f, algorithms, ks, c=c, weight=weight, topk=topk, seed=seed)
 
 
 def over_subsets(f: MixedFrame, subsets: list[tuple[str, ...]], anchors: list[str] | None = None, **how) -> tuple[tuple[str, ...], Trial]:
     """The best trial over column subsets: a choice by anchors precedes one by composite score, then the score decides."""
     best = None
     for s in subsets:
-        t = anchored_search(f.select(list(s)), anchors, **how)[0] if anchors else search(f.select(list(s)), **how)
+        t = anchored_search(f.select(list(s)), anchors, **how)[0] if anchors else search(f.select(list(s)), **how)[0]
         if best is None or (t.by_anchor, t.score) > (best[1].by_anchor, best[1].score):
             best = (s, t)
     return best

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import MixedFrame, infer_id, split_types
-from ..operators import clean, cluster, metrics, profile, redundancy, search
+from ..operators import clean, cluster, metrics, profile, redundancy, reward, search
 from ..sources import artifacts
+from . import anchored
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,10 @@ class Params:
     weight: float = 0.6
     sc_lnc_threshold: float = 0.5
     rerank_topk: int = 3
+    algorithms: tuple[str, ...] = ("kprototypes",)
+    engine: str = "A"
+    anchors: tuple[str, ...] = ()
+    anchor_threshold: float = 0.5
     random_state: int = 42
 
 
@@ -54,9 +59,9 @@ def auto_params(df: DataFrame, **overrides) -> Params:
     )
 
 
-def subset_reward(f: MixedFrame, red: dict, alpha: float):
-    """Scorer of column subsets with labels fixed: distances to clusters per row and column are computed once, by the exact
-    silhouette's sums; a batch of subsets is one pass with one aggregate row back."""
+def exact_score(f: MixedFrame) -> search.Score:
+    """Exact silhouette of column subsets with labels fixed: distances to clusters per row and column are computed once, by
+    the exact silhouette's sums; a batch of subsets is one pass with one aggregate row back."""
     per = metrics.silhouette_parts(f).persist()
     columns = f.num + f.cat
 
@@ -71,11 +76,20 @@ def subset_reward(f: MixedFrame, red: dict, alpha: float):
             top = F.greatest(a, b)
             aggs.append(F.avg(F.when(top > 0, (b - a) / top).otherwise(0.0)).alias(f"s{i}"))
         row = per.agg(*aggs).first()
-        return [(1 - alpha) * (row[i] or 0.0) + alpha * redundancy.penalty(list(s), red) for i, s in enumerate(subsets)]
+        return [row[i] or 0.0 for i in range(len(subsets))]
 
     return score
 
 
+def subset_reward(f: MixedFrame, red: dict, alpha: float, engine: str = "A", c: float = 3.0, seed: int = 42) -> search.Score:
+    """Scorer of column subsets by engine: the exact silhouette, fixed landmarks, or landmarks calibrated by it."""
+    kind = reward.resolve(engine, f.n)
+    if kind == "exact":
+        return reward.with_penalty(exact_score(f), red, alpha)
+    cheap = reward.landmark_reward(f, metrics.landmarks_of(f, c, seed))
+    return reward.with_penalty(cheap if kind == "fixed" else reward.Calibrated(cheap, exact_score(f)), red, alpha)
+
+
 def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None, outdir: str | None = None, params: Params | None = None) -> dict:
     """Checks and imputes ``df``, searches columns, picks the number of clusters by the composite score, profiles the clusters.
 
@@ -99,27 +113,17 @@ def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None
     first = cluster.k_prototypes(f, (p.c_min + p.c_max) // 2, seed=p.random_state, starts=1)[0]
     labelled = MixedFrame(ready.join(first.withColumnRenamed("cluster", "_c"), key).persist(), key, num, cat, "_c")
     archive = search.Archive()
-    best, reward, annealed = search.anneal(start, columns, subset_reward(labelled, red, p.reward_alpha_penalty), p.sa_iters, mode=p.sa_neighbor_mode, least=least, most=most, rate=0.15, archive=archive, seed=p.random_state)
+    best, reward, annealed = search.anneal(start, columns, subset_reward(labelled, red, p.reward_alpha_penalty, p.engine, p.lsil_c, p.random_state), p.sa_iters, mode=p.sa_neighbor_mode, least=least, most=most, rate=0.15, archive=archive, seed=p.random_state)
     chosen = redundancy.prune(list(best), red, p.mab_redundancy_threshold)
-    trials = []
-    for k in range(p.c_min, max(p.c_min, p.c_max) + 1):
-        sub = f.select(chosen)
-        labels = cluster.k_prototypes(sub, k, seed=p.random_state, starts=1)[0]
-        t = replace_frame(sub, ready.join(labels, key).persist())
-        sizes = {r["cluster"]: r["n"] for r in t.df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if len(sizes) < 2:
-            continue
-        marks = metrics.landmarks_of(t, p.lsil_c, p.random_state)
-        ss = metrics.landmark_scores(t, marks, k=p.lsil_topk).agg(F.avg("s")).first()[0]
-        trials.append({"k": k, "lsil": ss, "J": metrics.composite(list(sizes.values()), ss, float("nan"), p.weight), "frame": t, "marks": marks})
-    if not trials:
-        raise ValueError("no clustering with two clusters or more was found")
-    top = max(trials, key=lambda t: (t["J"], -t["k"]))
-    t = top["frame"]
-    lnc = metrics.lnc_star(t, top["marks"], metrics.default_k(t.n), top["k"]).agg(F.avg("lnc")).first()[0]
+    sub, ks = f.select(chosen), range(p.c_min, max(p.c_min, p.c_max) + 1)
+    top, trials = anchored.choose(sub, list(p.anchors), p.algorithms, ks, p.anchor_threshold, p.sc_lnc_threshold, p.lsil_c, p.weight, p.lsil_topk, p.random_state)
+    t = replace_frame(sub, ready.join(top.labels, key).persist())
+    marks = metrics.landmarks_of(t, p.lsil_c, p.random_state)
+    classes = t.clean.select("label").distinct().count()
+    lnc = metrics.lnc_star(t, marks, metrics.default_k(t.n), classes).agg(F.avg("lnc")).first()[0]
     final = metrics.silhouette(t).agg(F.avg("s")).first()[0]
     profiles = {"sizes": profile.sizes(t.df, "cluster"), "numeric": profile.numeric(t.df, "cluster", t.num) if t.num else None, "categorical": profile.table(t.df, "cluster", t.cat) if t.cat else None}
-    info = {"best_columns": chosen, "best_K": top["k"], "best_reward": reward, "final_algo": "kprototypes", "final_ss_gower": final, "structural_control": {"lnc_score": lnc, "threshold": p.sc_lnc_threshold, "passed": lnc >= p.sc_lnc_threshold, "action": "accept" if lnc >= p.sc_lnc_threshold else "warning"}, "trials": [{k: v for k, v in x.items() if k in ("k", "lsil", "J")} for x in trials], "mab_stats": bandit, "sa_stats": annealed, "dropped": gone, "timing_s": time.time() - began}
+    info = {"best_columns": chosen, "best_K": classes, "best_reward": reward, "final_algo": top.algorithm, "dav_applied": top.by_anchor, "anchor_cols": list(p.anchors), "final_ss_gower": final, "structural_control": {"lnc_score": lnc, "threshold": p.sc_lnc_threshold, "passed": lnc >= p.sc_lnc_threshold, "action": "accept" if lnc >= p.sc_lnc_threshold else "warning"}, "trials": [{"algorithm": x.algorithm, "k": x.k, "J": x.score, "lnc_anchor": x.anchored, "lnc": x.overall} for x in trials], "mab_stats": bandit, "sa_stats": annealed, "dropped": gone, "timing_s": time.time() - began}
     if outdir:
         Path(outdir).mkdir(parents=True, exist_ok=True)
         artifacts.save_table(t.df.select(key, "cluster"), f"{outdir}/cluster_assignments")

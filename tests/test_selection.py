@@ -190,3 +190,16 @@ def test_stream_is_scored_and_counted(spark, planted, tmp_path):
     got = spark.table("drift")
     assert got.agg(F.sum("n")).first()[0] == 300
     assert {r["cluster"]: r["n"] for r in got.groupBy("cluster").agg(F.sum("n").alias("n")).collect()} == {0: 100, 1: 100, 2: 100}
+
+
+def test_pipeline_by_anchors_and_by_landmark_rewards(planted):
+    from mosaique.plans.pipeline import Params, run_pipeline
+
+    base = {"c_max": 4, "sa_iters": 4, "mab_T": 4, "subset_min_frac": 0.9, "subset_max_frac": 1.0, "mab_k": 3}
+    df = planted.df.drop("g")
+    out = run_pipeline(df, "k", params=Params(**base, anchors=("x",), engine="AB"))
+    # Merged groups are as consistent as groups apart, so the fewest clusters win; no group may be cut.
+    got = out["assignments"].toPandas()
+    assert out["dav_applied"] and got["cluster"].nunique() == out["best_K"] and got.assign(t=got["k"] % 3).groupby("t")["cluster"].nunique().eq(1).all()
+    out = run_pipeline(df, "k", params=Params(**base, algorithms=("kprototypes", "hac_landmark"), engine="C"))
+    assert not out["dav_applied"] and len(out["trials"]) >= 4
