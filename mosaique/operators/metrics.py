@@ -76,7 +76,7 @@ def default_k(n: int) -> int:
     return max(5, n // 3) if n <= 50 else 20 if n <= 200 else min(50, int(math.sqrt(n)))
 
 
-def neighbours(f: MixedFrame, landmarks: DataFrame, k: int) -> DataFrame:
+def neighbours(f: MixedFrame, landmarks: DataFrame, k: int, ranked: bool = False) -> DataFrame:
     """(landmark, lm_label, label, d) of the k nearest rows of each landmark; each task passes on its own k nearest only."""
     marks = landmarks.select(f.key, "label", *f.num, *f.cat).toPandas()
     if marks.memory_usage(deep=True).sum() > MOST_BROADCAST:
@@ -102,7 +102,40 @@ def neighbours(f: MixedFrame, landmarks: DataFrame, k: int) -> DataFrame:
             yield best[cols]
 
     near = f.clean.mapInPandas(run, "landmark long, lm_label string, key long, label string, d double")
-    return near.withColumn("r", F.row_number().over(Window.partitionBy("landmark").orderBy("d", "key"))).where(F.col("r") <= k).drop("r")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("landmark").orderBy("d", "key"))).where(F.col("r") <= k)
+    return first if ranked else first.drop("r")
+
+
+def vector_neighbours(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query, neighbour, d, rank) of the ``k`` nearest rows by cosine distance, itself left out; of equals the smallest key.
+
+    Queries are a sample whose size is a parameter; each task passes on its own k nearest of every query only.
+    """
+    asked = queries.select(key, vector).toPandas()
+    if asked[vector].map(len).sum() * 8 > MOST_BROADCAST:
+        raise ValueError("queries beyond the broadcast bound")
+    names = asked[key].to_numpy()
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPS)
+    to = unit(np.stack(asked[vector].to_numpy()).astype(float)) if len(asked) else np.zeros((0, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            for at in range(0, len(batch) if len(names) else 0, 2048):
+                rows = batch.iloc[at : at + 2048]
+                d = np.round(1 - to @ unit(np.stack(rows[vector].to_numpy()).astype(float)).T, 6)
+                d[names[:, None] == rows[key].to_numpy()[None, :]] = np.inf
+                # All ties at the k-th distance are kept, so that the order by key decides among them.
+                edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
+                i, j = np.nonzero((d <= edge) & np.isfinite(d))
+                part = pd.DataFrame({"query": names[i], "neighbour": rows[key].to_numpy()[j], "d": d[i, j]})
+                best = part if best is None else pd.concat([best, part])
+                best = best.sort_values(["query", "d", "neighbour"]).groupby("query", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    near = df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, "query long, neighbour long, d double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))).where(F.col("rank") <= k)
 
 
 def lnc_star(f: MixedFrame, landmarks: DataFrame, k: int, classes: int, alpha: float = 0.7) -> DataFrame:

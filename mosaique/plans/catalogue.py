@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import MixedFrame
-from ..functions.gower import cosine_distance, gower
 from ..operators import calibrate, clean, cluster, features, landmarks, metrics, profile, redundancy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,30 +134,6 @@ _COUNT = "(select greatest(greatest(2, count(distinct p_type)) * 3, least(floor(
 _LANDMARKS = _LM.replace("{m}", _COUNT)
 
 
-@query(f"with {_RANGES} select a.p_partkey as query, b.p_partkey as neighbour, round({_GOWER}, 9) as d, row_number() over (partition by a.p_partkey order by round({_GOWER}, 9), b.p_partkey)::int as rank from part a join part b on a.p_partkey <> b.p_partkey, ranges where a.p_partkey <= 20 qualify rank <= 5")
-def gower_topk(spark, d):
-    f = part(spark, d)
-    return landmarks.nearest_rows(f, f.clean.where("p_partkey <= 20"), 5)
-
-
-@query(f"with {_RANGES} select a.p_type as label, round(avg({_GOWER}), 6) as mean_d, round(min({_GOWER}), 6) as min_d, count(*) as n from part a cross join part b, ranges where b.p_partkey <= 50 and a.p_partkey <> b.p_partkey group by a.p_type")
-def gower_mean_min_to_set(spark, d):
-    f = part(spark, d)
-    to = gower("a", "b", f.num, f.cat, f.stats)
-    pairs = f.clean.alias("a").crossJoin(F.broadcast(f.clean.where("p_partkey <= 50")).alias("b")).where("a.p_partkey <> b.p_partkey")
-    return pairs.groupBy(F.col("a.label").alias("label")).agg(F.round(F.avg(to), 6).alias("mean_d"), F.round(F.min(to), 6).alias("min_d"), F.count(F.lit(1)).alias("n"))
-
-
-@query("with p as (select a.vec_id as query, b.vec_id as neighbour, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id < 50) select *, row_number() over (partition by query order by d, neighbour)::int as rank from p qualify rank <= 3")
-def cosine_topk(spark, d):
-    from pyspark.sql import Window
-
-    e = read(spark, d, "embeddings").select("vec_id", "embedding")
-    dist = F.round(cosine_distance(F.col("a.embedding"), F.col("b.embedding")), 6)
-    p = e.where("vec_id < 50").alias("a").join(e.alias("b"), F.col("a.vec_id") != F.col("b.vec_id")).select(F.col("a.vec_id").alias("query"), F.col("b.vec_id").alias("neighbour"), dist.alias("d"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))).where("rank <= 3")
-
-
 # --- landmarks and samples --------------------------------------------------------------------------------------------
 
 
@@ -177,6 +152,28 @@ def medoid_prototypes(spark, d):
     return landmarks.medoids(part(spark, d))
 
 
+@query(f"with {_LANDMARKS}, {_RANGES} select a.p_partkey as query, b.p_partkey as neighbour, round({_GOWER}, 9) as d, row_number() over (partition by a.p_partkey order by round({_GOWER}, 9), b.p_partkey)::int as rank from lm a join part b on a.p_partkey <> b.p_partkey, ranges qualify rank <= 5")
+def gower_topk(spark, d):
+    f = part(spark, d)
+    return metrics.neighbours(f, metrics.landmarks_of(f), 5, ranked=True).select(F.col("landmark").alias("query"), F.col("key").alias("neighbour"), "d", F.col("r").alias("rank"))
+
+
+@query(f"""with {_LANDMARKS}, {_RANGES}, pairs as (select a.p_type as label, a.p_partkey as k, {_GOWER} as d from part a join lm b on a.p_partkey <> b.p_partkey, ranges), per as (select label, k, avg(d) as mean_d, min(d) as min_d from pairs group by 1, 2)
+select label, round(avg(mean_d), 5) as mean_d, round(min(min_d), 5) as min_d, count(*) as n from per group by label""")
+def gower_mean_min_to_set(spark, d):
+    f = part(spark, d)
+    per = metrics.cost_to_set(f, metrics.landmarks_of(f)).join(f.clean.select(f.key, "label"), f.key)
+    return per.groupBy("label").agg(F.round(F.avg("mean_d"), 5).alias("mean_d"), F.round(F.min("min_d"), 5).alias("min_d"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""with q as (select vec_id, embedding from embeddings order by md5('42|' || vec_id::varchar), vec_id limit 100),
+p as (select a.vec_id as query, b.vec_id as neighbour, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as d from q a join embeddings b on a.vec_id <> b.vec_id)
+select *, row_number() over (partition by query order by d, neighbour)::int as rank from p qualify rank <= 3""")
+def cosine_topk(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return metrics.vector_neighbours(e, "vec_id", "embedding", landmarks.sample(e, "vec_id", 100), 3)
+
+
 # --- quality of a clustering --------------------------------------------------------------------------------------------
 
 _LSIL = """with {lm}, {ranges}, pairs as (

@@ -27,19 +27,19 @@ def unit_features(spark, d):
     return unit.scaled(f).select("c_custkey", F.round(F.col("c_acctbal") / F.col("_norm"), 6).alias("u_num"), F.round(1 / F.col("_norm"), 6).alias("u_cat"))
 
 
-@query("""with s as (select p_partkey, p_brand || '-' || p_type as s, p_size from part), known as (select s, min(p_size) as v from s where p_partkey % 3 = 0 group by s)
+@query("""with s as (select p_partkey, p_brand || '-' || p_type as s, p_size from part), some_rows as (select * from s order by md5('42|' || p_partkey::varchar), p_partkey limit 500), known as (select s, min(p_size) as v from some_rows group by s)
 select p_partkey, coalesce(v, -1)::int as label from s left join known using (s)""")
 def signature_join(spark, d):
     df = read(spark, d, "part").select("p_partkey", features.signature(["p_brand", "p_type"]).alias("s"), "p_size")
-    known = df.where("p_partkey % 3 = 0").groupBy("s").agg(F.min("p_size").alias("v"))
+    known = landmarks.sample(df, "p_partkey", 500).groupBy("s").agg(F.min("p_size").alias("v"))
     return df.join(known, "s", "left").select("p_partkey", F.coalesce("v", F.lit(-1)).alias("label"))
 
 
-@query(f"""with {_RANGES}, p as (select a.p_partkey, round({_GOWER}, 12) as d, row_number() over (partition by a.p_partkey order by {_GOWER}) as r from part a join part b on a.p_partkey <> b.p_partkey, ranges where b.p_partkey <= 50)
+@query(f"""with {_LANDMARKS}, {_RANGES}, p as (select a.p_partkey, round({_GOWER}, 12) as d, row_number() over (partition by a.p_partkey order by {_GOWER}) as r from part a join lm b on a.p_partkey <> b.p_partkey, ranges)
 select p_partkey, round(avg(d), 6) as mean_d, round(min(d), 6) as min_d, round(avg(d) filter (r <= 3), 6) as topk_d from p group by 1""")
 def gower_topk_to_set(spark, d):
     f = part(spark, d)
-    return metrics.cost_to_set(f, f.clean.where("p_partkey <= 50"))
+    return metrics.cost_to_set(f, metrics.landmarks_of(f))
 
 
 @query("""with k as (select o_orderkey, o_totalprice, o_orderstatus from orders order by md5('42|' || o_orderkey::varchar), o_orderkey limit 200)
