@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +69,16 @@ def fingerprint(df: DataFrame, columns: list[str], k: int) -> str:
     """Names, size, k and content, so that a cached matrix of other data is never taken."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
     return hashlib.md5(f"{sorted(columns)}|{row[0]}|{row[1]}|{k}".encode()).hexdigest()[:12]
+
+
+def cached(f: MixedFrame, k: int, folder: str) -> DataFrame:
+    """The matrix from ``folder`` if it was written there for the same columns and content, else computed and written."""
+    spark = f.df.sparkSession
+    path = f"{folder.rstrip('/')}/{fingerprint(f.df, f.num + f.cat, k)}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    matrix(f, k).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

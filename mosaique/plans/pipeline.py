@@ -35,7 +35,9 @@ class Params:
     lsil_topk: int = 3
     weight: float = 0.6
     sc_lnc_threshold: float = 0.5
+    rerank: bool = False
     rerank_topk: int = 3
+    redundancy_cache: str | None = None
     algorithms: tuple[str, ...] = ("kprototypes",)
     engine: str = "A"
     anchors: tuple[str, ...] = ()
@@ -90,6 +92,16 @@ def subset_reward(f: MixedFrame, red: dict, alpha: float, engine: str = "A", c:
     return reward.with_penalty(cheap if kind == "fixed" else reward.Calibrated(cheap, exact_score(f)), red, alpha)
 
 
+def reranked(f: MixedFrame, subsets: list[tuple[str, ...]], k: int, seed: int = 42) -> list[tuple[tuple[str, ...], float]]:
+    """Subsets by the exact silhouette of a clustering made on their own columns, best first."""
+    out = []
+    for s in subsets:
+        sub = f.select(list(s))
+        t = anchored.labelled(sub, cluster.k_prototypes(sub, k, seed=seed, starts=1)[0])
+        out.append((s, metrics.silhouette(t).agg(F.avg("s")).first()[0]))
+    return sorted(out, key=lambda x: (-x[1], x[0]))
+
+
 def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None, outdir: str | None = None, params: Params | None = None) -> dict:
     """Checks and imputes ``df``, searches columns, picks the number of clusters by the composite score, profiles the clusters.
 
@@ -106,7 +118,7 @@ def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None
     ready = clean.impute(df.select(F.col(key).cast("long").alias(key), *num, *cat), num, cat).persist()
     p = params or auto_params(ready.drop(key))
     f = MixedFrame(ready, key, num, cat)
-    red = redundancy.as_dict(redundancy.matrix(f, p.kmsnc_k))
+    red = redundancy.as_dict(redundancy.cached(f, p.kmsnc_k, p.redundancy_cache) if p.redundancy_cache else redundancy.matrix(f, p.kmsnc_k))
     columns = num + cat
     least, most = max(1, math.ceil(p.subset_min_frac * len(columns))), max(1, int(p.subset_max_frac * len(columns)))
     start, bandit = search.bandit(columns, lambda ss: [redundancy.penalty(list(s), red) for s in ss], p.mab_T, min(p.mab_k, most), red, p.mab_redundancy_threshold, p.mab_penalty_beta, p.mab_warmup_frac, p.random_state)
@@ -114,6 +126,8 @@ def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None
     labelled = MixedFrame(ready.join(first.withColumnRenamed("cluster", "_c"), key).persist(), key, num, cat, "_c")
     archive = search.Archive()
     best, reward, annealed = search.anneal(start, columns, subset_reward(labelled, red, p.reward_alpha_penalty, p.engine, p.lsil_c, p.random_state), p.sa_iters, mode=p.sa_neighbor_mode, least=least, most=most, rate=0.15, archive=archive, seed=p.random_state)
+    if p.rerank:
+        best = reranked(f, [s for s, _ in archive.top(p.rerank_topk)], (p.c_min + p.c_max) // 2, p.random_state)[0][0]
     chosen = redundancy.prune(list(best), red, p.mab_redundancy_threshold)
     sub, ks = f.select(chosen), range(p.c_min, max(p.c_min, p.c_max) + 1)
     top, trials = anchored.choose(sub, list(p.anchors), p.algorithms, ks, p.anchor_threshold, p.sc_lnc_threshold, p.lsil_c, p.weight, p.lsil_topk, p.random_state)

@@ -203,3 +203,22 @@ def test_pipeline_by_anchors_and_by_landmark_rewards(planted):
     assert out["dav_applied"] and got["cluster"].nunique() == out["best_K"] and got.assign(t=got["k"] % 3).groupby("t")["cluster"].nunique().eq(1).all()
     out = run_pipeline(df, "k", params=Params(**base, algorithms=("kprototypes", "hac_landmark"), engine="C"))
     assert not out["dav_applied"] and len(out["trials"]) >= 4
+
+
+def test_redundancy_is_read_from_the_cache_of_the_same_rows_only(planted, tmp_path):
+    from mosaique.operators import redundancy
+
+    folder = str(tmp_path / "red")
+    f = MixedFrame(planted.df, "k", ["x", "y"], ["c"])
+    first, again = (redundancy.as_dict(redundancy.cached(f, 5, folder)) for _ in range(2))
+    assert first == again == redundancy.as_dict(redundancy.matrix(f, 5))
+    redundancy.cached(MixedFrame(planted.df.where("k < 250"), "k", ["x", "y"], ["c"]), 5, folder)
+    assert len([p for p in (tmp_path / "red").iterdir() if p.is_dir()]) == 2
+
+
+def test_rerank_prefers_the_planted_columns(spark, planted):
+    from mosaique.plans.pipeline import reranked
+
+    df = planted.df.withColumn("noise", (F.col("k") * 7919 % 311).cast("double"))
+    got = reranked(MixedFrame(df, "k", ["x", "y", "noise"], ["c"]), [("noise",), ("x", "y")], 3)
+    assert got[0][0] == ("x", "y") and got[0][1] > got[1][1]
