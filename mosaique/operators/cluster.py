@@ -61,7 +61,7 @@ def dense_labels(df: DataFrame, label: str) -> DataFrame:
     from pyspark.sql import Window
 
     names = df.select(label).distinct().withColumn("dense", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(names), label)
+    return df.join(F.broadcast(names) if names.count() <= 100_000 else names, label)
 
 
 def merge_to(sizes: dict, k: int) -> dict:
