@@ -17,18 +17,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the group's smallest id; rows without an id all stay."""
-    groups = common.cut(simhash.simhash_groups(docs).select("doc_id", "component_id"), "groups")
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where("doc_id is null"))
+    """One document of each group of near copies: that with the group's smallest id, if any has one."""
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark; rows of one id, or without one, go if any of them holds one."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = common.cut(decontaminate.find_leaks(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*docs.columns)
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,6 +281,17 @@ def calibrate(items: list[tuple[int, str]], rate: float = LSH_RATE, recall: floa
             return tables
 
 
+def blocks_of(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, int]]]:
+    """The items that are not empty with their hash tables, in blocks of at most about ``BLOCK_CHARS`` characters; one block at least."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null and text != ''")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // BLOCK_CHARS))
+    for block in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        known = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is not None, x)) if size else []
+        yield known, calibrate(known) if known else {}
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """One row per document and benchmark item of which it holds a passage: span, edit distance and similarity.
 
@@ -292,15 +303,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFra
     items of under 24 symbols are sought verbatim; equal items are reported each; rows of one id, or of null id, are
     reported each; no rows give no rows; other columns are not looked at.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null and text != ''")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_CHARS))
     schema = "doc_id long, item_id long, start long, end long, distance int, similarity double"
     out = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        known = sorted((r["item_id"], r["text"]) for r in part.collect()) if size else []
-        tables = calibrate(known) if known else {}
+    for known, tables in blocks_of(items):
 
         def run(batches: Iterator[pd.DataFrame], known=known, tables=tables) -> Iterator[pd.DataFrame]:
             matcher = Matcher(known, rate, tables)
@@ -328,3 +333,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFra
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
         out = found if out is None else out.union(found)
     return out
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose own text :func:`find_leaks` finds no item, whatever their ids."""
+
+    def free_of(known: list[tuple[int, str]], tables: dict[int, int]):
+        @F.pandas_udf("boolean")
+        def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matcher = Matcher(known, rate, tables)
+            for batch in texts:
+                good, first, held = np.ones(len(batch), bool), 0, 0
+                for k, text in enumerate(batch):
+                    held += len(text)
+                    if held > 1 << 20 or k + 1 == len(batch):
+                        for d, *_ in matcher.search(batch.iloc[first : k + 1].tolist()):
+                            good[first + d] = False
+                        first, held = k + 1, 0
+                yield pd.Series(good)
+
+        return clean
+
+    for known, tables in blocks_of(items):
+        if known:
+            docs = docs.where(free_of(known, tables)(F.coalesce("text", F.lit(""))))
+    return docs

@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
 DIM, SAMPLE, EPOCHS, SEED = 1 << 12, 6000, 60, 3
 SYMBOLS = re.compile(r"[^\w\s]{2,}$")
 #: Fixed list: frequent function words of English, French, German and Spanish.
@@ -143,16 +141,12 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], epochs: int = E
     return weights
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): votes, posterior of the label model, score of the scorer, and accepted.
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
-    Votes of all documents are counted per pattern (at most 3 ** labellers of them, so bounded); EM over these counts
-    estimates each labeller's accuracy. The scorer is trained on the posteriors of at most ``sample`` documents, those with
-    the smallest hash of text and id, and then scores every document. Null, empty and blank texts have no votes; they get
-    the posterior of that pattern, score 0 and are not accepted. Equal texts are judged equally; rows of one or of null id
-    are judged each; no rows give no rows; other columns are not looked at.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray] | None:
+    """Posterior per vote pattern, and the scorer's weights, from ``docs`` (doc_id long, text not null); None without rows."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -162,7 +156,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
 
     patterns = {r["votes"]: r["n"] for r in docs.select("text").mapInPandas(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     if not patterns:
-        return docs.sparkSession.createDataFrame([], "doc_id long, votes string, posterior double, score double, accepted boolean")
+        return None
     patterns = dict(sorted(patterns.items()))
     posterior, _ = fit_labellers(patterns)
     total = sum(patterns.values())
@@ -177,21 +171,51 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
             yield pd.DataFrame({"h": batch["h"], "i": [list(f) for _, f in got], "v": [[float(x) for x in f.values()] for _, f in got], "p": [posterior.get(v, 0.5) for v, _ in got]})
 
     rows = chosen.select("text", order.alias("h")).mapInPandas(featurise, "h long, i array<int>, v array<float>, p double").orderBy("h", "p").limit(sample).collect()
-    weights = fit_scorer([(r["i"], r["v"], r["p"]) for r in rows])
+    return posterior, fit_scorer([(r["i"], r["v"], r["p"]) for r in rows])
+
+
+def grade(features: list[dict[int, float]], weights: np.ndarray) -> np.ndarray:
+    """The scorer's probability per text; 0 without features."""
+    z = np.array([float(weights[list(f)] @ np.fromiter(f.values(), float)) + weights[DIM] if f else -np.inf for f in features])
+    return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
+
+def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): votes, posterior of the label model, score of the scorer, and accepted.
+
+    Votes of all documents are counted per pattern (at most 3 ** labellers of them, so bounded); EM over these counts
+    estimates each labeller's accuracy. The scorer is trained on the posteriors of at most ``sample`` documents, those with
+    the smallest hash of text and id, and then scores every document. Null, empty and blank texts have no votes; they get
+    the posterior of that pattern, score 0 and are not accepted. Equal texts are judged equally; rows of one or of null id
+    are judged each; no rows give no rows; other columns are not looked at.
+    """
+    docs = plain(docs)
+    model = fit(docs, sample)
+    if model is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, votes string, posterior double, score double, accepted boolean")
+    posterior, weights = model
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
             got = [describe(t, words) for t in batch["text"]]
-            z = [float(weights[list(f)] @ np.fromiter(f.values(), float)) + weights[DIM] if f else -np.inf for _, f in got]
-            s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            s = np.where(np.isneginf(z), 0.0, s)
+            s = grade([f for _, f in got], weights)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "votes": [v for v, _ in got], "posterior": [posterior.get(v, 0.5) for v, _ in got], "score": s, "accepted": s >= threshold})
 
     return docs.mapInPandas(score, "doc_id long, votes string, posterior double, score double, accepted boolean")
 
 
-def accept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`classify` accepts; all rows of an id go if one is rejected."""
-    rejected = cut(classify(docs).where("not accepted").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+def accept(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`classify` accepts; each row is judged by its own text, whatever its id."""
+    model = fit(plain(docs), sample)
+    if model is None:
+        return docs
+    weights = model[1]
+
+    @F.pandas_udf("boolean")
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = Words()
+        for batch in texts:
+            yield pd.Series(grade([describe(t, words)[1] for t in batch], weights) >= threshold)
+
+    return docs.where(good(F.coalesce("text", F.lit(""))))

@@ -53,6 +53,32 @@ def fingerprints(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
+def keep_one(docs: DataFrame, shingle: int = WORDS, most: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of :func:`simhash_groups`.
+
+    Of a group the row of the smallest id stays, one without an id only if the group has none; ties go by the row's content.
+    Rows are told apart by two hashes of all their columns, not by id: a row of null or repeated id stays or goes for its
+    own text. Rows alike in every column are one row's copies, of which one stays.
+    """
+
+    @F.pandas_udf("long")
+    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.fromiter((fingerprint(shingle_hashes(t, shingle)) for t in batch), "u8", len(batch)).view("i8"))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    seen = [x for c in columns for x in (c.isNull(), c)]
+    row = [F.xxhash64(*seen).alias("_mosaique_a"), F.xxhash64(F.lit(1), *seen).alias("_mosaique_b")]
+    each = cut(docs.select("doc_id", *row, fp(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_mosaique_a", "_mosaique_b")).alias("first")
+    distinct = cut(each.groupBy("fp").agg(first), "distinct")
+    labels = cut(link_fingerprints(distinct.select("fp"), most), "linked")
+    kept = distinct.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    kept = cut(kept.select("first._mosaique_a", "first._mosaique_b"), "kept")
+    keys = ["_mosaique_a", "_mosaique_b"]
+    return docs.select(*columns, *row).join(kept, keys, "left_semi").dropDuplicates(keys).select(*columns)
+
+
 def _variants(fp: Column) -> Column:
     """For either half and each bit of it: the half with that bit wild, tagged with which half and bit; 64 keys."""
     keys = []

@@ -54,3 +54,22 @@ def test_stages_do_what_brute_force_does(spark):
     assert packed.agg(F.countDistinct("doc_id")).first()[0] == len(private)
     fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
     assert fill.max() <= 2048 and np.mean(fill) > 1500
+
+
+def test_rows_without_or_with_repeated_ids_are_judged_each(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    words = "the of and to in a is that house river stone walks under bright field tomorrow never quick garden letter".split()
+    prose = lambda: " ".join(rng.choice(words, 60)).capitalize() + ", and so it is."
+    good, junk = [prose() for _ in range(100)], [" ".join(rng.choice(words, 60)).upper().replace(" ", "$$$ ") for _ in range(20)]
+    ids = [None] * 40 + [7] * 20 + list(range(100, 140))
+    rows = [*zip(ids, good, strict=True), *[(None, t) for t in junk[:10]], *[(7, t) for t in junk[10:]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()) == sorted(good)
+    copies = docs.where("text like '%so it is.'").union(spark.createDataFrame([(None, good[0]), (3, good[1]), (None, good[70]), (7, good[45])], docs.schema))
+    single = corpus_pipeline.drop_near_copies(spark, copies, SF).collect()
+    assert sorted(r["text"] for r in single) == sorted(good)
+    assert {r["text"]: r["doc_id"] for r in single}[good[1]] == 3 and {r["text"]: r["doc_id"] for r in single}[good[70]] == ids[70]
+    item = "what weighs more than seven grey elephants on a frozen northern lake"
+    spark.createDataFrame([(None, item), (None, item + " in the spring"), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaked = docs.union(spark.createDataFrame([(None, f"{good[0]} {item} {good[1]}"), (7, item)], docs.schema))
+    assert sorted(r["text"] for r in corpus_pipeline.drop_benchmark_leaks(spark, leaked, str(tmp_path)).collect()) == sorted(t for _, t in rows)
