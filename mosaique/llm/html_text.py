@@ -21,8 +21,17 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("head script style noscript template iframe svg math canvas object select option button form fieldset textarea input title nav aside menu dialog footer audio video".split())
 CONTENT = frozenset("article main".split())
-#: Names in class, id or role that mark what is no content.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar|side|aside|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|disqus|respond|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search|pagination|pager|toolbar|skip|copyright|legal|disclaimer|complementary|contentinfo|navigation|search|dialog|alert)(?=$|[\s_-]|\d)", re.I)
+#: Fixed lists: whole names in class, id or role that mark what is no content, and how longer ones begin.
+NAMES = frozenset("""ad ads adsense advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion nav navigation navbar topnav
+    menu menubar breadcrumb breadcrumbs footer header masthead sidebar side aside widget widgets related recommended recommendations share sharing social comment comments
+    commentlist replies disqus respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search pagination pager toolbar skip
+    copyright legal disclaimer complementary contentinfo dialog alert
+    site-header site-footer site-nav site-navigation page-header page-footer main-nav main-menu main-navigation""".split())
+PREFIXES = ("ad-", "ads-", "ad_", "ads_", "advert-", "sponsored-", "promo-", "nav-", "navbar-", "menu-", "breadcrumb-", "sidebar-", "widget-", "widget_", "related-", "recommended-", "share-", "sharing-", "social-", "comment-", "comments-", "cookie-", "consent-", "gdpr-", "popup-", "modal-", "newsletter-", "pagination-")
+#: Ends of names that say a state of the element or page, not what it holds.
+STATES = ("-open", "-closed", "-on", "-off", "-left", "-right", "-enabled", "-disabled", "-none")
+#: Threads of readers' answers, which can be longer than the text they answer.
+THREADS = frozenset("comment comments commentlist replies disqus respond".split())
 IMPLIED = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 BLOCK_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
@@ -31,16 +40,45 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 class Node:
     """A block of text: its path of tags, its text, how much of it is in links, and what encloses it."""
 
-    __slots__ = ("path", "text", "linked", "never", "content")
+    __slots__ = ("path", "text", "linked", "never", "content", "named")
 
-    def __init__(self, path: str, text: str, linked: int, never: bool, content: bool):
-        self.path, self.text, self.linked, self.never, self.content = path, text, linked, never, content
+    def __init__(self, path: str, text: str, linked: int, never: bool, content: bool, named: frozenset[int]):
+        self.path, self.text, self.linked, self.never, self.content, self.named = path, text, linked, never, content, named
+
+
+def named_boilerplate(words: str) -> str:
+    """The first of the ``words`` that is a name of boilerplate, or begins as one and does not end as a state; empty if none."""
+    for w in words.lower().split():
+        if w in NAMES or w.startswith(PREFIXES) and not w.endswith(STATES):
+            return w
+    return ""
+
+
+def lift(nodes: list[Node], threads: set[int]) -> None:
+    """Sets ``never`` of the blocks in elements named as boilerplate, but for elements that hold the page itself.
+
+    Those are elements with over half of the text in article or main, or over half of all text, so that no name around the
+    page empties it. Threads of answers can be longer than what they answer; they count as the page only if they are all of it.
+    """
+    whole: dict[int, int] = defaultdict(int)
+    marked: dict[int, int] = defaultdict(int)
+    seen = [n for n in nodes if not n.never]
+    for n in seen:
+        for k in n.named:
+            whole[k] += len(n.text)
+            marked[k] += len(n.text) * n.content
+    total, content = sum(len(n.text) for n in seen), sum(len(n.text) for n in seen if n.content)
+    page = {k for k in whole if k not in threads and (2 * marked[k] > content > 0 or 2 * whole[k] > total) or whole[k] == total}
+    for n in seen:
+        n.never = bool(n.named - page)
 
 
 def blocks(source: str) -> list[Node]:
     """The page's text blocks in order. Unclosed and stray tags are borne: an end tag closes up to its own start, if any."""
-    stack: list[tuple[str, bool, bool]] = []  # name, never, content
+    stack: list[tuple[str, bool, bool, frozenset[int]]] = []  # name, never, content, enclosing elements named as boilerplate
     out: list[Node] = []
+    threads: set[int] = set()
+    names = 0
     held: list[str] = []
     linked = at = 0
 
@@ -50,8 +88,8 @@ def blocks(source: str) -> list[Node]:
             text = SPACE.sub(" ", html_lib.unescape("".join(held))).strip()
             if text:
                 outer = [x for x in stack if x[0] not in INLINE]
-                name, never, content = outer[-1] if outer else ("", False, False)
-                out.append(Node("/".join(x[0] for x in outer), text, linked, never or any(x[1] for x in stack), content))
+                content = outer[-1][2] if outer else False
+                out.append(Node("/".join(x[0] for x in outer), text, linked, any(x[1] for x in stack), content, stack[-1][3] if stack else frozenset()))
         held.clear()
         linked = 0
 
@@ -107,17 +145,19 @@ def blocks(source: str) -> list[Node]:
         if name in VOID or m[4]:
             continue
         marks = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        above = stack[-1] if stack else ("", False, False)
-        inside = above[2]
+        above = stack[-1] if stack else ("", False, False, frozenset())
+        inside, named = above[2:]
         words = " ".join(marks.get(k, "") for k in ("class", "id", "role"))
         is_content = name in CONTENT or marks.get("role", "").lower() in ("main", "article") or marks.get("id", "").lower() in ("content", "main-content", "article")
         never = above[1] or name in NEVER or (name == "header" and not inside) or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", marks.get("style", ""), re.I) is not None
-        if words.strip() and name not in ("html", "body", *CONTENT) and BOILERPLATE.search(words):
-            never = True
-        if name == "article" and (BOILERPLATE.search(words) if words.strip() else False):
-            never = True
-        stack.append((name, never, inside or is_content))
+        if words.strip() and name not in ("html", "body", "main") and (found := named_boilerplate(words)):
+            names += 1
+            named |= {names}
+            if found in THREADS or found.startswith(("comment-", "comments-")):
+                threads.add(names)
+        stack.append((name, never, inside or is_content, named))
     end_block()
+    lift(out, threads)
     return out
 
 

@@ -267,6 +267,20 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_names_around_the_page_drop_nothing_else():
+    want = "Head & title\n\nFirst one.\n\nSecond para, with <b> text."
+    for name in ("site has-sidebar", "with-sidebar", "no-sidebar", "sidebar", "modal-open"):
+        assert html_text.main_text(PAGE.replace("<body>", f"<body><div class='{name}'>")) == want
+    assert html_text.main_text(PAGE.replace("<article>", "<article class='post comments-open category-legal'>")) == want
+    assert html_text.main_text(PAGE.replace("<h1>", "<header class='entry-header'><h1>").replace("</h1>", "</h1></header>")) == want
+    plain = "".join(f"<p>This is paragraph {k}, which is long enough, and has points. It goes on.</p>" for k in range(4))
+    for name in ("legal", "has-sidebar"):
+        got = html_text.main_text(f"<div class=nav>Home, about</div><div class={name}>{plain}</div><div class=ads>Buy, now.</div>")
+        assert got.count("paragraph") == 4 and "Home" not in got and "Buy" not in got
+    answers = "<div class=comments>" + "<p>Nice one, thanks. I have read it with delight, and so on.</p>" * 20 + "</div>"
+    assert html_text.main_text(PAGE.replace("</article>", answers + "</article>")) == want
+
+
 def test_simhash(spark, odd, none):
     rng = random.Random(6)
     fps = [rng.getrandbits(64) for _ in range(200)]
