@@ -30,8 +30,10 @@ NAMES = frozenset("""ad ads adsense advert adverts advertisement advertising ban
 PREFIXES = ("ad-", "ads-", "ad_", "ads_", "advert-", "sponsored-", "promo-", "nav-", "navbar-", "menu-", "breadcrumb-", "sidebar-", "widget-", "widget_", "related-", "recommended-", "share-", "sharing-", "social-", "comment-", "comments-", "cookie-", "consent-", "gdpr-", "popup-", "modal-", "newsletter-", "pagination-")
 #: Ends of names that say a state of the element or page, not what it holds.
 STATES = ("-open", "-closed", "-on", "-off", "-left", "-right", "-enabled", "-disabled", "-none")
-#: Threads of readers' answers, which can be longer than the text they answer.
-THREADS = frozenset("comment comments commentlist replies disqus respond".split())
+#: Of the names, those that the page's own text never bears, whatever their length: adverts, menus, notes on cookies, readers' answers.
+SURE = frozenset("ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors nav navigation navbar menu menubar breadcrumb breadcrumbs cookie cookies consent gdpr comment comments commentlist replies disqus respond".split())
+#: How much a mark of content weighs: times the ratio of a block in article or main.
+PRIOR = 4.0
 IMPLIED = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 BLOCK_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
@@ -54,11 +56,12 @@ def named_boilerplate(words: str) -> str:
     return ""
 
 
-def lift(nodes: list[Node], threads: set[int]) -> None:
+def lift(nodes: list[Node], sure: set[int]) -> None:
     """Sets ``never`` of the blocks in elements named as boilerplate, but for elements that hold the page itself.
 
     Those are elements with over half of the text in article or main, or over half of all text, so that no name around the
-    page empties it. Threads of answers can be longer than what they answer; they count as the page only if they are all of it.
+    page empties it. ``sure`` ones can be longer than a short page's text; they count as the page only if an article or
+    main lies in them and nothing outside.
     """
     whole: dict[int, int] = defaultdict(int)
     marked: dict[int, int] = defaultdict(int)
@@ -68,7 +71,7 @@ def lift(nodes: list[Node], threads: set[int]) -> None:
             whole[k] += len(n.text)
             marked[k] += len(n.text) * n.content
     total, content = sum(len(n.text) for n in seen), sum(len(n.text) for n in seen if n.content)
-    page = {k for k in whole if k not in threads and (2 * marked[k] > content > 0 or 2 * whole[k] > total) or whole[k] == total}
+    page = {k for k in whole if (whole[k] == total and content if k in sure else 2 * marked[k] > content > 0 or 2 * whole[k] > total)}
     for n in seen:
         n.never = bool(n.named - page)
 
@@ -77,7 +80,7 @@ def blocks(source: str) -> list[Node]:
     """The page's text blocks in order. Unclosed and stray tags are borne: an end tag closes up to its own start, if any."""
     stack: list[tuple[str, bool, bool, frozenset[int]]] = []  # name, never, content, enclosing elements named as boilerplate
     out: list[Node] = []
-    threads: set[int] = set()
+    sure: set[int] = set()
     names = 0
     held: list[str] = []
     linked = at = 0
@@ -153,11 +156,11 @@ def blocks(source: str) -> list[Node]:
         if words.strip() and name not in ("html", "body", "main") and (found := named_boilerplate(words)):
             names += 1
             named |= {names}
-            if found in THREADS or found.startswith(("comment-", "comments-")):
-                threads.add(names)
+            if re.split("[-_]", found)[0] in SURE:
+                sure.add(names)
         stack.append((name, never, inside or is_content, named))
     end_block()
-    lift(out, threads)
+    lift(out, sure)
     return out
 
 
@@ -172,17 +175,13 @@ def main_text(source: str) -> str:
 
     Per path: characters outside links per node, and punctuation per node, aggregated over the page. Both ratios are read
     back in page order, smoothed over neighbours, and fused as a geometric mean; a path whose mean lies at or above the
-    threshold (a part of the page's deviation from zero) is selected whole. Elements that never hold content do not count.
-    Where the page marks its content (article, main), the mark weighs more than any ratio, so that short paragraphs stay.
+    threshold (a part of the page's deviation from zero) is selected whole, blocks that are mostly links aside. Elements that never hold content do not count.
+    Where the page marks its content (article, main), a block's fused ratio counts ``PRIOR`` times in its path's mean, so
+    that headlines and short paragraphs stay; the threshold is that of the plain ratios, and decides marked pages too.
     """
     nodes = [n for n in blocks(source) if not n.never]
     if not nodes:
         return ""
-    if any(n.content for n in nodes):
-        nodes = [n for n in nodes if n.content]
-        weight = math.inf
-    else:
-        weight = 1.0
     text: dict[str, float] = defaultdict(float)
     marks: dict[str, float] = defaultdict(float)
     count: dict[str, int] = defaultdict(int)
@@ -196,8 +195,8 @@ def main_text(source: str) -> str:
     limit = 0.3 * math.sqrt(sum(f * f for f in fused) / len(fused))
     score: dict[str, float] = defaultdict(float)
     for n, f in zip(nodes, fused, strict=True):
-        score[n.path] += f / count[n.path]
-    return "\n\n".join(n.text for n in nodes if weight == math.inf or (score[n.path] >= limit and n.linked < 0.5 * len(n.text)))
+        score[n.path] += f * (PRIOR if n.content else 1) / count[n.path]
+    return "\n\n".join(n.text for n in nodes if score[n.path] >= limit and n.linked < 0.5 * len(n.text))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -281,6 +281,17 @@ def test_html_names_around_the_page_drop_nothing_else():
     assert html_text.main_text(PAGE.replace("</article>", answers + "</article>")) == want
 
 
+def test_html_ratios_decide_marked_pages_too():
+    paragraphs = "".join(f"<p>This is paragraph {k}, which is long enough, and has many points, so that it counts. It goes on, as main text does.</p>" for k in range(8))
+    links = "<ul>" + "".join(f"<li><a href={k}>Link {k}</a></li>" for k in range(9)) + "</ul>"
+    teaser = "<article class=card><h2>Other story</h2><p>A short teaser, read on.</p></article>"
+    for shell in (teaser, "<div id=content><p>Loading.</p></div>"):
+        assert html_text.main_text(f"{shell}<div class=body>{paragraphs}</div>").count("paragraph") == 8
+    got = html_text.main_text(f"<article><h1>Head</h1>{paragraphs}<p>Short end.</p>{links}</article>")
+    assert got.count("paragraph") == 8 and got.startswith("Head") and got.endswith("Short end.")
+    assert html_text.main_text("<div class=ad>An advert, which is longer than the text. Buy now.</div><article><h1>Head</h1><p>Tiny.</p></article>") == "Head\n\nTiny."
+
+
 def test_simhash(spark, odd, none):
     rng = random.Random(6)
     fps = [rng.getrandbits(64) for _ in range(200)]
