@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -46,10 +47,11 @@ PATTERNS = [
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("card", re.compile(r"(?<![\w.+-])[2-6](?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.,+-])(?<!\d )0\d{1,4}(?:(?: \d{2,4}){2,4}| \d{5,8})(?![\w-]| \d|[.,]\d)|(?<![\w.,+-])(?<!\d )[2-9]\d{2} \d{3} \d{4}(?![\w-]| \d|[.,]\d)")),
     ("ipv4", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
-    ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,40}(?![\w:])")),
 ]
+LAYOUT = {"card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}"), "iban": re.compile(r"\w+|\w{4}(?: \w{4})+(?: \w{1,3})?")}
 WORTH = re.compile(r"[0-9@]")
 
 
@@ -69,6 +71,34 @@ def iban_valid(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def valid_part(kind: str, s: str) -> tuple[int, int, str] | None:
+    """Start, end and normal form of the card number or IBAN in ``s`` that ends and starts where groups do; None if there is none.
+
+    Of several the first whose groups are laid out as such numbers are goes, or else the longest.
+    """
+    cuts = [k for k, c in enumerate(s) if c in " -"]
+    best = None
+    for a in (0, *(k + 1 for k in cuts)):
+        for b in (*cuts, len(s)):
+            part = s[a:b]
+            bare = re.sub("[ -]", "", part)
+            if (13 <= len(bare) <= 19 and bare[0] in "23456" and luhn(bare) % 10 == 0) if kind == "card" else (re.match(r"[A-Z]{2}\d{2}", bare) and iban_valid(bare)):
+                rank = (LAYOUT[kind].fullmatch(part) is not None, len(bare), -a)
+                if best is None or rank > best[0]:
+                    best = rank, (a, b, bare)
+    return best and best[1]
+
+
+def ipv6_valid(s: str) -> bool:
+    """An address, other than :: and ::1, which tell nobody apart, and names of code such as a::b."""
+    if s.endswith(":") and not s.endswith("::") or "::" in s and not re.search(r"\d|[a-fA-F]{4}", s):
+        return False
+    try:
+        return int(ipaddress.IPv6Address(s)) > 1
+    except ValueError:
+        return False
+
+
 def script_of(word: str) -> str:
     c = word[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
@@ -84,21 +114,28 @@ def detect(text: str) -> list[Mention]:
 
     if WORTH.search(text):
         for kind, pattern in PATTERNS:
+            if kind in ("iban", "card"):
+                m = pattern.search(text)
+                while m:
+                    got = valid_part(kind, m[0])
+                    if got:
+                        add(m.start() + got[0], m.start() + got[1], kind, got[2])
+                    # Without one, another number can start at the next group.
+                    at = got[1] if got else next((k + 1 for k, c in enumerate(m[0]) if c in " -"), len(m[0]))
+                    m = pattern.search(text, m.start() + at)
+                continue
             for m in pattern.finditer(text):
                 s = m[0]
-                digits = "".join(c for c in s if c.isdigit() and c.isascii())
-                if kind == "card":
-                    if 13 <= len(digits) <= 19 and luhn(digits) % 10 == 0:
-                        add(*m.span(), kind, digits)
-                elif kind == "phone":
-                    if 7 <= len(digits) <= 15:
+                if kind == "phone":
+                    digits = "".join(c for c in s if c.isdigit() and c.isascii())
+                    if (9 if s[0] == "0" else 7) <= len(digits) <= 15:
                         add(*m.span(), kind, ("+" if s[0] == "+" else "") + digits)
-                elif kind == "iban":
-                    bare = s.replace(" ", "")
-                    if iban_valid(bare):
-                        add(*m.span(), kind, bare)
+                elif kind == "ipv6":
+                    s = next((x for x in (s, s[:-1]) if ipv6_valid(x)), None)
+                    if s:
+                        add(m.start(), m.start() + len(s), kind, str(ipaddress.IPv6Address(s)))
                 else:
-                    add(*m.span(), kind, s.lower() if kind in ("email", "ipv6") else s)
+                    add(*m.span(), kind, s.lower() if kind == "email" else s)
     for m in SECRET_WORD.finditer(text) if "=" in text or ":" in text else ():
         add(*m.span("v"), "secret", m["v"])
     for m in TITLED.finditer(text):
@@ -147,8 +184,8 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         body = norm[0] + "".join(str(draw(10)) for _ in norm[1:-1])
         return body + str(-luhn(body + "0") % 10)
     if kind == "phone":
-        # The country code, or an area code's first digit, and so what can be dialled, stay.
-        keep = 2 if norm[0] == "+" else 0
+        # The country code, or a leading 0, and so what can be dialled, stay.
+        keep = 2 if norm[0] == "+" else 1 if norm[0] == "0" else 0
         return norm[:keep] + "".join(str(2 + draw(8)) if k == keep else str(draw(10)) for k in range(keep, len(norm)))
     if kind == "ssn":
         return f"{1 + draw(665):03d}-{1 + draw(99):02d}-{1 + draw(9999):04d}"

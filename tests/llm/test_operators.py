@@ -64,6 +64,24 @@ def test_surrogates(spark, odd, none):
     assert pii.replace_entities(none, KEY).count() == 0
 
 
+def test_surrogates_reach_numbers_beside_others_short_addresses_and_national_phones(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [
+        (f"card {card} 12/27", card), ("4111111111111111 123", "4111111111111111"), (f"{card} 1234 5678", card), (f"no. 22 {card} x", card), (f"{iban} PAID", iban), (f"DE00 1111 {iban} x", iban),
+        ("at 2001:db8::1, up", "2001:db8::1"), ("via fe80::1ff:fe23:4567:890a%eth0", "fe80::1ff:fe23:4567:890a"), ("host 2001:DB8::7: down", "2001:DB8::7"), ("[2001:db8:0:0:0:0:0:9]:443", "2001:db8:0:0:0:0:0:9"),
+        ("call 020 7946 0958.", "020 7946 0958"), ("tel 06 12 34 56 78", "06 12 34 56 78"), ("07700 900123 or", "07700 900123"), ("call 308 555 5864", "308 555 5864"),
+    ]
+    for text, gone in cases:
+        assert [text[m.start : m.end] for m in pii.detect(text)] == [gone]
+    rows = [(k, t) for k, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert all(gone not in got[k] for k, (_, gone) in enumerate(cases))
+    assert got[10].startswith("call 0") and len(got[10]) == len(cases[10][0])
+    assert len({m.norm for t in ("2001:db8::9", "2001:DB8:0::0:9") for m in pii.detect(t)}) == 1
+    for text in ("at 12:30:45", "std::vector a::b", "::1 and ::", "12 020 300 4000 5000", "01 02 2024", "from 100 200 300 4000"):
+        assert pii.detect(text) == []
+
+
 def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     plain = pii.surrogate
     names = [f"198.51.{a}.{b}" for a in range(3) for b in range(40)]
