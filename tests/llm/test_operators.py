@@ -176,6 +176,18 @@ def test_leaks(spark, odd, none):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_without_blanks():
+    rng = np.random.default_rng(7)
+    run = lambda n: "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, n))
+    items = [(k, run(60)) for k in range(40)] + [(100, "www.example.com/a/long/path?with=no&blank=at&all=1")]
+    matcher = decontaminate.Matcher(items)
+    exact = [run(50) + t + run(50) for _, t in items]
+    assert {(d, n) for d, n, *_ in matcher.search(exact)} >= {(k, k) for k in range(41)}
+    edited = [run(50) + t[:20] + "X" + t[21:40] + t[41:] + run(50) for _, t in items[:40]]
+    assert sum((k, k) in {(d, n) for d, n, *_ in matcher.search(edited)} for k in range(40)) >= 38
+    assert list(matcher.search([run(300) for _ in range(20)])) == []
+
+
 def test_quality(spark, odd, none):
     rng = random.Random(2)
     words = "the of and to in a is that house river stone walks under bright field tomorrow never quick garden letter".split()
