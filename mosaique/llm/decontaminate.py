@@ -145,6 +145,13 @@ def nearest(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def class_of(s: np.ndarray) -> int:
+    """Steps of the walk for an item: its class of length; 0 for an item that is only sought verbatim."""
+    if len(s) < SHORT or len(anchors(s)) < 2 and len(s) < 2 * SHORT:
+        return 0
+    return STEPS if len(s) >= 120 else STEPS // 2 if len(s) >= 40 else STEPS // 4
+
+
 class Matcher:
     """Index of items by class of length; long items are walked further. Every item is sought verbatim too, short ones only so."""
 
@@ -156,11 +163,20 @@ class Matcher:
             s = symbols(text)
             n = len(self.items)
             self.items.append((item, s))
-            if len(s) < SHORT or len(anchors(s)) < 2 and len(s) < 2 * SHORT:
-                if len(s):
-                    self.verbatim.append(n)
-            else:
-                by_class[STEPS if len(s) >= 120 else STEPS // 2 if len(s) >= 40 else STEPS // 4].append(n)
+            if steps := class_of(s):
+                by_class[steps].append(n)
+            elif len(s):
+                self.verbatim.append(n)
+        # Classes of no table are sought exactly: of allowed + 1 pieces of an item one is left whole by the edits.
+        exact = [n for steps in list(by_class) if (tables or {}).get(steps) == 0 for n in by_class.pop(steps)]
+        piece = [(n, len(s) * j // (k + 1)) for n in exact for s in (self.items[n][1],) for k in (int(rate * len(s)),) for j in range(k + 1)]
+        if any(len(self.items[n][1]) < GRAM * (int(rate * len(self.items[n][1])) + 1) for n in exact):
+            raise ValueError(f"pieces of under {GRAM} symbols at this rate")
+        codes = np.array([int.from_bytes(self.items[n][1][o : o + GRAM].tobytes(), "little") for n, o in piece], "u8")
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.piece = codes[order], np.array(piece, np.int64).reshape(-1, 2)[order]
+        self.some_code = np.zeros(1 << 20, bool)
+        self.some_code[mix(codes) >> np.uint64(44)] = True
         self.tables: dict[int, np.ndarray] = {}
         headed = [n for n, (_, s) in enumerate(self.items) if len(s) >= HEAD]
         starts = [eights(self.items[n][1][:HEAD])[[0, 8]] for n in headed]
@@ -238,6 +254,35 @@ class Matcher:
                 found.append(np.stack([own[x[good]], at[w[good]] - where[x[good]]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
+    def exactly(self, whole: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, item, first and end of a part) for every part in which an item without tables can lie."""
+        c = eights(whole) & np.uint64((1 << 8 * GRAM) - 1)
+        hit = np.nonzero(self.some_code[mix(c) >> np.uint64(44)])[0]
+        lo, hi = np.searchsorted(self.codes, c[hit]), np.searchsorted(self.codes, c[hit], "right")
+        starts: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for p, x, y in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            d = int(np.searchsorted(begins, p, "right")) - 1
+            for n, offset in self.piece[x:y].tolist():
+                starts[d, n].add(p - offset)
+        whole_grams = grams(whole)
+        for (d, n), found in starts.items():
+            m = len(self.items[n][1])
+            allowed = int(self.rate * m)
+            first, last = int(begins[d]), int(begins[d + 1] if d + 1 < len(begins) else len(whole)) - STEPS
+            part = None
+            for start in sorted(found):
+                a, b = max(first, start - allowed - 1), min(last, start + m + allowed + 1)
+                if b - a < m - allowed or not self.may_hold(n, whole_grams, start, a, b, allowed):
+                    continue
+                if part and a <= part[1]:
+                    part = part[0], b
+                else:
+                    if part:
+                        yield d, n, *part
+                    part = a, b
+            if part:
+                yield d, n, *part
+
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item, start, end, distance): per text and item the nearest part, if within the rate."""
         parts, begins, at = [], [], 0
@@ -271,6 +316,12 @@ class Matcher:
                     if distance <= allowed and (d, n) not in best or (d, n) in best and distance < best[d, n][0]:
                         back = nearest(item[::-1], whole[a : a + end][::-1])[1]
                         best[d, n] = (distance, a + end - back - lo, a + end - lo)
+        for d, n, a, b in self.exactly(whole, begins) if len(self.codes) else ():
+            item, lo = self.items[n][1], begins[d]
+            distance, end = nearest(item, whole[a:b])
+            if distance <= int(self.rate * len(item)) and ((d, n) not in best or distance < best[d, n][0]):
+                back = nearest(item[::-1], whole[a : a + end][::-1])[1]
+                best[d, n] = (distance, a + end - back - lo, a + end - lo)
         exact: dict[tuple[int, int], int] = {}
         for n in self.verbatim:
             item = self.items[n][1].tobytes()
@@ -316,29 +367,34 @@ def mutate(s: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
 def calibrate(items: list[tuple[int, str]], rate: float = LSH_RATE, recall: float = RECALL, sample: int = 256, copies: int = 4) -> dict[int, int]:
     """Hash tables per class of length, doubled until copies with ``rate`` edits per symbol are found at ``recall``.
 
-    Each of a bounded sample of the items (``sample``) is edited ``copies`` times, between words of other items, with a fixed
-    seed.
+    At most ``sample`` items of each class, and of a class that has any at least one, are edited ``copies`` times (more where they are few), between
+    words of other items (without blanks where the item has none), with a fixed seed. A class that ``MOST_TABLES`` do not
+    bring to the recall gets 0 tables: it is sought exactly.
     """
+    by_class: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    for k in np.random.default_rng(SEED).permutation(len(items)):
+        steps = class_of(symbols(items[k][1]))
+        if steps and len(by_class[steps]) < sample:
+            by_class[steps].append(items[k])
     tables = dict.fromkeys((STEPS // 4, STEPS // 2, STEPS), TABLES)
-    chosen = [items[k] for k in np.random.default_rng(SEED).permutation(len(items))[:sample]]
-    while True:
-        matcher = Matcher(chosen, tables=tables)
-        done = True
-        for e, own, *_ in matcher.classes:
-            rng = np.random.default_rng(SEED + e.steps)
-            members, found = sorted(set(own.tolist())), 0
-            for n in members:
-                s = matcher.items[n][1]
-                other = matcher.items[members[(members.index(n) + 1) % len(members)]][1]
-                for _ in range(copies):
+    for steps, chosen in by_class.items():
+        trials = max(copies, -(-64 // len(chosen)))
+        while True:
+            matcher = Matcher(chosen, tables=tables)
+            rng = np.random.default_rng(SEED + steps)
+            found = 0
+            for n, (_, s) in enumerate(matcher.items):
+                other = matcher.items[(n + 1) % len(matcher.items)][1]
+                for _ in range(trials):
                     gap = [] if len(unspaced(s)) else [32]
                     text = np.concatenate([other[::-1], gap, mutate(s, int(rate * len(s)), rng), gap, other[::-1], np.zeros(STEPS, np.uint8)]).astype(np.uint8)
                     found += n in matcher.candidates(text, anchors(text))[:, 0]
-            if found < recall * copies * len(members) and tables[e.steps] < MOST_TABLES:
-                tables[e.steps] *= 2
-                done = False
-        if done:
-            return tables
+            if found >= recall * trials * len(chosen):
+                break
+            tables[steps] = 2 * tables[steps] if tables[steps] < MOST_TABLES else 0
+            if not tables[steps]:
+                break
+    return tables
 
 
 def blocks_of(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, int]]]:
@@ -358,7 +414,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFra
     ``docs`` (doc_id, text), ``items`` (item_id, text). A passage is a part of a whole text within ``rate`` edits per symbol
     of the whole item (letter case and kind of white space aside), of which the nearest is reported. Windows begin at
     anchors inside the texts and are as long as the items' class of length; hash tables are added until items edited at a
-    rate of 0.1 are found with a recall of 0.95. Items lie in every task, in blocks of at most ``BLOCK_CHARS`` characters;
+    rate of 0.1 are found with a recall of 0.95, and a class of length that 64 do not bring there is sought exactly. Items lie in every task, in blocks of at most ``BLOCK_CHARS`` characters;
     a larger benchmark is gone through block by block. Nothing is shuffled. Null and empty texts and items match nothing;
     every item is sought verbatim, whatever its length or script, those of under 24 symbols only so; equal items are reported each; rows of one id, or of null id, are
     reported each; no rows give no rows; other columns are not looked at.

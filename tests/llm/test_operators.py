@@ -188,6 +188,23 @@ def test_leaks_without_blanks():
     assert list(matcher.search([run(300) for _ in range(20)])) == []
 
 
+def test_every_class_of_items_is_calibrated_or_sought_exactly(monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(99))[:n].strip()
+    few = [(1000 + k, prose(30)) for k in range(3)]
+    among = decontaminate.calibrate([(k, prose(200)) for k in range(600)] + few, sample=40)
+    assert among[24] != decontaminate.TABLES
+    monkeypatch.setattr(decontaminate, "MOST_TABLES", decontaminate.TABLES)
+    assert decontaminate.calibrate(few, recall=1.01)[24] == 0
+    items = [(k, prose(n)) for k, n in enumerate((30, 34, 39, 60, 119, 200, 300))]
+    matcher = decontaminate.Matcher(items, tables=dict.fromkeys((24, 48, 96), 0))
+    texts = [bytes(decontaminate.mutate(s, int(0.15 * len(s)), rng)).decode("latin-1") for _, s in matcher.items for _ in range(20)]
+    found = {(d, n): x for d, n, *x in matcher.search([f"{prose(300)} {t} {prose(90)}" for t in texts])}
+    assert all((d, d // 20) in found for d in range(len(texts)))
+    assert list(matcher.search([prose(500) for _ in range(30)])) == []
+
+
 def test_quality(spark, odd, none):
     rng = random.Random(2)
     words = "the of and to in a is that house river stone walks under bright field tomorrow never quick garden letter".split()
