@@ -66,11 +66,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
         low = cut(both.groupBy("n").agg(F.min("m").alias("lo")), "low")
-        large = both.where("m > n").join(low, "n").select(F.col("m").alias("u"), F.least("lo", "n").alias("v"))
-        small = large.select("u", "v", F.expr("min(v) over (partition by u)").alias("lo"))
-        star = small.select(F.explode(F.array(F.struct("u", F.col("lo").alias("v")), F.struct(F.col("v").alias("u"), F.col("lo").alias("v")))).alias("e"))
-        new = cut(star.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        drop(low)
+        large = cut(both.where("m > n").join(low, "n").select(F.col("m").alias("u"), F.least("lo", "n").alias("v")), "large")
+        small = cut(large.groupBy("u").agg(F.min("v").alias("lo")), "small")
+        star = small.select("u", F.col("lo").alias("v")).union(large.join(small, "u").select(F.col("v").alias("u"), F.col("lo").alias("v")))
+        new = cut(star.where("u != v").distinct(), "edges")
+        for t in (low, large, small):
+            drop(t)
         now = _signature(new)
         drop(e)
         e = new

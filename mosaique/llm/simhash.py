@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, drop
 
-SEED, WORDS, BITS, HALF = 42, 3, 64, 32
+SEED, WORDS, BITS = 42, 3, 64
+#: Fingerprints that one task takes of a quarter at most, and about how many it holds; runs up to PAIRWISE are compared at once.
+LARGEST, CHUNK, PAIRWISE = 1 << 18, 1 << 18, 256
 
 
 def shingle_hashes(text: str, n: int = WORDS) -> np.ndarray:
@@ -72,49 +74,165 @@ def keep_one(docs: DataFrame, shingle: int = WORDS, most: int = 3) -> DataFrame:
     each = cut(docs.select("doc_id", *row, fp(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_mosaique_a", "_mosaique_b")).alias("first")
     distinct = cut(each.groupBy("fp").agg(first), "distinct")
-    labels = cut(link_fingerprints(distinct.select("fp"), most), "linked")
+    labels = link_fingerprints(distinct.select("fp"), most)
     kept = distinct.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
     kept = cut(kept.select("first._mosaique_a", "first._mosaique_b"), "kept")
+    drop(distinct)
+    drop(each)
     keys = ["_mosaique_a", "_mosaique_b"]
     return docs.select(*columns, *row).join(kept, keys, "left_semi").dropDuplicates(keys).select(*columns)
 
 
-def _variants(fp: Column) -> Column:
-    """For either half and each bit of it: the half with that bit wild, tagged with which half and bit; 64 keys."""
-    keys = []
-    for half in range(2):
-        part = fp.bitwiseAND(0xFFFFFFFF) if half == 0 else F.shiftrightunsigned(fp, HALF)
-        for bit in range(HALF):
-            keys.append(part.bitwiseAND(0xFFFFFFFF ^ (1 << bit)).bitwiseOR(F.lit((half * HALF + bit) << HALF)))
-    return F.array(*keys)
+def mask_tree() -> list[list[tuple[int, list[int]]]]:
+    """Per level the masks, each as its bits and the numbers of its masks on the next level.
 
-
-def link_fingerprints(fps: DataFrame, most: int = 3) -> DataFrame:
+    Two fingerprints of at most three differing bits share the bits of some mask of every level, below one that they share
+    on the level above: of two halves one has at most one differing bit, so one of its quarters has none (level 0) and the
+    other one is equal but for one wild bit (level 1, the signatures). Of the other half's four bytes one has none (level
+    2), and of its other 24 bits one half has at most one (level 3). Beyond that at most 2 ** 14 fingerprints can be equal.
+    """
+    span = lambda at, n: ((1 << n) - 1) << at
+    quarters, signatures, bytes_, last = [], [], [], []
+    for q in range(4):
+        quarters.append((span(16 * q, 16), list(range(len(signatures), len(signatures) + 16))))
+        for bit in range(16):
+            variant = span(32 * (q // 2), 32) ^ 1 << 16 * (q ^ 1) + bit
+            signatures.append((variant, list(range(len(bytes_), len(bytes_) + 4))))
+            other = [32 * (1 - q // 2) + k for k in range(32)]
+            for y in range(4):
+                rest = other[: 8 * y] + other[8 * y + 8 :]
+                known = variant | span(other[8 * y], 8)
+                bytes_.append((known, list(range(len(last), len(last) + 24))))
+                last += [(known | sum(1 << k for k in part if k != wild), []) for part in (rest[:12], rest[12:]) for wild in part]
+    return [quarters, signatures, bytes_, last]
+
+
+TREE = mask_tree()
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of a[i] and b[i]; ``label`` holds each element's least member and is changed in place."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label[:] = jumped
+
+
+def link_within(fps: np.ndarray, label: np.ndarray, some: np.ndarray, level: int, mask: int, most: int) -> None:
+    """Merges in ``label`` all of ``fps[some]`` that share the mask's bits and a signature, and differ in at most ``most`` bits.
+
+    Under each mask of the next level the fingerprints are sorted by what they share. A run's members are linked to its
+    first; only runs that then still hold several sets have their pairs compared, long ones mask by mask of the level below.
+    """
+    near = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]) <= most
+    for below in TREE[level][mask][1] or [None]:
+        bits = np.uint64(TREE[level + 1][below][0] if below is not None else TREE[level][mask][0])
+        key = fps[some] & bits
+        order = np.argsort(key, kind="stable")
+        at, key = some[order], key[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        run = np.cumsum(first) - 1
+        hub = at[np.nonzero(first)[0]][run]
+        ok = near(at, hub) & (at != hub)
+        merge(label, at[ok], hub[ok])
+        ends = np.append(np.nonzero(first)[0], len(at))
+        sizes, labels = np.diff(ends), label[at]
+        mixed = np.minimum.reduceat(labels, ends[:-1]) != np.maximum.reduceat(labels, ends[:-1])
+        long = mixed & (sizes > PAIRWISE) if below is not None else np.zeros(len(sizes), bool)
+        if long.any():
+            link_within(fps, label, at[long[run]], level + 1, below, most)
+        keep = (mixed & ~long)[run]
+        at, run = at[keep], run[keep]
+        step = 1
+        while step < len(at):
+            same = np.nonzero(run[step:] == run[:-step])[0]
+            if not len(same):
+                break
+            i, j = at[same], at[same + step]
+            ok = (label[i] != label[j]) & near(i, j)
+            merge(label, i[ok], j[ok])
+            step += 1
+
+
+def link_groups(path: np.ndarray, fps: np.ndarray, level: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, least one of its set) that connect what is near within the groups of one level."""
+    names, index = np.unique(fps, return_inverse=True)
+    label = np.arange(len(names))
+    for mask in np.unique(path):
+        link_within(names, label, index[path == mask], level, int(mask), most)
+    some = np.nonzero(label != np.arange(len(names)))[0]
+    return names[some], names[label[some]]
+
+
+def link_fingerprints(fps: DataFrame, most: int = 3, largest: int = LARGEST) -> DataFrame:
     """(fp, label): connected components of distinct fingerprints, linked at ``most`` (at most 3) or fewer differing bits.
 
-    Three bits over two halves leave one half with at most one, so the two share a variant of it with that bit wild.
-    A variant's members are linked to its smallest member first, where they verify; then only members that those links
-    have not connected yet are compared with each other, so that a group of many near copies is not expanded into pairs,
-    and yet no link between components is lost. Equality joins on partial-aggregated, written tables: a frequent variant
-    can be split over tasks.
+    Three bits over two halves leave one half with at most one, so the two share a variant of it with that bit wild; the
+    quarter beside it is then intact. So each fingerprint is sent to its four quarters, not to its 64 variants; these are
+    made, sorted and compared where a quarter's fingerprints meet. Tasks return a spanning forest of what they link,
+    never pairs. A quarter (or, in turn, a variant or a longer part, see :func:`mask_tree`) of over ``largest``
+    fingerprints is not gathered: its members are sent on by each of the longer parts that near ones among them share,
+    of which the last are bounded by their free bits. No link is lost at any size.
     """
     if most > 3:
         raise ValueError("two halves and one wildcard find at most 3 differing bits")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
-    variants = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    shared = variants.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub != top").select("key", "hub")
-    shared = cut(shared, "variants")
-    members = cut(variants.join(shared, "key"), "members")
-    hubs = cut(members.where((F.col("fp") != F.col("hub")) & near("fp", "hub")).select("fp", "hub").distinct(), "hubs")
-    found = cut(connected_components(hubs).withColumnsRenamed({"node": "fp", "component": "label"}), "labels")
-    named = cut(members.join(found, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")), "named")
-    mixed = cut(named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key"), "mixed")
-    left = cut(named.join(mixed, "key", "left_semi"), "unlinked")
-    other = left.select("key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    more = left.join(other, "key").where((F.col("label") < F.col("label2")) & near("fp", "fp2")).select("label", "label2").distinct()
-    merged = cut(connected_components(more).withColumnsRenamed({"node": "label", "component": "root"}), "merged")
-    labels = fps.join(found, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    return labels.join(merged, "label", "left").select("fp", F.coalesce("root", "label").alias("label"))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    shared = [F.struct(F.lit(n).alias("path"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for n, (m, _) in enumerate(TREE[0])]
+    rows = fps.select(F.explode(F.array(*shared)).alias("e"), "fp").select("e.path", "e.k", "fp")
+    found, written = None, []
+    for level in range(len(TREE)):
+        hot = None
+        if level + 1 < len(TREE):
+            hot = cut(rows.groupBy("path", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest).select("path", "k"), "hot")
+            written.append(hot)
+        more = hot is not None and not hot.isEmpty()
+        here = rows.join(hot, ["path", "k"], "left_anti") if more else rows
+
+        def resolve(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
+            def linked(part: pd.DataFrame) -> pd.DataFrame:
+                a, b = link_groups(part["path"].to_numpy(), part["fp"].to_numpy().view("u8"), level, most)
+                return pd.DataFrame({"fp": a.view("i8"), "low": b.view("i8")})
+
+            held, size = [], 0
+            for batch in batches:
+                held.append(batch)
+                size += len(batch)
+                if size >= CHUNK:
+                    every = pd.concat(held)
+                    path, k = every["path"].to_numpy(), every["k"].to_numpy()
+                    # The last group can go on in the next batch.
+                    done = int(np.nonzero((path != path[-1]) | (k != k[-1]))[0].max(initial=-1)) + 1
+                    if done:
+                        yield linked(every.iloc[:done])
+                    held, size = [every.iloc[done:]], len(every) - done
+            if size:
+                yield linked(pd.concat(held))
+
+        links = here.repartition("path", "k").sortWithinPartitions("path", "k").mapInPandas(resolve, "fp long, low long")
+        found = links if found is None else found.union(links)
+        if not more:
+            break
+
+        def refine(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for mask, part in batch.groupby("path"):
+                    fp = part["fp"].to_numpy()
+                    for below in TREE[level][mask][1]:
+                        yield pd.DataFrame({"path": below, "k": fp & np.int64(signed(TREE[level + 1][below][0])), "fp": fp})
+
+        rows = rows.join(hot, ["path", "k"], "left_semi").select("path", "fp").mapInPandas(refine, "path int, k long, fp long")
+    edges = cut(found.distinct(), "links")
+    for t in written:
+        drop(t)
+    labels = connected_components(edges).withColumnsRenamed({"node": "fp", "component": "label"})
+    drop(edges)
+    return fps.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = WORDS, most: int = 3) -> DataFrame:
@@ -127,9 +245,11 @@ def simhash_groups(docs: DataFrame, shingle: int = WORDS, most: int = 3) -> Data
     """
     each = cut(fingerprints(docs, shingle), "fingerprints")
     distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    labels = cut(link_fingerprints(distinct.select("fp"), most), "linked")
+    labels = link_fingerprints(distinct.select("fp"), most)
     named = cut(distinct.join(labels, "fp"), "classes")
-    lowest = cut(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
+    drop(distinct)
+    lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = cut(named.join(lowest, "label").select("fp", "component_id"), "classes")
+    drop(named)
     out = each.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
