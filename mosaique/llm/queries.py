@@ -77,32 +77,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
-#: Whether a URL that no rule fits inherits a verdict: in these tables no page declares a canonical link or a redirect, so
-#: that components are the variants of one address (www or not, a trailing slash or not).
-OP2_SQL = """
-with parts as (
-  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages
+#: Relative links with dot segments, links relative to a page's base, and variants aside (tests hold these by example).
+OP2_SQL = r"""
+with recursive parts as (
+  select page_id, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages
 ), urls as (
-  select page_id,
+  select page_id, html,
     translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
   from parts
 ), rules(v, h, p) as (values
   ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
-), nodes as (
-  select host, path from urls where host <> ''
-  union
-  select regexp_replace(host, '^www[.]', ''), regexp_replace(path, '/$', '') from urls where host <> ''
-), judged as (
-  select host, path, regexp_replace(host, '^www[.]', '') || ' ' || regexp_replace(path, '/$', '') as variant,
-    arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as verdict
-  from nodes left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+), seen as (
+  select host, path, regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script.*?</script>', ' ', 'gis') as s from urls where host <> '' and regexp_matches(html, 'canonical|refresh', 'i')
+), tags as (
+  select host, path, regexp_extract(regexp_extract(s, '<link\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\shref\s*=\s*["'']?([^"''\s>]+)', 1, 'i') as link from seen
+  union all
+  select host, path, regexp_extract(regexp_extract(s, '<meta\s(?:[^>]*\s)?http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'i') from seen
+), targets as (
+  select host, path, case when regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') then regexp_replace(link, '^[^/]*//', '')
+    when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then '' when regexp_matches(link, '^[?#]') then host || path when starts_with(link, '/') then host || link
+    else host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || link end as rest from tags where link <> ''
+), edges as (
+  select host || ' ' || path as a, lower(regexp_extract(rest, '^[^/?#]*')) || ' ' || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as b from targets where rest <> ''
+), both_ways as (select a, b from edges union select b, a from edges), reach(a, b) as (select a, a from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+nodes as (select distinct host, path from urls where host <> '' union select split_part(b, ' ', 1), substr(b, strpos(b, ' ') + 1) from edges),
+judged as (
+  select host, path, arg_min(h || p, (-length(h || p), v, h || p)) as rule, arg_min(v, (-length(h || p), v, h || p)) as verdict
+  from nodes join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
   group by host, path
 ), components as (
-  select variant, case when bool_or(verdict = 'allow') then 'allow' when bool_or(verdict = 'block') then 'block' end as inherited from judged group by variant
+  select reach.a as node, case when bool_or(verdict = 'allow') then 'allow' else 'block' end as inherited from reach join judged on reach.b = host || ' ' || path group by 1
 )
 select page_id, urls.host, urls.path, rule, coalesce(verdict, inherited, 'allow') as verdict
-from urls left join judged on judged.host = urls.host and judged.path = urls.path left join components using (variant)
+from urls left join judged on judged.host = urls.host and judged.path = urls.path left join components on node = urls.host || ' ' || urls.path
 """
 
 OP3_SQL = """
