@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, drop
 
-PROJECTIONS, SPREAD, RECALL, BLOCK, SEED = 16, 3.0, 0.9999, 2048, 7
+PROJECTIONS, SPREAD, RECALL, BLOCK, SEED = 16, 2.0, 0.9999, 8192, 7
+#: Counters that a task holds at once, a byte each.
+COUNTERS = 4 << 20
 
 
 def plan(threshold: float, projections: int = PROJECTIONS, spread: float = SPREAD, recall: float = RECALL) -> tuple[float, int]:
@@ -33,15 +37,30 @@ def plan(threshold: float, projections: int = PROJECTIONS, spread: float = SPREA
     return width, need
 
 
+@cache
 def directions(dim: int, projections: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
+    """(dim, projections) Gaussian directions."""
     return np.random.default_rng(seed).standard_normal((dim, projections))
 
 
-def _unit(rows: list, dim: int) -> np.ndarray:
-    """Unit vectors of the rows' own doubles; a large or tiny vector is scaled first, so that its square stays finite."""
-    x = np.frombuffer(b"".join(rows), "<f8").reshape(-1, dim)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+@cache
+def lead(dim: int) -> np.ndarray:
+    """The unit direction along which vectors are dealt to blocks."""
+    r = directions(dim, 1, SEED + 1)[:, 0]
+    return r / np.linalg.norm(r)
+
+
+def unit(v) -> np.ndarray | None:
+    """The vector over its norm, in doubles; None if it is null, empty or zero, or holds what is null or not finite. A large
+    or tiny vector is scaled first, so that its square stays finite."""
+    if v is None or not len(v):
+        return None
+    x = np.array([math.nan if c is None else c for c in v], "<f8")
+    top = np.abs(x).max()
+    if not (0 < top < math.inf):
+        return None
+    x = x / top
+    return x / math.sqrt(float(x @ x))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -66,30 +85,27 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def similar_pairs(x: np.ndarray, y: np.ndarray, threshold: float, r: np.ndarray, width: float, need: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of ``x`` and ``y`` (of i < j if ``same``) that collide in ``need`` windows and verify.
 
-    ``y`` is sorted along the first projection, on which the window of each row of ``x`` is a slice. Counting goes on over
-    the other projections while a pair can still reach the count.
+    ``y`` is sorted along every projection. The window of a row of ``x`` is then a slice of each order, of which every
+    member's counter goes up by one; only pairs that reach the count have their cosine taken. What lies in few windows costs
+    as many steps, and what lies in none costs nothing.
     """
     px, py = x @ r, y @ r
-    order_x, order_y = np.argsort(px[:, 0], kind="stable"), np.argsort(py[:, 0], kind="stable")
-    px, py = px[order_x], py[order_y]
-    misses = r.shape[1] - need
+    order = np.argsort(py, axis=0, kind="stable")
+    lo, hi = np.empty(px.shape, np.int64), np.empty(px.shape, np.int64)
+    for k in range(r.shape[1]):
+        line = py[order[:, k], k]
+        lo[:, k], hi[:, k] = np.searchsorted(line, px[:, k] - width), np.searchsorted(line, px[:, k] + width, "right")
+    orders = [np.ascontiguousarray(order[:, k]) for k in range(r.shape[1])]
     found_i, found_j = [], []
-    for at in range(0, len(px), 256):
-        p = px[at : at + 256]
-        # A pair may miss the first window as well, so that the slice only saves work when no miss is allowed.
-        lo, hi = (np.searchsorted(py[:, 0], p[0, 0] - width), np.searchsorted(py[:, 0], p[-1, 0] + width, "right")) if misses == 0 else (0, len(py))
-        q = py[lo:hi]
-        dense = min(5, r.shape[1])
-        count = np.zeros((len(p), len(q)), np.uint8)
-        for k in range(dense):
-            count += np.abs(p[:, k, None].astype("f4") - q[None, :, k].astype("f4")) <= width + 1e-5
-        i, j = np.nonzero(count + misses >= dense)
-        c = count[i, j].astype(int)
-        for k in range(dense, r.shape[1]):
-            c += np.abs(p[i, k] - q[j, k]) <= width
-            keep = c + misses >= k + 1
-            i, j, c = i[keep], j[keep], c[keep]
-        i, j = order_x[i + at], order_y[j + lo]
+    step = max(1, COUNTERS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        counts = np.zeros((min(step, len(x) - at), len(y)), np.uint8)
+        for q, (a, b) in enumerate(zip(lo[at : at + step].tolist(), hi[at : at + step].tolist(), strict=True)):
+            row = counts[q]
+            for line, first, end in zip(orders, a, b, strict=True):
+                row[line[first:end]] += 1
+        i, j = np.nonzero(counts >= need)
+        i += at
         if same:
             i, j = i[i < j], j[i < j]
         for s in range(0, len(i), 65536):
@@ -105,36 +121,39 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.98, block: int = BL
 
     Only vectors of one label, and none null, zero or with null or non-finite components, are compared; others are alone.
     Vectors of other lengths are compared among themselves. Equal vectors of a label are one class with a count; classes
-    are dealt to blocks by a range over label and first projection, and each pair of blocks whose first projections come
-    near enough is one task's work of bounded size, however many rows a label has. Tasks return counts and a spanning
-    forest per pair of blocks, never the links. All pairs of a label are covered: the work is quadratic in the classes of
-    a label, cut by the first projection's bound only. A row of null vec_id has its n_links and its component, which is
-    the smallest id that is not null. Repeated ids are rows of their own. No rows give no rows.
+    are dealt to blocks by a range over label and a lead projection, and each pair of blocks whose lead projections come
+    near enough is one task's work of bounded size, however many rows a label has: within it every projection is sorted
+    and collisions in windows are counted. Tasks return counts and a spanning forest per pair of blocks, never the links.
+    The work grows with the square of a label's classes: a window that near pairs hardly miss holds a fifth of all others.
+    A row of null vec_id has its n_links and its component, which is the smallest id that is not null. Repeated ids are
+    rows of their own; very long vectors are read whole. No rows give no rows; other columns are not looked at.
     """
     width, need = plan(threshold, projections, recall=recall)
-    finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    usable = f"coalesce(label is not null and embedding is not null and {finite} and exists(embedding, x -> x != 0), false)"
-    rows = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("usable", F.expr(usable)).withColumn("class", F.when(F.col("usable"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string"))), 256)))
-    rows = cut(rows, "vectors")
-    good = rows.where("usable")
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            vs = [np.asarray(v, "<f8") for v in batch["embedding"]]
-            first = [float(_unit([v.tobytes()], len(v))[0] @ directions(len(v), 1, SEED + 1)[:, 0] / np.linalg.norm(directions(len(v), 1, SEED + 1))) for v in vs]
-            yield pd.DataFrame({"class": batch["class"], "label": batch["label"].astype(str), "n": batch["n"], "dim": [len(v) for v in vs], "v": [v.tobytes() for v in vs], "p": first})
 
-    classes = good.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = cut(classes.mapInPandas(pack, "class string, label string, n long, dim int, v binary, p double"), "classes")
-    total = classes.count()
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for v, label in zip(batch["embedding"], batch["label"], strict=True):
+                u = None if label is None else unit(v)
+                if u is None:
+                    out.append((None, None, None, None))
+                    continue
+                name = hashlib.blake2b(f"{len(label)} {label} ".encode() + (np.asarray(v, "<f8") + 0.0).tobytes(), digest_size=16).digest()
+                out.append((name, len(u), u.tobytes(), float(u @ lead(len(u)))))
+            yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "label": batch["label"]}).join(pd.DataFrame(out, columns=["class", "dim", "v", "p"], index=batch.index).astype({"dim": "Int32"}))
+
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = cut(rows.mapInPandas(measure, "vec_id long, label string, class binary, dim int, v binary, p double"), "vectors")
+    good = rows.where("class is not null")
+    total = good.count()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    classes = good.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), *[F.first(c).alias(c) for c in ("label", "dim", "v", "p")])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        base, number, room, last = TaskContext.get().partitionId() << 32, -1, 0, None
+        base, number, room, last, rank = TaskContext.get().partitionId() << 40, -1, 0, None, 0
         for batch in batches:
             out = np.empty(len(batch), "i8")
             for at, key in enumerate(zip(batch["label"], batch["dim"], strict=True)):
@@ -142,11 +161,12 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.98, block: int = BL
                     number, room, last = number + 1, block, key
                 room -= 1
                 out[at] = base + number
-            yield batch.assign(block=out)
+            yield batch.assign(block=out, id=base + rank + np.arange(len(batch)))
+            rank += len(batch)
 
-    parts = max(1, -(-total // (8 * block)))
+    parts = max(1, -(-total // (4 * block)))
     ranged = classes.repartitionByRange(parts, "label", "dim", "p", "class").sortWithinPartitions("label", "dim", "p", "class")
-    dealt = cut(ranged.mapInPandas(deal, "class string, label string, n long, dim int, v binary, p double, block long"), "blocks")
+    dealt = cut(ranged.select("class", "n", "first", "label", "dim", "v", "p").mapInPandas(deal, "class binary, n long, first long, label string, dim int, v binary, p double, block long, id long"), "blocks")
     spans = cut(dealt.groupBy("label", "dim", "block").agg(F.min("p").alias("lo"), F.max("p").alias("hi")), "spans")
     # A projection to a unit vector moves no further than the vectors are apart: blocks beyond that share no link.
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
@@ -154,32 +174,31 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     pairs = spans.join(other, ["label", "dim"]).where((F.col("block") <= F.col("block2")) & (F.col("lo2") <= F.col("hi") + reach) & (F.col("lo") <= F.col("hi2") + reach))
     pairs = cut(pairs.select("block", "block2"), "pairs")
     sides = pairs.select(F.col("block").alias("b"), "block", "block2").union(pairs.where("block != block2").select(F.col("block2").alias("b"), "block", "block2"))
-    work = dealt.select("class", "n", "dim", "v", F.col("block").alias("b")).join(sides, "b")
+    work = dealt.select("id", "n", "dim", "v", F.col("block").alias("b")).join(sides, "b")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a, b = key
         dim = int(group["dim"].iloc[0])
-        group = group.sort_values("class", kind="stable")
-        one = group[group["b"] == a]
-        two = one if a == b else group[group["b"] == b]
-        x = _unit(list(one["v"]), dim)
-        y = x if a == b else _unit(list(two["v"]), dim)
-        i, j = similar_pairs(x, y, threshold, directions(dim, projections), width, need, a == b)
-        names = one["class"].to_numpy() if a == b else np.concatenate([one["class"].to_numpy(), two["class"].to_numpy()])
-        counts = one["n"].to_numpy() if a == b else np.concatenate([one["n"].to_numpy(), two["n"].to_numpy()])
+        group = group.sort_values(["b", "id"], kind="stable")
+        ids, n = group["id"].to_numpy(), group["n"].to_numpy()
+        vs = np.frombuffer(b"".join(group["v"]), "<f8").reshape(-1, dim)
+        half = int((group["b"] == a).sum())
+        i, j = similar_pairs(vs[:half], vs if a == b else vs[half:], threshold, directions(dim, projections), width, need, a == b)
         if a != b:
-            j = j + len(one)
-        links = np.bincount(i, counts[j], len(names)) + np.bincount(j, counts[i], len(names))
-        root = forest(i, j, len(names))
+            j = j + half
+        links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
+        root = forest(i, j, len(ids))
         some = links > 0
-        return pd.DataFrame({"class": names[some], "links": links[some].astype("i8"), "root": names[root[some]]})
-
-    found = cut(work.groupBy("block", "block2").applyInPandas(compare, "class string, links long, root string"), "links")
-    linked = cut(found.groupBy("class").agg(F.sum("links").alias("links")), "counts")
-    components = cut(connected_components(found.where("class != root").select("class", "root").distinct()).withColumnsRenamed({"node": "class", "component": "root"}), "components")
-    least = cut(good.groupBy("class").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "least")
-    named = cut(least.join(components, "class", "left").join(linked, "class", "left").select("class", "first", "n", F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "named")
-    lowest = cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+        return pd.DataFrame({"id": ids[some], "links": links[some].astype("i8"), "root": ids[root[some]]})
+
+    found = cut(work.groupBy("block", "block2").applyInPandas(compare, "id long, links long, root long"), "links")
+    linked = found.groupBy("id").agg(F.sum("links").alias("links"))
+    components = connected_components(found.where("id != root").select("id", "root").distinct()).withColumnsRenamed({"node": "id", "component": "root"})
+    named = dealt.select("class", "id", "first", "n").join(components, "id", "left").join(linked, "id", "left")
+    named = cut(named.select("class", "first", "n", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "named")
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     told = cut(named.join(lowest, "root").select("class", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"), "told")
-    out = good.join(told, "class").select("vec_id", "n_links", "component_id").union(rows.where("not usable").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    for t in (dealt, spans, pairs, found, named):
+        drop(t)
+    out = good.join(told, "class").select("vec_id", "n_links", "component_id").union(rows.where("class is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))
