@@ -7,19 +7,23 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A tag's beginning, and its rest: quotes hold a ">" only after "=", so that a stray one does not swallow the text. Every
+#: part is taken whole, without a way back, so that a page costs as many steps as it has characters.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
 SPACE = re.compile(r"\s+")
 #: Fixed lists of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head script style noscript template iframe svg math canvas object select option button form fieldset textarea input title nav aside menu dialog footer audio video".split())
+NEVER = frozenset("head script style noscript template iframe svg math canvas object select option button textarea input title nav aside menu dialog footer audio video".split())
 CONTENT = frozenset("article main".split())
 #: Fixed lists: whole names in class, id or role that mark what is no content, and how longer ones begin.
 NAMES = frozenset("""ad ads adsense advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion nav navigation navbar topnav
@@ -36,18 +40,35 @@ SURE = frozenset("ad ads adsense advert adverts advertisement advertising sponso
 PRIOR = 4.0
 IMPLIED = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 BLOCK_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: Within these a p that is open outside stays so; and elements that are boilerplate unless they hold the page itself.
+KEEPS_P = frozenset("article main section div td li blockquote body".split())
+DOUBTFUL = frozenset("form fieldset".split())
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 
 
 class Node:
-    """A block of text: its path of tags, its text, how much of it is in links, and what encloses it."""
+    """A block of text: the number of its path of tags, its text, how much of it is in links, and what encloses it."""
 
     __slots__ = ("path", "text", "linked", "never", "content", "named")
 
-    def __init__(self, path: str, text: str, linked: int, never: bool, content: bool, named: frozenset[int]):
+    def __init__(self, path: int, text: str, linked: int, never: bool, content: bool, named: int):
         self.path, self.text, self.linked, self.never, self.content, self.named = path, text, linked, never, content, named
 
 
+class Open(NamedTuple):
+    """An open element, with what holds of all that it lies in: path and marks leave inline elements out."""
+
+    name: str
+    path: int
+    never: bool
+    content: bool  # in an article or main
+    block_content: bool  # the same of the nearest element that is a block
+    named: int  # the nearest element named as boilerplate; 0 for none
+    link: bool
+    paragraph: int  # where in the stack the nearest open p is, if no block that keeps it open lies between; -1 for none
+
+
 def named_boilerplate(words: str) -> str:
     """The first of the ``words`` that is a name of boilerplate, or begins as one and does not end as a state; empty if none."""
     for w in words.lower().split():
@@ -56,76 +77,101 @@ def named_boilerplate(words: str) -> str:
     return ""
 
 
-def lift(nodes: list[Node], sure: set[int]) -> None:
+def lift(nodes: list[Node], above: list[int], sure: set[int]) -> None:
     """Sets ``never`` of the blocks in elements named as boilerplate, but for elements that hold the page itself.
 
     Those are elements with over half of the text in article or main, or over half of all text, so that no name around the
     page empties it. ``sure`` ones can be longer than a short page's text; they count as the page only if an article or
-    main lies in them and nothing outside.
+    main lies in them and nothing outside. ``above`` has the next such element around each, always of a lower number.
     """
-    whole: dict[int, int] = defaultdict(int)
-    marked: dict[int, int] = defaultdict(int)
-    seen = [n for n in nodes if not n.never]
-    for n in seen:
-        for k in n.named:
-            whole[k] += len(n.text)
-            marked[k] += len(n.text) * n.content
-    total, content = sum(len(n.text) for n in seen), sum(len(n.text) for n in seen if n.content)
-    page = {k for k in whole if (whole[k] == total and content if k in sure else 2 * marked[k] > content > 0 or 2 * whole[k] > total)}
-    for n in seen:
-        n.never = bool(n.named - page)
+    whole, marked = [0] * len(above), [0] * len(above)
+    for n in nodes:
+        if not n.never:
+            whole[n.named] += len(n.text)
+            marked[n.named] += len(n.text) * n.content
+    for k in range(len(above) - 1, 0, -1):
+        whole[above[k]] += whole[k]
+        marked[above[k]] += marked[k]
+    bad = [False] * len(above)
+    for k in range(1, len(above)):
+        page = whole[k] == whole[0] and marked[0] > 0 if k in sure else 2 * marked[k] > marked[0] > 0 or 2 * whole[k] > whole[0]
+        bad[k] = bad[above[k]] or not page
+    for n in nodes:
+        n.never = n.never or bad[n.named]
 
 
 def blocks(source: str) -> list[Node]:
-    """The page's text blocks in order. Unclosed and stray tags are borne: an end tag closes up to its own start, if any."""
-    stack: list[tuple[str, bool, bool, frozenset[int]]] = []  # name, never, content, enclosing elements named as boilerplate
+    """The page's text blocks in order. Unclosed and stray tags are borne: an end tag closes up to its own start, if any.
+
+    Paths are numbers, and what holds of an element's surroundings is kept with it, so that depth costs nothing.
+    """
+    root = Open("", 0, False, False, False, 0, False, -1)
+    stack: list[Open] = []
+    paths: dict[tuple[int, str], int] = {}
+    opened: dict[str, int] = defaultdict(int)
     out: list[Node] = []
-    sure: set[int] = set()
-    names = 0
+    above, sure = [0], set()
     held: list[str] = []
     linked = at = 0
+    quoted = True
 
     def end_block() -> None:
         nonlocal linked
         if held:
             text = SPACE.sub(" ", html_lib.unescape("".join(held))).strip()
             if text:
-                outer = [x for x in stack if x[0] not in INLINE]
-                content = outer[-1][2] if outer else False
-                out.append(Node("/".join(x[0] for x in outer), text, linked, any(x[1] for x in stack), content, stack[-1][3] if stack else frozenset()))
+                top = stack[-1] if stack else root
+                out.append(Node(top.path, text, linked, top.never, top.block_content, top.named))
         held.clear()
         linked = 0
 
     def pop_to(index: int) -> None:
-        if any(x[0] not in INLINE for x in stack[index:]):
+        if any(x.name not in INLINE for x in stack[index:]):
             end_block()
+        for x in stack[index:]:
+            opened[x.name] -= 1
         del stack[index:]
 
     def add(text: str) -> None:
         nonlocal linked
         if text:
             held.append(text)
-            if any(x[0] == "a" for x in stack):
+            if stack and stack[-1].link:
                 linked += len(text.strip())
 
     while True:
-        m = TOKEN.search(source, at)
-        if m is None:
+        start = source.find("<", at)
+        if start < 0:
             add(source[at:])
             break
-        add(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        add(source[at:start])
+        m = TAG.match(source, start)
+        if m is None:
+            opening, closing = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if source.startswith(o, start)), ("", ""))
+            if not opening:
+                add("<")
+                at = start + 1
+                continue
+            end = source.find(closing, start + len(opening))
+            at = end + len(closing) if end >= 0 else len(source)
             continue
+        rest = REST.match(source, m.end()) if quoted else None
+        # A tag without an end is text; after one no other is looked for in the same way.
+        at = rest.end() if rest else source.find(">", m.end()) + 1
+        if not rest:
+            quoted = False
+        if not at:
+            add(source[start:])
+            break
+        name, attributes = m[2].lower(), source[m.end() : at - 1]
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-            else:
-                if name not in INLINE:
-                    end_block()
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                pop_to(k)
+            elif name not in INLINE:
+                end_block()
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
@@ -137,30 +183,32 @@ def blocks(source: str) -> list[Node]:
         if name not in INLINE:
             end_block()
             if name in BLOCK_ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in ("article", "main", "section", "div", "td", "li", "blockquote", "body"):
-                        break
-            elif name in IMPLIED and stack and stack[-1][0] in IMPLIED[name]:
+                if stack and stack[-1].paragraph >= 0:
+                    pop_to(stack[-1].paragraph)
+            elif name in IMPLIED and stack and stack[-1].name in IMPLIED[name]:
                 pop_to(len(stack) - 1)
-        if name in VOID or m[4]:
+        if name in VOID or attributes.endswith("/"):
             continue
-        marks = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        above = stack[-1] if stack else ("", False, False, frozenset())
-        inside, named = above[2:]
-        words = " ".join(marks.get(k, "") for k in ("class", "id", "role"))
-        is_content = name in CONTENT or marks.get("role", "").lower() in ("main", "article") or marks.get("id", "").lower() in ("content", "main-content", "article")
-        never = above[1] or name in NEVER or (name == "header" and not inside) or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", marks.get("style", ""), re.I) is not None
-        if words.strip() and name not in ("html", "body", "main") and (found := named_boilerplate(words)):
-            names += 1
-            named |= {names}
-            if re.split("[-_]", found)[0] in SURE:
-                sure.add(names)
-        stack.append((name, never, inside or is_content, named))
+        marks = {}
+        for k, v in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+            marks.setdefault(k.lower(), v.strip("\"'"))
+        up = stack[-1] if stack else root
+        inside = up.content or name in CONTENT or marks.get("role", "").lower() in ("main", "article") or marks.get("id", "").lower() in ("content", "main-content", "article")
+        never = up.never or name in NEVER or (name == "header" and not up.content) or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or NOT_SHOWN.search(marks.get("style", "")) is not None
+        named = up.named
+        found = named_boilerplate(" ".join(marks.get(k, "") for k in ("class", "id", "role"))) if name not in ("html", "body", "main") else ""
+        if found or name in DOUBTFUL:
+            above.append(named)
+            named = len(above) - 1
+            if found and re.split("[-_]", found)[0] in SURE:
+                sure.add(named)
+        inline = name in INLINE
+        path = up.path if inline else paths.setdefault((up.path, name), len(paths) + 1)
+        paragraph = len(stack) if name == "p" else -1 if name in KEEPS_P else up.paragraph
+        stack.append(Open(name, path, never, inside, up.block_content if inline else inside, named, up.link or name == "a", paragraph))
+        opened[name] += 1
     end_block()
-    lift(out, sure)
+    lift(out, above, sure)
     return out
 
 
@@ -182,9 +230,9 @@ def main_text(source: str) -> str:
     nodes = [n for n in blocks(source) if not n.never]
     if not nodes:
         return ""
-    text: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    count: dict[str, int] = defaultdict(int)
+    text: dict[int, float] = defaultdict(float)
+    marks: dict[int, float] = defaultdict(float)
+    count: dict[int, int] = defaultdict(int)
     for n in nodes:
         count[n.path] += 1
         text[n.path] += max(0, len(n.text) - n.linked)
@@ -193,7 +241,7 @@ def main_text(source: str) -> str:
     points = _smooth([1 + marks[n.path] / count[n.path] for n in nodes])
     fused = [math.sqrt(a * b) for a, b in zip(length, points, strict=True)]
     limit = 0.3 * math.sqrt(sum(f * f for f in fused) / len(fused))
-    score: dict[str, float] = defaultdict(float)
+    score: dict[int, float] = defaultdict(float)
     for n, f in zip(nodes, fused, strict=True):
         score[n.path] += f * (PRIOR if n.content else 1) / count[n.path]
     return "\n\n".join(n.text for n in nodes if score[n.path] >= limit and n.linked < 0.5 * len(n.text))
@@ -202,8 +250,9 @@ def main_text(source: str) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """Every row of ``pages`` (page_id, url, html) with its main text (empty if none) and that text's code points.
 
-    One pass, each page on its own: nothing is shuffled. A null html is empty. Repeated rows, null ids and URLs pass
-    through; no rows give no rows; other columns are not looked at.
+    One pass, each page on its own: nothing is shuffled. A null html is empty; a page costs as many steps as it has
+    characters, however deep its elements nest and whatever it leaves open. Repeated rows, null ids and URLs pass through;
+    no rows give no rows; other columns are not looked at.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
