@@ -2,9 +2,11 @@ import gzip
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,6 +376,15 @@ def test_embeddings(spark):
     assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_odd_rows(spark):
+    v, w = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0]
+    rows = [(None, v, "a,1"), (None, w, "a,1"), (5, v, "a,1"), (5, w, "a,1"), (7, [1.0, 0.0], "a,1"), (8, [1.0, 0.01], "a,1"), (9, v, "a"), (10, [-0.0, 1.0, 0.0], "z"), (11, [0.0, 2.0, 0.0], "z"), (None, v, "q"), (12, [], "a,1"), (13, [1.0, 1.0, 0.0], "a"), (14, [1.0] * 5000, "long"), (15, [1.0] * 4999 + [1.01], "long")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("id", F.lit("x"))
+    got = sorted((tuple(r) for r in embedding_dedup.link_embeddings(df, block=2).collect()), key=str)
+    want = [(None, 3, 5, False), (None, 3, 5, False), (5, 3, 5, True), (5, 3, 5, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (10, 1, 10, True), (11, 1, 10, False), (None, 0, None, True), (12, 0, 12, True), (13, 0, 13, True), (14, 1, 14, True), (15, 1, 14, False)]
+    assert got == sorted(want, key=str)
+
+
 def test_embedding_count_is_calibrated():
     width, need = embedding_dedup.plan(0.98)
     rng = np.random.default_rng(5)
@@ -428,6 +439,61 @@ def test_html_ratios_decide_marked_pages_too():
     assert html_text.main_text("<div class=ad>An advert, which is longer than the text. Buy now.</div><article><h1>Head</h1><p>Tiny.</p></article>") == "Head\n\nTiny."
 
 
+def test_html_of_hostile_pages_takes_as_long_as_they_are():
+    began = time.time()
+    for page in ("<div>x" * 100000, "<a " * 100000, '<a b="' * 100000 + "x>", '<a "' * 100001, "<div class=ad>x" * 30000, "<p><div>" + "<b>" * 30000 + "<p>x" * 30000, "<i>" * 30000 + "</b>" * 30000, "<span>" * 30000 + "</div><p>x" * 10000, "<!--" * 50000):
+        assert len(html_text.main_text(page)) <= len(page)
+    assert time.time() - began < 60
+    assert html_text.main_text("<p title=it's>One, two.</p><p>Three's.</p>") == "One, two.\n\nThree's."
+    assert html_text.main_text('<div title="hidden gem" data-id=nav>Some text, here.</div>') == "Some text, here."
+    assert html_text.main_text("<form action=/x><div><p>All of it in a form, long.</p><p>More text, of it.</p></div></form>").count("\n\n") == 1
+
+
+def test_html_against_a_plain_parser():
+    """The pages' articles, by the standard library's parser; and what is left of them by the ratios alone, without any mark."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.skip, self.blocks, self.held = False, 0, [], ""
+
+        def end(self):
+            if text := " ".join(self.held.split()):
+                self.blocks.append(text)
+            self.held = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.held += " "
+            elif tag not in html_text.INLINE:
+                self.end()
+                self.skip += self.skip > 0 or tag == "div" and ("class", "comments") in attrs
+                self.inside |= tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in html_text.INLINE:
+                self.end()
+                self.skip -= self.skip > 0
+                self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.held += data
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    kept = given = whole = 0
+    for page in pages:
+        parser = Article()
+        parser.feed(page)
+        parser.close()
+        assert html_text.main_text(page) == "\n\n".join(parser.blocks)
+        bare = html_text.main_text(re.sub(r"<(/?)(article|main|nav|footer|aside|header)\b[^>]*>", r"<\1div>", re.sub(r' (class|id|role)="[^"]*"', "", page)))
+        a, b = set(parser.blocks), set(bare.split("\n\n"))
+        kept, given, whole = kept + len(a & b), given + len(b), whole + len(a)
+    assert kept >= 0.99 * whole and kept >= 0.8 * given
+
+
 def test_simhash(spark, odd, none):
     rng = random.Random(6)
     fps = [rng.getrandbits(64) for _ in range(200)]
