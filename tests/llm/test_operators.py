@@ -235,6 +235,77 @@ def test_licences(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+def test_licences_are_told_apart_by_their_names_and_versions():
+    index = licenses.Index(licenses.TEMPLATES)
+    names = {
+        "Licensed under the BSD License": "BSD", "Licensed under the Apache License": "Apache", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0",
+        "Licensed under the GPL, version 1": "GPL-1.0", "This work is licensed under the Lesser GPL, version 2": "LGPL-2.0", "Licensed under CC BY 3.0": "CC-BY-3.0", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "Licensed under the Apache License, Version 1.1": "Apache-1.1", "This work is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "Licensed under GPLv3": "GPL-3.0",
+        "Released under the GNU General Public License v2.0": "GPL-2.0", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 2.5 International License": "CC-BY-NC-2.5",
+        licenses.GNU_GRANT.format(work="program", mark=";", mark2=";", kind="Lesser ", v="2.1"): "LGPL-2.1", licenses.GNU_GRANT.format(work="program", mark=":", mark2=",", kind="", v="3"): "GPL-3.0",
+    }
+    for text, name in names.items():
+        assert [g[0] for g in licenses.scan(f"Some words, then: {text}. And more.", index)] == [name]
+    for text in ("CC BY-ND 4.0", "Licensed under CC BY-XX 4.0", "Licensed under the Foo License, version 2", "Licensed under the GPL, version 9", "He is licensed under the law, and so is the work."):
+        assert licenses.scan(text, index) == []
+    with pytest.raises(ValueError):
+        licenses.Index({"x": ["two words"]})
+
+
+def test_licence_texts_with_edits():
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(4)
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-1.1", "MPL-2.0", "ISC", "CC0-1.0"):
+        words = max(licenses.TEMPLATES[name], key=len).split()
+        for _ in range(len(words) // 30):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = ["other"] * rng.randrange(2)
+        head, text = "Copyright (c) 2024 A. Person and others. ", " ".join(words)
+        found = [g for g in licenses.scan(f"{head}{text} {head}", index) if g[0] != "All-rights-reserved"]
+        assert [g[0] for g in found] == [name]
+        assert 0.85 < found[0][1] <= 1 and abs(found[0][2] - len(head)) < 60 and abs(found[0][3] - len(head) - len(text)) < 60
+
+
+def test_licence_alignment_against_all_paths():
+    rng = random.Random(5)
+
+    def best(a, b):
+        score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [score[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1)] if i and j else []
+                ways += [score[i - 1][j] - 1] if i else []
+                ways += [score[i][j - 1] - 1] if j else []
+                score[i][j] = max(ways, default=0)
+        return score
+
+    for _ in range(150):
+        a = [rng.randrange(6) for _ in range(rng.randrange(25))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = [rng.randrange(6)] * rng.randrange(2)
+        score = best(a, b)
+        for free, want in ((False, score[-1][-1]), (True, max(map(max, score)))):
+            pairs = licenses.align(a, b, 30, free)
+            assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(pairs))
+            ends = pairs + [(len(a), len(b))] if not free else pairs
+            cost, last = 0, (-1, -1)
+            for i, j in ends:
+                cost += max(i - last[0], j - last[1]) - 1
+                last = (i, j)
+            assert 2 * len(pairs) - cost == want
+        if len(b) - len(a) in range(-3, 4):
+            assert len(licenses.align(a, b, 6)) == len(licenses.align(a, b, 30))
+
+
+def test_licences_of_odd_rows(spark):
+    text = "Released under the MIT License"
+    rows = [(None, text, 1), (None, text, 1), (3, text, 2), (3, f"{LONG} {text}", 2), (4, None, 3), (5, "", 3)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license int").withColumn("start", F.lit("x"))).collect()
+    assert sorted(((r["doc_id"], r["start"]) for r in got), key=str) == sorted([(None, 0), (None, 0), (3, 0), (3, len(LONG) + 1)], key=str)
+    assert all(r["license"] == "MIT" and r["end"] - r["start"] == len(text) for r in got)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
