@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -11,19 +12,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STEPS, SAMPLED, TABLES, MOST_TABLES, SPAN = 96, 9, 8, 64, 1
-RATE, LSH_RATE, RECALL, SEED = 0.15, 0.1, 0.95, 11
+RATE, RECALL, SEED = 0.15, 0.95, 11
 BLOCK_CHARS = 4 << 20
 LEAST_SAME, GRAM = 0.4, 5
 SHORT = 24
 RUN, NEAR, HEAD = 16, 6, 16
 
 
-def symbols(text: str) -> np.ndarray:
-    """One byte per code point, A-Z and the Latin-1 capitals lower-cased, white space as blanks; 0 never occurs."""
+@cache
+def folds() -> np.ndarray:
+    """Code point -> that of its lower case, if this is one code point; white space -> a blank. Beyond lie no cased letters."""
+    out = np.arange(0x1F000, dtype="<u4")
+    for c in map(chr, out.tolist()):
+        if c.isspace():
+            out[ord(c)] = 32
+        elif len(low := c.lower()) == 1:
+            out[ord(c)] = ord(low)
+    out[0] = 1  # zeros stand between texts
+    return out
+
+
+def points(text: str) -> np.ndarray:
+    """The code points that are compared: letters in lower case, all white space as blanks."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    a = np.where(((a >= 65) & (a <= 90)) | ((a >= 0xC0) & (a <= 0xDE) & (a != 0xD7)), a + 32, a)
-    a = np.where((a >= 9) & (a <= 13), 32, a)
-    return np.where(a < 256, np.maximum(a, 1), (a * 2654435761 >> 16) % 255 + 1).astype(np.uint8)
+    table = folds()
+    return table[a] if not len(a) or a.max() < len(table) else np.where(a < len(table), table[np.minimum(a, len(table) - 1)], a)
+
+
+def bytes_of(p: np.ndarray) -> np.ndarray:
+    """One byte per code point, for walks and keys; 0 never occurs, and none but a blank becomes 32. Code points over 255
+    share bytes, so that only :func:`points` tell whether two texts are alike."""
+    high = (p * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(191)
+    return np.where(p < 256, np.maximum(p, 1), high + 64).astype(np.uint8)
+
+
+def symbols(text: str) -> np.ndarray:
+    return bytes_of(points(text))
 
 
 def anchors(s: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -153,16 +177,21 @@ def class_of(s: np.ndarray) -> int:
 
 
 class Matcher:
-    """Index of items by class of length; long items are walked further. Every item is sought verbatim too, short ones only so."""
+    """Index of items by class of length; long items are walked further. Every item is sought verbatim too, short ones only so.
+
+    Keys and grams are of bytes; distances, and what is verbatim, are of code points."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, tables: dict[int, int] | None = None):
         self.rate, self.items = rate, []
         self.verbatim: list[int] = []
         by_class: dict[int, list[int]] = defaultdict(list)
+        self.points: list[np.ndarray] = []
         for item, text in items:
-            s = symbols(text)
+            p = points(text)
+            s = bytes_of(p)
             n = len(self.items)
             self.items.append((item, s))
+            self.points.append(p)
             if steps := class_of(s):
                 by_class[steps].append(n)
             elif len(s):
@@ -286,18 +315,28 @@ class Matcher:
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item, start, end, distance): per text and item the nearest part, if within the rate."""
         parts, begins, at = [], [], 0
-        gap = np.zeros(STEPS, np.uint8)
+        gap = np.zeros(STEPS, "<u4")
         for t in texts:
-            s = symbols(t)
+            p = points(t)
             begins.append(at)
-            parts += [s, gap]
-            at += len(s) + STEPS
+            parts += [p, gap]
+            at += len(p) + STEPS
         if not parts:
             return
-        whole, begins = np.concatenate(parts), np.array(begins)
+        exact_points, begins = np.concatenate(parts), np.array(begins)
+        whole = bytes_of(exact_points)
+        whole[exact_points == 0] = 0
         chosen, whole_grams = anchors(whole), grams(whole)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: dict[tuple[int, int], list[int]] = defaultdict(list)
+        tried: set[tuple[int, int, int]] = set()
+
+        def verify(d: int, n: int, a: int, b: int) -> None:
+            item, lo = self.points[n], begins[d]
+            distance, end = nearest(item, exact_points[a:b])
+            if distance <= int(self.rate * len(item)) and ((d, n) not in best or distance < best[d, n][0]):
+                back = nearest(item[::-1], exact_points[a : a + end][::-1])[1]
+                best[d, n] = (distance, a + end - back - lo, a + end - lo)
+
         for step in range(0, len(chosen), 1 << 16):
             for n, start in self.candidates(whole, chosen[step : step + (1 << 16)]).tolist():
                 item = self.items[n][1]
@@ -307,31 +346,26 @@ class Matcher:
                     lo, hi = begins[d], (begins[d + 1] if d + 1 < len(begins) else len(whole)) - STEPS
                     allowed = int(self.rate * len(item))
                     a, b = max(lo, start - allowed - 1), min(hi, start + len(item) + allowed + 1)
-                    if b - a < len(item) - allowed or any(abs(start - x) <= 2 for x in tried[d, n]):
-                        continue
-                    tried[d, n].append(start)
-                    if not self.may_hold(n, whole_grams, start, a, b, allowed):
+                    # Starts near each other are one: the part has room for them.
+                    if b - a < len(item) - allowed or not tried.isdisjoint((d, n, (start + k) >> 2) for k in (-2, 0, 2)):
                         continue
-                    distance, end = nearest(item, whole[a:b])
-                    if distance <= allowed and (d, n) not in best or (d, n) in best and distance < best[d, n][0]:
-                        back = nearest(item[::-1], whole[a : a + end][::-1])[1]
-                        best[d, n] = (distance, a + end - back - lo, a + end - lo)
+                    tried.add((d, n, start >> 2))
+                    if self.may_hold(n, whole_grams, start, max(lo, a - 4), min(hi, b + 4), allowed):
+                        verify(d, n, max(lo, a - 4), min(hi, b + 4))
         for d, n, a, b in self.exactly(whole, begins) if len(self.codes) else ():
-            item, lo = self.items[n][1], begins[d]
-            distance, end = nearest(item, whole[a:b])
-            if distance <= int(self.rate * len(item)) and ((d, n) not in best or distance < best[d, n][0]):
-                back = nearest(item[::-1], whole[a : a + end][::-1])[1]
-                best[d, n] = (distance, a + end - back - lo, a + end - lo)
+            verify(d, n, a, b)
         exact: dict[tuple[int, int], int] = {}
+        everything = whole.tobytes() if self.verbatim else b""
         for n in self.verbatim:
             item = self.items[n][1].tobytes()
             if len(item) >= HEAD:
                 continue
-            for d in range(len(texts)):
-                hi = (begins[d + 1] if d + 1 < len(begins) else len(whole)) - STEPS
-                k = whole[begins[d] : hi].tobytes().find(item)
-                if k >= 0:
-                    exact[d, n] = k
+            k = everything.find(item)
+            while k >= 0:
+                d = int(np.searchsorted(begins, k, "right")) - 1
+                if (d, n) not in exact and stands_alone(exact_points, k, self.points[n]):
+                    exact[d, n] = k - int(begins[d])
+                k = everything.find(item, k + 1)
         h, hit = eights(whole), np.empty(0, np.int64)
         if len(self.heads):
             hit = np.nonzero(self.some_head[mix(h[:-8]) >> np.uint64(44)])[0]
@@ -340,9 +374,9 @@ class Matcher:
         for k, x, y in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
             d = int(np.searchsorted(begins, k, "right")) - 1
             for n in self.headed[x:y].tolist():
-                item = self.items[n][1]
+                item = self.points[n]
                 # Texts end in zeros, which no item holds.
-                if (d, n) not in exact and np.array_equal(whole[k : k + len(item)], item):
+                if (d, n) not in exact and (stands_alone(exact_points, k, item) if len(item) < SHORT else np.array_equal(exact_points[k : k + len(item)], item)):
                     exact[d, n] = k - begins[d]
         for (d, n), k in exact.items():
             if (d, n) not in best or best[d, n][0]:
@@ -351,6 +385,15 @@ class Matcher:
             yield d, n, int(start), int(end), distance
 
 
+def stands_alone(text: np.ndarray, k: int, item: np.ndarray) -> bool:
+    """Whether the item stands at place ``k``, and is no part of a longer word (in scripts that part words by blanks)."""
+    end = k + len(item)
+    if not np.array_equal(text[k:end], item):
+        return False
+    of_word = lambda i: 0 <= i < len(text) and text[i] < 0x2E80 and chr(text[i]).isalnum()
+    return not (of_word(k - 1) and of_word(k) or of_word(end - 1) and of_word(end))
+
+
 def mutate(s: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     out = s.tolist()
     for _ in range(edits):
@@ -361,10 +404,10 @@ def mutate(s: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
             out.insert(k, int(rng.integers(97, 123)))
         elif len(out) > 1:
             del out[k]
-    return np.array(out, np.uint8)
+    return np.array(out, s.dtype)
 
 
-def calibrate(items: list[tuple[int, str]], rate: float = LSH_RATE, recall: float = RECALL, sample: int = 256, copies: int = 4) -> dict[int, int]:
+def calibrate(items: list[tuple[int, str]], rate: float = RATE, recall: float = RECALL, sample: int = 256, copies: int = 4) -> dict[int, int]:
     """Hash tables per class of length, doubled until copies with ``rate`` edits per symbol are found at ``recall``.
 
     At most ``sample`` items of each class, and of a class that has any at least one, are edited ``copies`` times (more where they are few), between
@@ -411,12 +454,14 @@ def blocks_of(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[in
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """One row per document and benchmark item of which it holds a passage: span, edit distance and similarity.
 
-    ``docs`` (doc_id, text), ``items`` (item_id, text). A passage is a part of a whole text within ``rate`` edits per symbol
-    of the whole item (letter case and kind of white space aside), of which the nearest is reported. Windows begin at
-    anchors inside the texts and are as long as the items' class of length; hash tables are added until items edited at a
-    rate of 0.1 are found with a recall of 0.95, and a class of length that 64 do not bring there is sought exactly. Items lie in every task, in blocks of at most ``BLOCK_CHARS`` characters;
+    ``docs`` (doc_id, text), ``items`` (item_id, text). A passage is a part of a whole text within ``rate`` edits per code
+    point of the whole item (letter case and kind of white space aside, in all scripts), of which the nearest is reported.
+    Windows begin at anchors inside the texts, at every word and inside long runs without blanks; walks are as long as a
+    class of items' length allows, at most ``STEPS`` steps: over a whole long item, edits drive two walks apart for good.
+    Hash tables are added until items edited at this very rate are found with a recall of 0.95, and a class of length that
+    ``MOST_TABLES`` do not bring there is sought exactly. Items lie in every task, in blocks of at most ``BLOCK_CHARS`` characters;
     a larger benchmark is gone through block by block. Nothing is shuffled. Null and empty texts and items match nothing;
-    every item is sought verbatim, whatever its length or script, those of under 24 symbols only so; equal items are reported each; rows of one id, or of null id, are
+    every item is sought verbatim, whatever its length or script, those of under 24 symbols only so, and as whole words; equal items are reported each; rows of one id, or of null id, are
     reported each; no rows give no rows; other columns are not looked at.
     """
     schema = "doc_id long, item_id long, start long, end long, distance int, similarity double"
