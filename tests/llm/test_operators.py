@@ -367,6 +367,57 @@ def test_every_class_of_items_is_calibrated_or_sought_exactly(monkeypatch):
     assert list(matcher.search([prose(500) for _ in range(30)])) == []
 
 
+def test_leaks_against_every_window():
+    """Every item against every part of every text, by plain dynamic programming; edits in several scripts at all rates up to the limit."""
+    rng = np.random.default_rng(21)
+    scripts = ["abcdefghijklmnop", "абвгдежзиклмноп", "āčēģīķļņšūžźàéü", "αβγδεζηθικλμνξο"]
+    word = lambda k: "".join(scripts[k][int(c)] for c in rng.integers(0, 15, rng.integers(2, 9)))
+    prose = lambda k, n: " ".join(word(k) for _ in range(n))
+    items = [(n, prose(n % 4, int(rng.integers(5, 40)))) for n in range(24)]
+    texts = []
+    for n, (_, item) in enumerate(items):
+        for rate in (0.0, 0.05, 0.1, 0.14, 0.2):
+            edited = "".join(map(chr, decontaminate.mutate(decontaminate.points(item), int(rate * len(item)), rng).tolist()))
+            texts.append(f"{prose(n % 4, 6)} {edited.upper() if n % 3 == 0 else edited} {prose(n % 4, 6)}")
+
+    def nearest(a, b):
+        row = np.zeros(len(b) + 1, int)
+        for i, x in enumerate(a, 1):
+            diagonal = row[:-1] + (b != x)
+            new = np.concatenate([[i], np.minimum(diagonal, row[1:] + 1)])
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        return int(row.min())
+
+    want = {}
+    for d, text in enumerate(texts):
+        for n, (_, item) in enumerate(items):
+            a = decontaminate.points(item)
+            distance = nearest(a, decontaminate.points(text))
+            if distance <= decontaminate.RATE * len(a):
+                want[d, n] = distance
+    matcher = decontaminate.Matcher(items, tables=decontaminate.calibrate(items))
+    got = {(d, n): distance for d, n, _, _, distance in matcher.search(texts)}
+    assert got.items() <= want.items() and len(got) >= 0.95 * len(want) and len(want) >= 90
+
+
+def test_leaks_are_compared_by_code_points():
+    pairs = [("āāāāāāāāā bbbb cccc ddddd eeee", "źźźźźźźźź bbbb cccc ddddd eeee"), ("Ж" * 30, "#" * 30), ("А! " * 12, "!А " * 12), ("ņ" * 40, " " * 40)]
+    matcher = decontaminate.Matcher([(k, a) for k, (a, _) in enumerate(pairs)])
+    assert list(matcher.search([b for _, b in pairs])) == []
+    assert [(d, n, x) for d, n, _, _, x in decontaminate.Matcher([(0, "Тест на утечку ДАННЫХ сегодня")]).search(["вот тест На\u00a0утечку данных СЕГОДНЯ и всё"])] == [(0, 0, 0)]
+    short = decontaminate.Matcher([(0, "cat"), (1, "短い文")])
+    assert [(d, n) for d, n, *_ in short.search(["concatenate", "a Cat sat", "cats", "これは短い文です", "(cat)"])] == [(1, 0), (3, 1), (4, 0)]
+
+
+def test_leaks_of_odd_rows(spark):
+    item = "what weighs more than seven grey elephants on a frozen northern lake"
+    rows = [(None, f"x {item} y", 5), (None, f"x {item} y", 5), (1, f"{LONG} {item.upper()}", None), (2, None, 1), (3, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, distance int").withColumn("start", F.lit("s")).withColumn("item_id", F.lit("i"))
+    items = spark.createDataFrame([(None, item, 1), (7, item, 2), (8, None, 3), (9, "", 4)], "item_id long, text string, doc_id int")
+    got = sorted(((r["doc_id"], r["item_id"], r["start"], r["distance"]) for r in decontaminate.find_leaks(docs, items).collect()), key=str)
+    assert got == sorted([(d, i, k, 0) for d, k in ((None, 2), (None, 2), (1, len(LONG) + 1)) for i in (None, 7)], key=str)
+
+
 def test_quality(spark, odd, none):
     rng = random.Random(2)
     words = "the of and to in a is that house river stone walks under bright field tomorrow never quick garden letter".split()
