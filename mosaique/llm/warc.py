@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +50,14 @@ def resolve_revisits(headers: DataFrame) -> DataFrame:
     )
 
 
-def _record(date: str) -> Column:
+def _warcinfo(date: str, about: str) -> str:
+    """The record that tells of the archives, to which all others refer by its id, whatever file they lie in."""
+    block = f"software: mosaique{END}format: WARC File Format 1.1{END}"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {about}", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return END.join([*head, "", block])
+
+
+def _record(date: str, about: str) -> Column:
     """One record without the two line ends after it, as a string of its bytes."""
     clean = lambda c: F.regexp_replace(F.col(c), r"[\r\n]+", "%0A")
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
@@ -66,6 +73,8 @@ def _record(date: str) -> Column:
         line("WARC-Profile", F.when(F.col("record_type") == "revisit", PROFILE)),
         line("WARC-Refers-To", F.col("refers_to_record")),
         line("WARC-Refers-To-Target-URI", clean("refers_to_url")),
+        line("WARC-Refers-To-Date", F.when(F.col("record_type") == "revisit", date)),
+        line("WARC-Warcinfo-ID", F.lit(about)),
         line("X-Page-ID", F.col("page_id").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.length(http) + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)).cast("string")),
@@ -74,17 +83,21 @@ def _record(date: str) -> Column:
     )
 
 
-def write_warcs(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes one record per row of ``pages`` (page_id, url, html) to gzip archives under ``path``.
+def write_warcs(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Writes one record per row of ``pages`` (page_id, url, html) to gzip archives under ``path``, and one that tells of them.
 
-    Rows with a payload that a row of larger page_id has as well become revisit records without a payload. A null html
-    is an empty payload; a null url leaves out the target. Rows that are equal in page_id, url and html are told apart
-    by a count, so that each gets its record. An empty table writes no archive. Payloads are shuffled once, to the rows'
-    resolved headers; digests travel as headers alone.
+    Rows with a payload that a row of larger page_id has as well become revisit records without a payload. Headers are
+    fresh: ``date`` is that of the call unless given. A null html is an empty payload, one of any length is written whole; a
+    null url leaves out the target. Rows that are equal in page_id, url and html are told apart by a count, so that each gets
+    its record. An empty table writes no archive. Payloads are shuffled once, to the rows' resolved headers, by a digest of
+    what tells rows apart; digests travel as headers alone. Spark's text sink compresses a file as one gzip member.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    h = hashlib.md5(f"{path} {date}".encode()).hexdigest()
+    about = f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
     html = F.coalesce("html", F.lit(""))
     body = pages.select("page_id", "url", html.alias("html"), base32_sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    key = F.xxhash64("page_id", "url", "payload_digest")
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "payload_digest", F.coalesce(F.concat(F.lit("u"), "url"), F.lit("-"))))
     headers = cut(
         body.withColumn("k", key).groupBy("k", "page_id", "url", "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("copies")), "headers"
     )
@@ -92,7 +105,7 @@ def write_warcs(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     if not total[1]:
         return
     spread = headers.select("k", "page_id", "url", "payload_digest", "payload_bytes", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    spread = spread.withColumn("record_id", _uuid(F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), "payload_digest", F.col("copy").cast("string")))
+    spread = spread.withColumn("record_id", _uuid(F.lit(date), F.col("k"), F.col("copy").cast("string")))
     solved = resolve_revisits(spread)
     bodies = body.withColumn("k", key).select("k", "html")
     plain = solved.where("record_type = 'revisit'").withColumn("html", F.lit(""))
@@ -100,46 +113,71 @@ def write_warcs(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     payloads = bodies.join(solved.where("record_type = 'response'").select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
     full = solved.where("record_type = 'response'").join(payloads, "k")
     files = max(1, -(-int(total[0] or 0) // FILE_BYTES))
-    rows = full.select(*plain.columns).union(plain).select(_record(date).alias("value"))
+    rows = full.select(*plain.columns).union(plain).select(_record(date, about).alias("value"))
+    rows = rows.union(pages.sparkSession.createDataFrame([(_warcinfo(date, about),)], "value string"))
     rows.coalesce(files).write.option("lineSep", END + END).option("compression", "gzip").text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Headers and block of each record of an uncompressed archive; lengths, not separators, bound the blocks."""
-    at, size = 0, len(data)
-    while at < size:
-        if data.startswith(b"\r\n", at):
-            at += 2
-            continue
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+def parse_warc(parts: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """Headers and block of each record of an uncompressed archive that comes in parts; lengths, not separators, bound the
+    blocks. No more than a record and a part are held."""
+    held, ended = bytearray(), False
+    parts = iter(parts)
+
+    def fill(n: int) -> bool:
+        nonlocal ended
+        while len(held) < n and not ended:
+            more = next(parts, None)
+            ended = more is None
+            held.extend(more or b"")
+        return len(held) >= n
+
+    while True:
+        while fill(2) and held.startswith(b"\r\n"):
+            del held[:2]
+        if not held:
+            return
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not fill(len(held) + 1):
+                raise ValueError("an archive ends within a record's headers")
+        lines = held[:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {lines[0][:40]!r}")
+            raise ValueError(f"no WARC record: {lines[0][:40]!r}")
         head = dict(x.split(": ", 1) for x in lines[1:])
-        at = end + 4
         length = int(head["Content-Length"])
-        yield head, data[at : at + length]
-        at += length
+        if not fill(end + 4 + length):
+            raise ValueError(f"{head.get('WARC-Record-ID')} ends early")
+        yield head, bytes(held[end + 4 : end + 4 + length])
+        del held[: end + 4 + length]
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under ``path``: ids, type, target, digest and length of the payload it holds (checked against its header)."""
+    """Every record of a page under ``path``: ids, type, target, digest and length of the payload it holds (checked against its header).
+
+    Spark's text reader decompresses an archive as a stream and parts it at blank lines; each task puts the parts of its
+    files together again, record by record, so that it holds one record at a time and files can be of any size.
+    """
+    columns = ["record_id", "page_id", "url", "record_type", "payload_digest", "held_bytes", "refers_to_record"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                out = []
-                for head, block in parse_warc(gzip.decompress(data)):
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                    if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"digest of {head['WARC-Record-ID']} is wrong")
-                    page = head.get("X-Page-ID")
-                    out.append((head["WARC-Record-ID"], None if page is None else int(page), head.get("WARC-Target-URI"), kind, digest, len(payload), head.get("WARC-Refers-To")))
-                yield pd.DataFrame(out, columns=["record_id", "page_id", "url", "record_type", "payload_digest", "held_bytes", "refers_to_record"]).astype({"page_id": "Int64", "held_bytes": "int64"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(parse, "record_id string, page_id long, url string, record_type string, payload_digest string, held_bytes long, refers_to_record string")
+        out = []
+        frame = lambda: pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "held_bytes": "int64"})
+        for head, block in parse_warc(part + b"\r\n\r\n" for batch in batches for part in batch["value"]):
+            digest, kind = head.get("WARC-Payload-Digest", "").removeprefix("sha1:"), head["WARC-Type"]
+            if kind not in ("response", "revisit"):
+                continue
+            payload = block.partition(b"\r\n\r\n")[2]
+            if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"digest of {head['WARC-Record-ID']} is wrong")
+            page = head.get("X-Page-ID")
+            out.append((head["WARC-Record-ID"], None if page is None else int(page), head.get("WARC-Target-URI"), kind, digest, len(payload), head.get("WARC-Refers-To")))
+            if len(out) >= 10_000:
+                yield frame()
+                out.clear()
+        yield frame()
+
+    lines = spark.read.option("lineSep", END + END).option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary").alias("value"))
+    return lines.mapInPandas(parse, "record_id string, page_id long, url string, record_type string, payload_digest string, held_bytes long, refers_to_record string")
 
 
 def resolved_records(records: DataFrame) -> DataFrame:
