@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOKENS, OPEN_BINS, END_ID = 2048, 512, 0
+MAX_TOKENS, OPEN_BINS, AHEAD, END_ID = 2048, 512, 256, 0
 #: Letters beyond this are left to the file's own library: there two Unicode versions could class a character otherwise.
 PLAIN = re.compile("[ɐ-\U0010ffff]")
 PIECES = "doc_id long, piece int, start long, length long, tokens binary, sequence_id long, offset long"
@@ -78,14 +78,15 @@ def encoder(path: str, ranks_path: str | None = None):
     return lambda texts: [fast.encode_to_numpy(t, disallowed_special=()).astype("<u4") if not PLAIN.search(t) else ids_of([t])[0] for t in texts]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, ahead: int = AHEAD, repack: bool = True) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with their tokens (unsigned 32-bit, little-endian) and place in a sequence.
 
     A document is its ids, then id 0. One of over ``max_tokens`` is cut into full pieces, of which the first takes the rest
     and may be shorter. Each partition packs on its own, in one pass and without a shuffle: at most ``open_bins`` bins are
     open, keyed by free space in a bitset; a piece goes to the fullest bin that takes it, and when too many are open the
-    fullest closes. Within a batch longer pieces go first. Bins left at the end of a partition are packed anew, longest
-    first. A lost task is simply repeated over its own input split. Memory: open bins and one batch.
+    fullest closes. Two things make it not purely online, and save sequences: of every ``ahead`` documents (1: of none) the
+    longer pieces go first, and with ``repack`` the pieces of the bins left open at a partition's end, ``open_bins`` at most,
+    are packed anew, longest first. A lost task is simply repeated over its own input split. Memory: open bins and one batch.
     Null and empty texts are one token (id 0); repeated and null ids are packed like any other; no rows give no rows;
     other columns are not looked at.
     """
@@ -112,9 +113,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, ma
 
         for batch in batches:
             texts, ids = batch["text"].fillna("").tolist(), batch["doc_id"].tolist()
-            for at in range(0, len(texts), 256):
+            for at in range(0, len(texts), ahead):
                 items = []
-                for doc, tokens in zip(ids[at : at + 256], encode(texts[at : at + 256]), strict=True):
+                for doc, tokens in zip(ids[at : at + ahead], encode(texts[at : at + ahead]), strict=True):
                     tokens = np.append(tokens, np.array([END_ID], "<u4"))
                     first = len(tokens) % max_tokens or max_tokens
                     cuts = [0, *range(first, len(tokens) + 1, max_tokens)]
@@ -124,12 +125,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, ma
                         close(closed)
                 if size > 1 << 20:
                     yield flush()
-        last = Bins(max_tokens, 1 << 30)
-        last.made = bins.made
-        for item, _ in sorted((x for b in bins.rest() for x in b[1:]), key=lambda x: -len(x[0][3])):
-            if closed := last.add(len(item[3]), item):
-                close(closed)
-        for bin_ in last.rest():
+        if repack:
+            left = sorted((x[0] for b in bins.rest() for x in b[1:]), key=lambda x: -len(x[3]))
+            bins, made = Bins(max_tokens, 2 * len(left)), bins.made
+            bins.made = made
+            for item in left:
+                if closed := bins.add(len(item[3]), item):
+                    close(closed)
+        for bin_ in bins.rest():
             close(bin_)
         yield flush()
 
