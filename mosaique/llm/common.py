@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a folder of our own is set."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset a folder of our own is set, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="mosaique-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
