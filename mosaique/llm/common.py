@@ -27,6 +27,13 @@ def new_path(spark: SparkSession, name: str = "t") -> str:
     return f"{shared_dir(spark)}/mosaique/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores after it while a column has that name."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession

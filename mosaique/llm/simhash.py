@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, drop
+from .common import connected_components, cut, drop, fresh
 
 SEED, WORDS, BITS = 42, 3, 64
 #: Fingerprints that one task takes of a quarter at most, and about how many it holds; runs up to PAIRWISE are compared at once.
@@ -69,17 +69,17 @@ def keep_one(docs: DataFrame, shingle: int = WORDS, most: int = 3) -> DataFrame:
             yield pd.Series(np.fromiter((fingerprint(shingle_hashes(t, shingle)) for t in batch), "u8", len(batch)).view("i8"))
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    keys = [fresh("_mosaique_a", docs.columns), fresh("_mosaique_b", docs.columns)]
     seen = [x for c in columns for x in (c.isNull(), c)]
-    row = [F.xxhash64(*seen).alias("_mosaique_a"), F.xxhash64(F.lit(1), *seen).alias("_mosaique_b")]
-    each = cut(docs.select("doc_id", *row, fp(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_mosaique_a", "_mosaique_b")).alias("first")
-    distinct = cut(each.groupBy("fp").agg(first), "distinct")
+    row = [F.xxhash64(*seen).alias(keys[0]), F.xxhash64(F.lit(1), *seen).alias(keys[1])]
+    each = cut(docs.select("doc_id", *row, fp(F.coalesce("text", F.lit(""))).alias("_fp")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *keys)).alias("first")
+    distinct = cut(each.groupBy(F.col("_fp").alias("fp")).agg(first), "distinct")
     labels = link_fingerprints(distinct.select("fp"), most)
     kept = distinct.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    kept = cut(kept.select("first._mosaique_a", "first._mosaique_b"), "kept")
+    kept = cut(kept.select(*[f"first.{k}" for k in keys]), "kept")
     drop(distinct)
     drop(each)
-    keys = ["_mosaique_a", "_mosaique_b"]
     return docs.select(*columns, *row).join(kept, keys, "left_semi").dropDuplicates(keys).select(*columns)
 
 

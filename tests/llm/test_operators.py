@@ -222,7 +222,20 @@ def test_warc_round_trip(spark):
 
 def test_warc_parser_goes_by_length():
     record = b"WARC/1.1\r\nContent-Length: 9\r\n\r\n\r\n\r\nWARC/\r\n\r\n"
-    assert [b for _, b in warc.parse_warc(gzip.decompress(gzip.compress(record * 2)))] == [b"\r\n\r\nWARC/"] * 2
+    whole = gzip.decompress(gzip.compress(record * 2))
+    for size in (1, 2, 3, 7, 1000):
+        assert [b for _, b in warc.parse_warc(whole[k : k + size] for k in range(0, len(whole), size))] == [b"\r\n\r\nWARC/"] * 2
+
+
+def test_warc_of_long_payloads_and_line_ends(spark, tmp_path):
+    odd = ["x\r\n", "\r\n", "\r\n\r\n", "\n", "\r", "a\r\n\r", "\r\n\r\n\r\nWARC/1.1\r\n", "z" * 3_000_000 + "\r\n\r\n" * 2000]
+    df = spark.createDataFrame([(k, f"http://h/{k}", t) for k, t in enumerate(odd)] + [(100, None, odd[-1])], "page_id long, url string, html string")
+    warc.write_warcs(df.coalesce(1), f"{tmp_path}/w")
+    got = {r["page_id"]: r for r in warc.resolved_records(warc.read_warcs(spark, f"{tmp_path}/w")).collect()}
+    assert {k: r["payload_bytes"] for k, r in got.items()} == {**{k: len(t) for k, t in enumerate(odd)}, 100: len(odd[-1])}
+    assert got[len(odd) - 1]["refers_to"] == 100
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in tmp_path.glob("w/*.gz"))
+    assert text.count(b"WARC-Type: warcinfo\r\n") == 1 and text.count(b"WARC-Warcinfo-ID: ") == len(odd) + 1 and text.count(b"WARC-Refers-To-Date: ") == 1
 
 
 def test_licences(spark, odd, none):
@@ -431,6 +444,46 @@ def test_quality(spark, odd, none):
     assert quality.classify(none).count() == 0 and quality.accept(none).count() == 0
 
 
+def test_em_by_document_gives_what_em_by_pattern_does():
+    rng = random.Random(12)
+    docs = ["".join(rng.choice("0122") for _ in range(4)) for _ in range(300)]
+    patterns = {p: docs.count(p) for p in sorted(set(docs))}
+    got, _ = quality.fit_labellers(patterns, rounds=7)
+    p = [(d.count("2") + 1.4) / (d.count("2") + 3 * d.count("0") + 2) for d in docs]
+    for _ in range(7):
+        share = sum(p) / len(p)
+        new = []
+        chance = [[[(sum(q for d, q in zip(docs, w, strict=True) if d[k] == v) + 1) / (sum(w) + 3) for v in "012"] for w in ([1 - x for x in p], p)] for k in range(4)]
+        for d in docs:
+            both = [1 - share, share]
+            for k in range(4):
+                both = [both[c] * chance[k][c][int(d[k])] for c in (0, 1)]
+            new.append(both[1] / sum(both))
+        p = new
+    assert all(got[d] == pytest.approx(x, abs=1e-6) for d, x in zip(docs, p, strict=True))
+
+
+def test_votes_and_features_by_definition():
+    texts = ["The cat sat, and the dog.", "A" * 100 + "%% " + "b" * 70 + "%%%", "one two three " * 20, "WORD!! " * 9, "x " * 30, "!!! ... 12 34", "Ünder, Öl. " * 4]
+    for text in texts:
+        words = text.split()
+        n = len(words)
+        symbol = lambda c: not (c.isalnum() or c == "_" or c.isspace())
+        letters = lambda w: [c for c in w if c.isalpha()]
+        shares = {
+            quality.DIM - 8: sum(len(w) > 1 and symbol(w[-1]) and symbol(w[-2]) for w in words) / n,
+            quality.DIM - 7: sum(len(letters(w)) > 1 and all(c.isupper() for c in letters(w)) for w in words) / n,
+            quality.DIM - 6: sum(not letters(w) for w in words) / n,
+            quality.DIM - 4: sum(a == b for a, b in itertools.pairwise(words)) / n,
+            quality.DIM - 2: sum(w.rstrip(".,;:!?").lower() in quality.STOP for w in words) / n,
+            quality.DIM - 1: sum(w[-1] in ".,;:?!" and (len(w) < 2 or w[-2] not in ".,;:?!") for w in words) / n,
+        }
+        _, got = quality.describe(text, quality.Words())
+        assert all(got[k] == pytest.approx(v) for k, v in shares.items())
+        short = len({tuple(words[k : k + 3]) for k in range(n - 2)}) / (n - 2) if n > 4 else 1.0
+        assert got[quality.DIM - 3] == pytest.approx(1 - short)
+
+
 def test_em_finds_the_wrong_labeller():
     rng, patterns = random.Random(3), {}
     for _ in range(5000):

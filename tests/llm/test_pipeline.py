@@ -73,3 +73,38 @@ def test_rows_without_or_with_repeated_ids_are_judged_each(spark, tmp_path):
     spark.createDataFrame([(None, item), (None, item + " in the spring"), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     leaked = docs.union(spark.createDataFrame([(None, f"{good[0]} {item} {good[1]}"), (7, item)], docs.schema))
     assert sorted(r["text"] for r in corpus_pipeline.drop_benchmark_leaks(spark, leaked, str(tmp_path)).collect()) == sorted(t for _, t in rows)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Every stage on null columns, empty and very long texts, repeated rows, an empty table, and columns whose names clash with its own."""
+    words = "the of and to in a is that house river stone walks under bright field tomorrow never quick garden letter".split()
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(rng.choice(words, n)).capitalize() + ", and so it is."
+    item = "what weighs more than seven grey elephants on a frozen northern lake"
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    normal = [(100 + k, prose(60), "s", 5) for k in range(60)]
+    long, mail = prose(60_000), f"{prose(50)} Write to anna@smith.org, please."
+    odd = [(None, normal[0][1], None, None), (None, None, None, None), (1, None, "s", 1), (2, "", "s", 0), (3, " \n\t", "s", 3), (4, long, None, len(long)), (4, long, None, len(long)), (5, mail, "s", 9), (None, f"{prose(60)} {item}", "s", 1)]
+    schema = "doc_id long, text string, source string, n_chars long"
+    docs = spark.createDataFrame(normal + odd, schema)
+    for name, value in (("_mosaique_a", "x"), ("_mosaique_d", "d"), ("fp", "f"), ("h", "h"), ("votes", "v"), ("label", "l"), ("tokens", "t")):
+        docs = docs.withColumn(name, F.lit(value))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        kept[name] = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    texts = [(r[0], r[1]) for r in normal + odd]
+    tell = lambda rows: sorted(rows, key=str)
+    assert tell(kept["quality classifier"]) == tell(x for x in texts if x[1] and x[1].strip())
+    # Null, empty and blank texts have fingerprint zero and are one group; the row without an id is a copy of the first one.
+    assert tell(kept["SimHash near-dedup"]) == tell([*[x for x in texts[:60]], (1, None), (4, long), (5, mail), texts[-1]])
+    assert tell(kept["benchmark decontamination"]) == tell(texts[:-1])
+    assert len(kept["PII surrogates"]) == len(texts)
+    changed = set(kept["PII surrogates"]) - set(texts)
+    assert len(changed) == 1 and next(iter(changed))[0] == 5 and "smith" not in next(iter(changed))[1]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    ends = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.countDistinct("sequence_id", "offset").alias("places"), F.count(F.lit(1)).alias("pieces")).toPandas().set_index("doc_id")
+    assert (ends.places == ends.pieces).all() and ends.n[2] == 1 and ends.n[1] == 1 and ends.n[4] > 2 * 60_000
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
