@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, drop
+from .common import cut, drop, fresh
 
 #: Fixed lists: given names by gender, by which names without a title are found.
 GIVEN = {
@@ -67,10 +67,13 @@ PATTERNS = [
     ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,40}(?![\w:])")),
 ]
 LAYOUT = {"card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}"), "iban": re.compile(r"\w+|\w{4}(?: \w{4})+(?: \w{1,3})?")}
-#: A pattern is only sought in texts that hold one of these.
-HINTS = {"pem": "PRIVATE KEY-----", "email": "@", "aws": "ASIA|AKIA"}
-WORTH = re.compile(r"\d|@")
-DIGIT = re.compile(r"\d")
+#: A pattern is only sought in texts that hold one of these, or about runs of what its matches are made of: that is cheap to find.
+HINTS = {"pem": ["PRIVATE KEY-----"], "email": ["@"], "aws": ["AKIA", "ASIA"], "secret": "ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- npm_ hf_ AIza xox sk_ sk- eyJ".split(), "ipv6": [":"]}
+NUMBERS = re.compile(r"[+(\d][\d .()+-]{6,}")
+NUMERIC = ("card", "ssn", "phone", "ipv4")
+IBAN_HINT = re.compile(r"[A-Z][A-Z][0-9][0-9]")
+TITLE_HINT = re.compile("|".join(t.capitalize() for t in TITLES))
+NAME_HINT = re.compile("|".join([*_LISTED, *(n.upper() for n in _LISTED)]))
 
 
 class Mention(NamedTuple):
@@ -149,33 +152,42 @@ def detect(text: str) -> list[Mention]:
             found.insert(at, Mention(start, end, kind, norm, gender))
             starts.insert(at, start)
 
-    if WORTH.search(text):
-        digits_there = DIGIT.search(text) is not None
-        for kind, pattern in PATTERNS:
-            if kind in HINTS and not any(h in text for h in HINTS[kind].split("|")) or kind not in ("pem", "email", "secret", "ipv6") and not digits_there:
-                continue
-            if kind in ("iban", "card"):
-                m = pattern.search(text)
+    runs = [(m.start(), m.end()) for m in NUMBERS.finditer(text)]
+
+    def sought(kind: str, pattern: re.Pattern) -> Iterator[re.Match]:
+        if kind not in NUMERIC:
+            yield from pattern.finditer(text)
+        for start, end in runs if kind in NUMERIC else ():
+            # What stands around a run decides whether a match is a part of something longer.
+            yield from pattern.finditer(text, start, min(len(text), end + 8))
+
+    for kind, pattern in PATTERNS:
+        if kind in HINTS and not any(h in text for h in HINTS[kind]) or kind in NUMERIC and not runs or kind == "iban" and not IBAN_HINT.search(text):
+            continue
+        if kind in ("iban", "card"):
+            for start, end in [(0, len(text))] if kind == "iban" else runs:
+                end = min(len(text), end + 8)
+                m = pattern.search(text, start, end)
                 while m:
                     got = valid_part(kind, m[0])
                     if got:
                         add(m.start() + got[0], m.start() + got[1], kind, got[2])
                     # Without one, another number can start at the next group.
                     at = got[1] if got else next((k + 1 for k, c in enumerate(m[0]) if c in " -"), len(m[0]))
-                    m = pattern.search(text, m.start() + at)
-                continue
-            for m in pattern.finditer(text):
-                s = m[0]
-                if kind == "phone":
-                    digits = "".join(c for c in plain_digits(s) if c in "0123456789")
-                    if (9 if digits[0] == "0" and s[0] not in "+(" else 7) <= len(digits) <= 15:
-                        add(*m.span(), kind, ("+" if s[0] == "+" else "") + digits)
-                elif kind == "ipv6":
-                    s = next((x for x in (s, s[:-1]) if ipv6_valid(x)), None)
-                    if s:
-                        add(m.start(), m.start() + len(s), kind, str(ipaddress.IPv6Address(s)))
-                else:
-                    add(*m.span(), kind, s.lower() if kind == "email" else plain_digits(s))
+                    m = pattern.search(text, m.start() + at, end)
+            continue
+        for m in sought(kind, pattern):
+            s = m[0]
+            if kind == "phone":
+                digits = "".join(c for c in plain_digits(s) if c in "0123456789")
+                if (9 if digits[0] == "0" and s[0] not in "+(" else 7) <= len(digits) <= 15:
+                    add(*m.span(), kind, ("+" if s[0] == "+" else "") + digits)
+            elif kind == "ipv6":
+                s = next((x for x in (s, s[:-1]) if ipv6_valid(x)), None)
+                if s:
+                    add(m.start(), m.start() + len(s), kind, str(ipaddress.IPv6Address(s)))
+            else:
+                add(*m.span(), kind, s.lower() if kind == "email" else plain_digits(s))
     for m in SECRET_WORD.finditer(text) if "=" in text or ":" in text else ():
         add(*m.span("v"), "secret", m["v"])
     surnames: set[str] = set()
@@ -186,12 +198,16 @@ def detect(text: str) -> list[Mention]:
         if kind == "surname" and len(word) > 2:
             surnames.add(word)
 
-    for m in TITLED.finditer(text):
+    for m in (TITLED.match(text, h.start()) for h in TITLE_HINT.finditer(text)):
+        if m is None:
+            continue
         words, at = m["names"].split(" "), m.start("names")
         if len(words) == 2:
             name(at, at + len(words[0]), "given", GENDER.get(words[0].lower(), TITLES[m["title"].lower()]))
         name(m.end("names") - len(words[-1]), m.end("names"), "surname")
-    for m in LISTED.finditer(text):
+    for m in (LISTED.match(text, h.start()) for h in NAME_HINT.finditer(text)):
+        if m is None:
+            continue
         g, s = ("given", "surname") if m["given"] else ("GIVEN", "SURNAME")
         name(*m.span(g), "given", GENDER[m[g].lower()])
         name(*m.span(s), "surname")
@@ -386,8 +402,7 @@ def replace_entities(docs: DataFrame, key: bytes, count: str | None = None) -> D
     docs = docs.drop(count) if count else docs
     names = docs.columns
     at = names.index("text")
-    fresh = lambda name: name if name not in {n.lower() for n in names} else fresh(f"{name}_")
-    hashed, told = fresh("_mosaique_h"), fresh("_mosaique_a")
+    hashed, told = fresh("_mosaique_h", names), fresh("_mosaique_a", names)
     schema = T.StructType([*docs.schema.fields, *([T.StructField(count, T.IntegerType())] if count else [])])
 
     def mention(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
