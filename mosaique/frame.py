@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+#: Fixed list: names of columns that are taken for the key, in order.
 ID_NAMES = ("HHID", "Id", "ID", "id", "household_id")
 
 
@@ -43,9 +44,10 @@ class MixedFrame:
 
     @property
     def clean(self) -> DataFrame:
-        """Key, label, doubles and strings only, so that the scan reads no other column."""
+        """Key, label, doubles and strings only, so that the scan reads no other column. A null number counts as 0, a null
+        category as the value "nan"; impute before where that is not meant."""
         cols = [F.col(self.key), *([F.col(self.label).alias("label")] if self.label else [])]
-        return self.df.select(*cols, *[F.col(c).cast("double").alias(c) for c in self.num], *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in self.cat])
+        return self.df.select(*cols, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.num], *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in self.cat])
 
     @cached_property
     def n(self) -> int:
@@ -54,7 +56,7 @@ class MixedFrame:
     @cached_property
     def stats(self) -> dict:
         """Row count, and per numeric column least, greatest and 1 / range; one pass, one row."""
-        aggs = [F.count(F.lit(1)).alias("n"), *[x for c in self.num for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"), F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]]
+        aggs = [F.count(F.lit(1)).alias("n"), *[x for c in self.num for x in (F.min(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"lo_{c}"), F.max(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"hi_{c}"))]]
         row = self.df.agg(*aggs).first()
         out = {"n": row["n"]}
         for c in self.num:

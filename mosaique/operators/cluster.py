@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import MixedFrame, hash_order
 from .features import standard
+from .ordered import column_quantiles
 
 
 def _cost(f: MixedFrame, p: dict, gamma: float) -> Column:
@@ -27,13 +28,16 @@ def update(f: MixedFrame, assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), *[F.avg(c).alias(c) for c in f.num], *[F.mode(c, True).alias(c) for c in f.cat])
 
 
-def k_prototypes(f: MixedFrame, k: int, gamma: float | None = None, seed: int = 42, rounds: int = 20, starts: int = 3) -> tuple[DataFrame, list[dict], float]:
+def k_prototypes(f: MixedFrame, k: int, gamma: float | None = None, seed: int = 42, rounds: int = 20, starts: int = 3, scale: bool = True) -> tuple[DataFrame, list[dict], float]:
     """Labels (key, cluster), prototypes and cost. Without numbers this is k-modes, without categories k-means.
 
     Numbers are standardised; gamma defaults to half their mean deviation (then 0.5). Starts are rows of smallest hash,
-    spread by distance; the start of least cost stays. The scaled rows are cached; a round is one job with k rows back.
+    spread by distance; the start of least cost stays. The scaled rows are cached while it runs; a round is one job with k
+    rows back. ``scale`` says whether the numbers are yet to be standardised.
     """
-    rows = (standard(f.clean, f.num) if f.num else f.clean).persist()
+    check_k(k, f.n)
+    plain = standard(f.clean, f.num) if f.num and scale else f.clean
+    rows = plain.persist()
     gamma = gamma if gamma is not None else (0.5 if f.num else 1.0)
     best: tuple[float, list[dict]] = (math.inf, [])
     for start in range(starts):
@@ -52,8 +56,38 @@ def k_prototypes(f: MixedFrame, k: int, gamma: float | None = None, seed: int =
             if total - now <= 1e-9 * max(1.0, abs(now)):
                 break
             total = now
-    labels = assign(f, rows, best[1], gamma).select(f.key, "cluster")
-    return labels, best[1], best[0]
+    rows.unpersist()
+    return assign(f, plain, best[1], gamma).select(f.key, "cluster"), best[1], best[0]
+
+
+def check_k(k: int, n: int) -> int:
+    """The number of clusters, if 2 <= k <= n."""
+    if not 2 <= k <= n:
+        raise ValueError(f"{k} clusters of {n} rows")
+    return k
+
+
+def k_prototypes_on_sample(f: MixedFrame, k: int, rows: int = 6000, seed: int = 42) -> DataFrame:
+    """Labels (key, cluster) of all rows by prototypes fitted on a sample: ``rows`` of smallest hash."""
+    if f.n <= rows:
+        return k_prototypes(f, k, seed=seed, starts=1)[0]
+    scaled = standard(f.clean, f.num) if f.num else f.clean
+    some = MixedFrame(scaled.orderBy(hash_order(seed, f.key), f.key).limit(rows).persist(), f.key, f.num, f.cat)
+    gamma = 0.5 if f.num else 1.0
+    _, prototypes, _ = k_prototypes(some, k, gamma, seed, starts=1, scale=False)
+    some.df.unpersist()
+    return assign(f, scaled, prototypes, gamma).select(f.key, "cluster")
+
+
+def derived(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """Labels of ``k`` clusters from others: as they are, or the smallest merged, or the largest split."""
+    sizes = {r["cluster"]: r["count"] for r in labels.groupBy("cluster").count().collect()}
+    if len(sizes) < k:
+        return split_to(f, labels, k, seed)
+    if len(sizes) == k:
+        return labels
+    to = F.create_map(*[F.lit(x) for pair in merge_to(sizes, k).items() for x in pair])
+    return labels.select(f.key, F.element_at(to, F.col("cluster")).alias("cluster"))
 
 
 def dense_labels(df: DataFrame, label: str) -> DataFrame:
@@ -98,10 +132,13 @@ def average_linkage(d: list[list[float]], k: int) -> list[int]:
 
 
 def hac(f: MixedFrame, k: int, landmarks: int = 300, seed: int = 42) -> DataFrame:
-    """Average linkage on at most ``landmarks`` rows of smallest hash, then each row takes its nearest landmark's cluster."""
+    """Average linkage on at most ``landmarks`` rows of smallest hash, then each row takes its nearest landmark's cluster.
+
+    The driver holds the distances of all pairs of landmarks: a number that does not grow with the rows is wanted.
+    """
     from ..functions.gower import gower_block
 
-    marks = f.clean.orderBy(hash_order(seed, f.key), f.key).limit(min(landmarks, 2000)).toPandas()
+    marks = f.clean.orderBy(hash_order(seed, f.key), f.key).limit(landmarks).toPandas()
     num, cat, stats, key = f.num, f.cat, f.stats, f.key
     marks["cluster"] = average_linkage(gower_block(marks, marks, num, cat, stats).tolist(), k)
 
@@ -123,8 +160,9 @@ def prediction_strength(df: DataFrame, test: str, train: str) -> DataFrame:
 
 def nrd0(df: DataFrame, column: str) -> DataFrame:
     """Rule-of-thumb bandwidth of a Gaussian density."""
-    s = df.agg(F.stddev_samp(column).alias("s"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(column).alias("n"))
-    iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
+    low, high = column_quantiles(df, [column], [0.25, 0.75])[column]
+    s = df.agg(F.stddev_samp(column).alias("s"), F.count(column).alias("n"))
+    iqr = F.lit(None if low is None else (high - low) / 1.34).cast("double")
     low = F.when((iqr > 0) & (iqr < F.col("s")), iqr).otherwise(F.col("s"))
     return s.select(F.round(0.9 * F.when(low > 0, low).otherwise(1.0) * F.pow(F.col("n").cast("double"), F.lit(-0.2)), 6).alias("bandwidth"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import column_quantiles
+
 
 def standard(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation; a constant column becomes 0."""
@@ -14,7 +16,7 @@ def standard(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / interquartile range, by exact percentiles."""
-    row = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    row = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     return df.withColumns({c: (F.col(c) - F.lit(row[c][1])) / F.lit((row[c][2] - row[c][0]) or 1.0) for c in columns})
 
 
@@ -37,8 +39,7 @@ def equal_width(x: Column, lo: float, hi: float, bins: int = 10) -> Column:
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Right-closed quantile bins; equal edges are one."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("e")).first()["e"]
-    edges = sorted(set(edges))
+    edges = sorted({e for e in column_quantiles(df, [column], [k / bins for k in range(bins + 1)])[column] if e is not None})
     code = F.lit(0)
     for k in range(1, len(edges) - 1):
         code = code + (F.col(column) > F.lit(edges[k])).cast("int")

@@ -40,15 +40,6 @@ def stratified(df: DataFrame, key: str, label: str, m: int, least: int = 3, seed
     return near.withColumn("_r", F.row_number().over(w)).where("_r <= quota").drop("_r", "_h", "size", "quota")
 
 
-def nearest_rows(f: MixedFrame, rows: DataFrame, k: int = 1) -> DataFrame:
-    """For every row of ``rows`` (same columns as the frame) the ``k`` nearest rows of the frame by Gower distance."""
-    d = gower("a", "b", f.num, f.cat, f.stats)
-    pairs = rows.alias("a").crossJoin(f.clean.alias("b")).where(F.col(f"a.{f.key}") != F.col(f"b.{f.key}"))
-    w = Window.partitionBy("query").orderBy("d", "neighbour")
-    out = pairs.select(F.col(f"a.{f.key}").alias("query"), F.col(f"b.{f.key}").alias("neighbour"), F.round(d, 9).alias("d"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def medoids(f: MixedFrame, cap: int = 64, seed: int = 42) -> DataFrame:
     """Per label the sampled row with the least sum of distances to the label's other sampled rows."""
     d = gower("a", "b", f.num, f.cat, f.stats)

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MixedFrame
 from ..functions.gower import gower_block
 from .landmarks import MOST_BROADCAST, landmark_count, stratified
+from .ordered import ranges, running
 
 EPS = 1e-12
 
@@ -67,11 +68,18 @@ def landmarks_of(f: MixedFrame, c: float = 3.0, seed: int = 42) -> DataFrame:
     return stratified(f.clean, f.key, "label", landmark_count(f.n, k, c), 3, seed)
 
 
-def lsil(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int = 3, weighted: bool = False) -> DataFrame:
-    """Landmark silhouette per label; the mean over all rows is the score, weighted by rows or label by label."""
+def lsil(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int = 3) -> DataFrame:
+    """Landmark silhouette per label, with the label's rows."""
     return landmark_scores(f, landmarks, mode, k).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("lsil"))
 
 
+def lsil_score(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int = 3, weighted: bool = False) -> DataFrame:
+    """One row: the mean over all rows, or with ``weighted`` over rows that count as often as their label has rows."""
+    per = landmark_scores(f, landmarks, mode, k).groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("s").alias("t"))
+    w = F.col("n") if weighted else F.lit(1.0)
+    return per.agg(F.round(F.sum(w * F.col("t")) / F.greatest(F.sum(w * F.col("n")), F.lit(EPS)), 6).alias("lsil"))
+
+
 def default_k(n: int) -> int:
     return max(5, n // 3) if n <= 50 else 20 if n <= 200 else min(50, int(math.sqrt(n)))
 
@@ -153,51 +161,52 @@ def lnc_star(f: MixedFrame, landmarks: DataFrame, k: int, classes: int, alpha: f
     return entropy.join(gaps, "landmark").select("landmark", F.round(alpha * nc + (1 - alpha) * delta, 6).alias("lnc"))
 
 
-def _cluster_sums(f: MixedFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows unpivoted, sums of distances of each (column, value) to each cluster, and the clusters' sizes."""
+def _distances(f: MixedFrame) -> tuple[DataFrame, list, list[int]]:
+    """The frame's rows with a column ``_d<i>`` for each of its columns: sums of distances to each cluster's rows; the
+    clusters in order, and their sizes.
+
+    The distance to a cluster is a sum over columns: of a category by its counts, of a number by running sums over its
+    distinct values, ordered by ranges. A value's distances to all clusters are one array. Rows stay where they are while a
+    column's table of distinct values is small enough to broadcast.
+    """
     base = f.clean
-    sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    columns = f.num + f.cat
-    value = lambda c: F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x") if c in f.num else F.lit(None).cast("double").alias("x"), F.col(c).alias("v") if c in f.cat else F.lit("").alias("v"))
-    long = base.select(F.col(f.key).alias("key"), "label", F.explode(F.array(*[value(c) for c in columns])).alias("e")).select("key", "label", "e.f", F.coalesce("e.x", F.lit(0.0)).alias("x"), "e.v")
-    cell = long.groupBy("f", "x", "v", "label").agg(F.count(F.lit(1)).alias("c"))
-    grid = cell.select("f", "x", "v").distinct().crossJoin(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes)
-    full = grid.join(cell, ["f", "x", "v", "label"], "left").select("f", "x", "v", "label", "size", F.coalesce("c", F.lit(0)).alias("c"))
-    up = Window.partitionBy("f", "label").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("f", "label")
-    prefix = full.where(F.col("f").isin(f.num)).select("f", "x", "v", "label", "size", F.sum("c").over(up).alias("n"), F.sum(F.col("c") * F.col("x")).over(up).alias("s"), F.sum(F.col("c") * F.col("x")).over(whole).alias("all"))
-    scale = F.create_map(*[x for c in f.num for x in (F.lit(c), F.lit(f.stats[c][2]))]) if f.num else None
-    parts = []
+    sizes = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(sizes, key=str)
+    counts = [F.sum((F.col("label").eqNullSafe(F.lit(v))).cast("long")).alias(f"c{k}") for k, v in enumerate(order)]
+    tables = {}
     if f.num:
-        parts.append(prefix.select("f", "x", "v", "label", ((F.col("x") * F.col("n") - F.col("s") + F.col("all") - F.col("s") - F.col("x") * (F.col("size") - F.col("n"))) * scale[F.col("f")]).alias("d")))
-    if f.cat:
-        parts.append(full.where(F.col("f").isin(f.cat)).select("f", "x", "v", "label", (F.col("size") - F.col("c")).cast("double").alias("d")))
-    sums = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    return long, sums, sizes
+        long = base.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("x")) for c in f.num])).alias("e")).select("label", "e.*")
+        cell = long.groupBy("f", "x").agg(*counts)
+        cell = cell.select("*", *[(F.col(f"c{k}") * F.col("x")).alias(f"s{k}") for k in range(len(order))])
+        run = running(cell, ["f"], "x", [f"{t}{k}" for k in range(len(order)) for t in ("c", "s")], ranges(long, "f", "x"))
+        whole = long.groupBy("f").agg(*[F.sum(F.when(F.col("label").eqNullSafe(F.lit(v)), F.col("x"))).alias(f"all{k}") for k, v in enumerate(order)])
+        scale = F.create_map(*[x for c in f.num for x in (F.lit(c), F.lit(f.stats[c][2]))])[F.col("f")]
+        x = F.col("x")
+        far = [(x * F.col(f"run_c{k}") - F.col(f"run_s{k}") + F.col(f"all{k}") - F.col(f"run_s{k}") - x * (F.lit(sizes[v]) - F.col(f"run_c{k}"))) * scale for k, v in enumerate(order)]
+        met = run.join(F.broadcast(whole), "f").select("f", "x", F.array(*far).alias("d"))
+        tables |= {c: met.where(F.col("f") == c).select("x", "d") for c in f.num}
+    for c in f.cat:
+        tables[c] = base.groupBy(F.col(c).alias("x")).agg(*counts).select("x", F.array(*[(F.lit(sizes[v]) - F.col(f"c{k}")).cast("double") for k, v in enumerate(order)]).alias("d"))
+    rows = base
+    for i, c in enumerate(f.num + f.cat):
+        rows = rows.join(tables[c].select(F.col("x").alias(f"_v{i}"), F.col("d").alias(f"_d{i}")), F.col(c) == F.col(f"_v{i}")).drop(f"_v{i}")
+    return rows, order, [sizes[v] for v in order]
 
 
-def silhouette(f: MixedFrame) -> DataFrame:
-    """Exact Gower silhouette (key, label, s) of every row in O(n log n) per column.
+def _score(a: Column, b: Column) -> Column:
+    """(b - a) / max(a, b); 0 where one is missing, or both are 0."""
+    return F.when(a.isNull() | b.isNull() | (F.greatest(a, b) <= 0), 0.0).otherwise((b - a) / F.greatest(a, b))
 
-    The distance to a cluster is a mean over columns: of a category by its counts, of a number by prefix sums over its
-    distinct values. Distances to all clusters of a (column, value) are computed once and joined back to the rows, column by
-    column, without a shuffle of the rows where the distinct values are few. Clusters are literals of the plan.
-    """
-    _, sums, sizes = _cluster_sums(f)
-    sums = sums.persist()
-    counts = {r["label"]: r["size"] for r in sizes.collect()}
-    rows = f.clean
-    for i, c in enumerate(f.num + f.cat):
-        # Rows stay where they are while a column's table of distinct values is small enough to broadcast.
-        to = sums.where(F.col("f") == c).groupBy("x", "v").agg(F.map_from_entries(F.collect_list(F.struct("label", "d"))).alias(f"_m{i}"))
-        value = F.coalesce(F.col(c), F.lit(0.0)) if c in f.num else F.col(c)
-        rows = rows.join(to.select(F.col("x" if c in f.num else "v").alias(f"_v{i}"), f"_m{i}"), value == F.col(f"_v{i}"))
+
+def silhouette(f: MixedFrame) -> DataFrame:
+    """Exact Gower silhouette (key, label, s) of every row in O(n log n) per column. Clusters are literals of the plan."""
+    rows, order, sizes = _distances(f)
     p = len(f.num) + len(f.cat)
-    total = lambda label: sum((F.col(f"_m{i}")[label] for i in range(1, p)), F.col("_m0")[label]) / p
-    own = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(n))])[F.col("label")]
-    others = F.array(*[F.when(F.col("label") != k, total(F.lit(k)) / n) for k, n in counts.items()])
-    ab = rows.select(F.col(f.key).alias("key"), "label", F.when(own > 1, total(F.col("label")) / (own - 1)).alias("a"), F.array_min(others).alias("b"))
-    return ab.select("key", "label", F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    total = [sum((F.col(f"_d{i}")[k] for i in range(1, p)), F.col("_d0")[k]) / p for k in range(len(order))]
+    own = [F.col("label").eqNullSafe(F.lit(v)) for v in order]
+    a = F.coalesce(*[F.when(mine, t / (n - 1)) for mine, t, n in zip(own, total, sizes, strict=True) if n > 1], F.lit(None).cast("double"))
+    b = F.array_min(F.array(*[F.when(~mine, t / n) for mine, t, n in zip(own, total, sizes, strict=True)]))
+    return rows.select(F.col(f.key).alias("key"), "label", a.alias("a"), b.alias("b")).select("key", "label", _score(F.col("a"), F.col("b")).alias("s"))
 
 
 def silhouette_parts(f: MixedFrame) -> DataFrame:
@@ -205,16 +214,12 @@ def silhouette_parts(f: MixedFrame) -> DataFrame:
 
     The silhouette over any subset of the columns is then a sum of some of these.
     """
-    long, sums, sizes = _cluster_sums(f)
-    columns = f.num + f.cat
-    code = F.create_map(*[x for k, c in enumerate(columns) for x in (F.lit(c), F.lit(k))])
-    to = sums.join(sizes.withColumnRenamed("size", "m"), "label").groupBy("f", "x", "v").agg(F.collect_list(F.struct("label", "d", "m")).alias("to"))
-    met = long.join(to, ["f", "x", "v"]).select("key", "label", code[F.col("f")].alias("i"), F.explode("to").alias("t"))
-    own = F.col("label") == F.col("t.label")
-    met = met.select("key", "label", F.col("t.label").alias("other"), "i", F.when(own, F.col("t.d") / F.greatest(F.lit(1), F.col("t.m") - 1)).otherwise(F.col("t.d") / F.col("t.m")).alias("d"))
-    each = met.groupBy("key", "label", "other").agg(*[F.max(F.when(F.col("i") == k, F.col("d"))).alias(f"d{k}") for k in range(len(columns))])
-    mine = F.col("label") == F.col("other")
-    return each.groupBy("key").agg(*[F.max(F.when(mine, F.col(f"d{k}"))).alias(f"a_{k}") for k in range(len(columns))], F.collect_list(F.when(~mine, F.array(*[F.col(f"d{k}") for k in range(len(columns))]))).alias("others"))
+    rows, order, sizes = _distances(f)
+    p = len(f.num) + len(f.cat)
+    own = [F.col("label").eqNullSafe(F.lit(v)) for v in order]
+    mine = [F.coalesce(*[F.when(m, F.col(f"_d{i}")[k] / max(1, n - 1)) for k, (m, n) in enumerate(zip(own, sizes, strict=True))]).alias(f"a_{i}") for i in range(p)]
+    others = F.filter(F.array(*[F.when(~m, F.array(*[F.col(f"_d{i}")[k] / n for i in range(p)])) for k, (m, n) in enumerate(zip(own, sizes, strict=True))]), lambda o: o.isNotNull())
+    return rows.select(F.col(f.key).alias("key"), *mine, others.alias("others"))
 
 
 def davies_bouldin(df: DataFrame, label: str, num: list[str]) -> DataFrame:

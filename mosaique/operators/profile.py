@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tails
+from .ordered import quantiles, ranges, running
+
+
+def _tail(name: str, *of: Column) -> Column:
+    """Upper tail of a distribution, rounded; one value per feature, so that the function need not be fast."""
+    f = getattr(tails, name)
+    told = F.pandas_udf(lambda *x: pd.Series([None if any(pd.isna(v) for v in r) or min(r[1:]) <= 0 else f(*map(float, r)) for r in zip(*x, strict=True)], dtype="float64"), "double")
+    return F.round(told(*[c.cast("double") for c in of]), 6)
+
 
 def sizes(df: DataFrame, label: str) -> DataFrame:
     g = df.groupBy(F.col(label).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
@@ -23,7 +34,7 @@ def numeric(df: DataFrame, label: str, num: list[str]) -> DataFrame:
     """Per feature and cluster: mean, median, interquartile range and difference to the overall mean."""
     long = _num(df, label, num)
     every = long.groupBy("feature").agg(F.avg("x").alias("g"))
-    per = long.groupBy("feature", "cluster").agg(F.avg("x").alias("m"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    per = long.groupBy("feature", "cluster").agg(F.avg("x").alias("m")).join(quantiles(long, ["feature", "cluster"], "x", [0.25, 0.5, 0.75]), ["feature", "cluster"])
     return per.join(F.broadcast(every), "feature").select("feature", "cluster", F.round("m", 5).alias("mean"), F.round(F.col("q")[1], 5).alias("median"), F.round(F.col("q")[2] - F.col("q")[0], 5).alias("iqr"), F.round(F.col("m") - F.col("g"), 5).alias("diff_vs_global"))
 
 
@@ -40,28 +51,30 @@ def lifts(df: DataFrame, label: str, cat: list[str], k: int = 10) -> DataFrame:
 
 
 def anova(df: DataFrame, label: str, num: list[str]) -> DataFrame:
-    """F of a one-way analysis of variance per feature, with its degrees of freedom."""
+    """F of a one-way analysis of variance per feature, with its degrees of freedom and its p."""
     per = _num(df, label, num).groupBy("feature", "cluster").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     grand = per.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
     one = per.join(F.broadcast(grand), "feature").groupBy("feature").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), F.lit(2.0))).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    return one.select("feature", F.round((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 5).alias("f_stat"), (F.col("k") - 1).alias("dof1"), (F.col("n") - F.col("k")).alias("dof2"))
+    f, dof1, dof2 = (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), F.col("k") - 1, F.col("n") - F.col("k")
+    return one.select("feature", F.round(f, 5).alias("f_stat"), dof1.alias("dof1"), dof2.alias("dof2"), _tail("f_sf", f, dof1, dof2).alias("p"))
 
 
 def kruskal(df: DataFrame, label: str, num: list[str]) -> DataFrame:
-    """Kruskal-Wallis H per feature with tie correction. Ranks come from counts of distinct values, not of rows."""
-    cell = _num(df, label, num).groupBy("feature", "x", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    """Kruskal-Wallis H per feature with tie correction, and its p. Ranks come from running counts of distinct values, by ranges."""
+    long = _num(df, label, num)
+    cell = long.groupBy("feature", "x", "cluster").agg(F.count(F.lit(1)).alias("c"))
     value = cell.groupBy("feature", "x").agg(F.sum("c").alias("t"))
-    up = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    rank = value.withColumn("r", F.sum("t").over(up) - (F.col("t") - 1) / 2)
+    rank = running(value, ["feature"], "x", ["t"], ranges(long, "feature", "x")).withColumn("r", F.col("run_t") - (F.col("t") - 1) / 2)
     total = rank.groupBy("feature").agg(F.sum("t").cast("double").alias("n"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
     sums = cell.join(rank, ["feature", "x"]).groupBy("feature", "cluster").agg(F.sum(F.col("c") * F.col("r")).alias("s"), F.sum("c").alias("m"))
     one = sums.groupBy("feature").agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"), F.count(F.lit(1)).alias("k")).join(total, "feature")
     h = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)
-    return one.select("feature", F.round(h / (1 - F.col("ties") / (F.pow("n", F.lit(3.0)) - F.col("n"))), 4).alias("h_stat"), (F.col("k") - 1).alias("dof"))
+    h = h / (1 - F.col("ties") / (F.pow("n", F.lit(3.0)) - F.col("n")))
+    return one.select("feature", F.round(h, 4).alias("h_stat"), (F.col("k") - 1).alias("dof"), _tail("chi2_sf", h, F.col("k") - 1).alias("p"))
 
 
 def chi_square(df: DataFrame, label: str, cat: list[str]) -> DataFrame:
-    """Chi-square and Cramer's V per feature; with one degree of freedom differences are corrected by up to one half."""
+    """Chi-square with its p, and Cramer's V per feature; with one degree of freedom differences are corrected by up to one half."""
     c = _cat(df, label, cat).groupBy("feature", "cluster", "v").agg(F.count(F.lit(1)).alias("c"))
     rows = c.groupBy("feature", "cluster").agg(F.sum("c").alias("rs"))
     cols = c.groupBy("feature", "v").agg(F.sum("c").alias("cs"))
@@ -72,7 +85,7 @@ def chi_square(df: DataFrame, label: str, cat: list[str]) -> DataFrame:
     gap = F.when((F.col("r") == 2) & (F.col("k") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
     one = full.groupBy("feature", "r", "k", "n").agg(F.sum(gap * gap / e).alias("x"))
     low = F.least(F.col("r") - 1, F.col("k") - 1)
-    return one.select("feature", F.round("x", 5).alias("chi2"), ((F.col("r") - 1) * (F.col("k") - 1)).alias("dof"), F.round(F.when(low > 0, F.sqrt(F.col("x") / F.col("n") / low)).otherwise(0.0), 6).alias("cramers_v"))
+    return one.select("feature", F.round("x", 5).alias("chi2"), ((F.col("r") - 1) * (F.col("k") - 1)).alias("dof"), _tail("chi2_sf", F.col("x"), (F.col("r") - 1) * (F.col("k") - 1)).alias("p"), F.round(F.when(low > 0, F.sqrt(F.col("x") / F.col("n") / low)).otherwise(0.0), 6).alias("cramers_v"))
 
 
 def cluster_vs_rest(df: DataFrame, label: str, num: list[str]) -> DataFrame:
@@ -105,3 +118,17 @@ def table(df: DataFrame, label: str, cat: list[str], k: int = 5) -> DataFrame:
     t = lifts(df, label, cat, k)
     item = F.concat(F.col("value"), F.lit(":"), F.format_string("%.3f", F.col("lift")))
     return t.groupBy("feature", "cluster").agg(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("t")))), lambda x: x["t"])).alias("top_lifts"))
+
+
+def wide(df: DataFrame, label: str, num: list[str], cat: list[str], k: int = 5) -> DataFrame:
+    """One row per cluster: size, fraction, and per number its mean, median, iqr, difference to the overall mean and effect
+    size, per category its top values by lift as one text. Clusters are few; columns become columns, as they are few too."""
+    out = sizes(df, label).withColumnRenamed("n", "size")
+    if num:
+        per = numeric(df, label, num).join(effect(df, label, num).select("feature", F.col("cis_mean").alias("cis")), "feature")
+        told = [F.max(F.when(F.col("feature") == c, F.col(v))).alias(f"{c}_{v}") for c in num for v in ("mean", "median", "iqr", "diff_vs_global", "cis")]
+        out = out.join(per.groupBy("cluster").agg(*told), "cluster", "left")
+    if cat:
+        top = table(df, label, cat, k).groupBy("cluster").agg(*[F.max(F.when(F.col("feature") == c, F.col("top_lifts"))).alias(f"{c}_top_lifts") for c in cat])
+        out = out.join(top, "cluster", "left")
+    return out
