@@ -40,6 +40,11 @@ def mean_redundancy(pairs: DataFrame) -> DataFrame:
     return both.groupBy("feature").agg(F.round(F.avg("kmsnc"), 6).alias("mean_red"))
 
 
+def least_redundant(pairs: DataFrame, k: int) -> list[str]:
+    """The ``k`` columns of least mean redundancy, of equals the first by name."""
+    return [r["feature"] for r in mean_redundancy(pairs).orderBy("mean_red", "feature").limit(k).collect()]
+
+
 def as_dict(pairs: DataFrame) -> dict[tuple[str, str], float]:
     """The matrix on the driver: as many entries as there are pairs of columns."""
     return {(r["f1"], r["f2"]): r["kmsnc"] for r in pairs.collect()}

@@ -56,10 +56,10 @@ class Memo:
 
 
 def bandit(columns: list[str], reward: Score, rounds: int, k: int, red: dict, threshold: float = 0.9, beta: float = 1.5, warm: float = 0.2, seed: int = 42) -> tuple[Subset, dict]:
-    """Draws subsets; a column weighs exp(-beta * share of draws it was bad in) after a warm-up, and is left out where it
+    """Draws subsets; a column weighs exp(-beta * share of draws it was bad in, that is below the mean of its draws) after a warm-up, and is left out where it
     is redundant to what is drawn already."""
     rng, memo = random.Random(seed), Memo(reward)
-    bad, total = dict.fromkeys(columns, 0), dict.fromkeys(columns, 0)
+    bad, total, sums = dict.fromkeys(columns, 0), dict.fromkeys(columns, 0), dict.fromkeys(columns, 0.0)
     best: tuple[float, Subset] = (-math.inf, ())
     for t in range(rounds):
         pool, draft = list(columns), []
@@ -73,7 +73,8 @@ def bandit(columns: list[str], reward: Score, rounds: int, k: int, red: dict, th
         score = memo([subset])[0]
         for c in subset:
             total[c] += 1
-            bad[c] += score < best[0]
+            sums[c] += score
+            bad[c] += score < sums[c] / total[c]
         best = max(best, (score, subset))
     return best[1], {c: {"bad": bad[c], "tot": total[c]} for c in columns}
 

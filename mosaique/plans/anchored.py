@@ -29,6 +29,8 @@ class Trial:
     overall: float = math.nan
     score: float = math.nan
     by_anchor: bool = False
+    dbi: float = math.nan
+    chi: float = math.nan
 
 
 def labelled(f: MixedFrame, labels: DataFrame, rows: DataFrame | None = None) -> MixedFrame:
@@ -50,19 +52,45 @@ def consistency(f: MixedFrame, columns: list[str], c: float = 3.0, k: int = 50,
     return math.nan if got is None else got
 
 
-def composite_score(f: MixedFrame, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42) -> float:
+def composite_score(f: MixedFrame, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42, skip_lnc: bool = False) -> float:
+    """Landmark silhouette and neighbour consistency of a labelled frame as one score; ``skip_lnc`` leaves the latter out."""
     sizes = [r["count"] for r in f.df.groupBy(f.label).count().collect()]
     ss = metrics.landmark_scores(f, metrics.landmarks_of(f, c, seed), k=topk).agg(F.avg("s")).first()[0]
-    return metrics.composite(sizes, ss, math.nan, weight)
+    lnc = math.nan if skip_lnc else consistency(f, f.num + f.cat, c, metrics.default_k(f.n), seed)
+    return metrics.composite(sizes, ss, lnc, weight)
 
 
-def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int = 42) -> list[Trial]:
-    """A clustering for each algorithm and k; those that fail for the data's sake, or have one cluster, are left out."""
+def rank_trials(trials: DataFrame) -> DataFrame:
+    """(trial, place): by score ``j``; scores within 1e-9 are equal, and go by the lesser ``dbi``, then the greater ``chi``."""
+    return trials.select("trial", F.row_number().over(Window.orderBy(F.desc(F.round("j", 9)), F.asc_nulls_last("dbi"), F.desc_nulls_last("chi"), "trial")).alias("place"))
+
+
+def best_of(f: MixedFrame, trials: list[Trial]) -> Trial:
+    """The trial of the best score; only among equals (within 1e-9) are the dispersion indices computed, then fewer clusters win."""
+    top = max(t.score for t in trials)
+    equal = [t for t in trials if t.score >= top - 1e-9]
+    if len(equal) > 1 and f.num:
+        for t in equal:
+            df = labelled(f, t.labels).df.select(F.col("_cluster").alias("label"), *f.num)
+            t.dbi, t.chi = metrics.davies_bouldin(df, "label", f.num).first()[0] or math.inf, metrics.calinski_harabasz(df, "label", f.num).first()[0] or -math.inf
+    low = lambda x: math.inf if math.isnan(x) else x
+    return min(equal, key=lambda t: (low(t.dbi), -t.chi if not math.isnan(t.chi) else math.inf, t.k))
+
+
+def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000) -> list[Trial]:
+    """A clustering for each algorithm and k; those that fail for the data's sake, or have one cluster, are left out.
+
+    k-prototypes goes over all rows of a table of up to ``full_rows``; of a larger one it derives its labels from ``known``
+    ones by merging and splitting, or without these takes prototypes of a sample.
+    """
     out = []
     for name in algorithms:
         for k in ks:
             try:
-                labels = CLUSTERERS[name](f, k, seed).persist()
+                if name == "kprototypes" and f.n > full_rows:
+                    labels = (cluster.derived(f, known, k, seed) if known is not None else cluster.k_prototypes_on_sample(f, k, seed=seed)).persist()
+                else:
+                    labels = CLUSTERERS[name](f, k, seed).persist()
             except ValueError:
                 continue
             if labels.select("cluster").distinct().count() > 1:
@@ -70,14 +98,16 @@ def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int =
     return out
 
 
-def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42) -> tuple[Trial, list[Trial]]:
+def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, skip_lnc: bool = False) -> tuple[Trial, list[Trial]]:
     """Best composite score, and all trials. Algorithms whose mean over the first and last k is worse than the best one's by
-    ``screen`` are not tried on the other numbers of clusters. Of equal scores the fewest clusters stay."""
+    ``screen`` are not tried on the other numbers of clusters. Equal scores go by :func:`best_of`."""
 
     def scored(names: tuple[str, ...], some: list[int]) -> list[Trial]:
-        found = trials_of(f, names, some, seed)
+        found = trials_of(f, names, some, seed, known, full_rows)
         for t in found:
-            t.score = composite_score(labelled(f, t.labels), c, weight, topk, seed)
+            g = labelled(f, t.labels)
+            t.score = composite_score(g, c, weight, topk, seed, skip_lnc)
+            g.df.unpersist()
         return found
 
     few = sorted({ks[0], ks[-1]})
@@ -86,14 +116,14 @@ def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: ra
     if not mean:
         raise ValueError("no clustering with two clusters or more was found")
     every = first + scored(tuple(a for a in mean if mean[a] >= max(mean.values()) - screen), [k for k in ks if k not in few])
-    return max(every, key=lambda t: (t.score, -t.k)), every
+    return best_of(f, every), every
 
 
-def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), anchor_least: float = 0.5, overall_least: float = 0.5, rows: int = 10_000, seed: int = 42) -> tuple[Trial, list[Trial]]:
+def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), anchor_least: float = 0.5, overall_least: float = 0.5, rows: int | None = None, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, **how) -> tuple[Trial, list[Trial]]:
     """Greatest consistency in the anchors' space among clusterings that are consistent enough there and over all columns;
-    where none is, the choice by composite score. Consistency is measured on ``rows`` rows of smallest hash."""
-    some = landmarks.sample(f.clean.drop("label"), f.key, rows, seed).persist()
-    found = trials_of(f, algorithms, ks, seed)
+    where none is, the choice by composite score. Consistency is measured on all rows, or on ``rows`` of smallest hash."""
+    some = None if rows is None else landmarks.sample(f.clean.drop("label"), f.key, rows, seed).persist()
+    found = trials_of(f, algorithms, ks, seed, known, full_rows)
     for t in found:
         g = labelled(f, t.labels, some)
         t.anchored, t.overall = consistency(g, [c for c in anchors if c in f.num + f.cat], seed=seed), consistency(g, f.num + f.cat, seed=seed)
@@ -102,25 +132,30 @@ def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ..
         best = max(good, key=lambda t: (t.anchored, -t.k))
         best.by_anchor, best.score = True, best.anchored
         return best, found
-    return search(f, algorithms, ks, seed=seed)[0], found
+    return search(f, algorithms, ks, seed=seed, known=known, full_rows=full_rows, **how)[0], found
 
 
-def choose(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...], ks: range, anchor_least: float, overall_least: float, c: float, weight: float, topk: int, seed: int) -> tuple[Trial, list[Trial]]:
+def choose(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...], ks: range, anchor_least: float, overall_least: float, c: float, weight: float, topk: int, seed: int, known: DataFrame | None = None, full_rows: int = 10_000, skip_lnc: bool = False) -> tuple[Trial, list[Trial]]:
     """By anchors where there are any among the columns, else by composite score."""
+    how = {"c": c, "weight": weight, "topk": topk, "seed": seed, "known": known, "full_rows": full_rows, "skip_lnc": skip_lnc}
     here = [a for a in anchors if a in f.num + f.cat]
     if here:
-        return anchored_search(f, here, algorithms, ks, anchor_least, overall_least, seed=seed)
-    return search(f, algorithms, ks, c=c, weight=weight, topk=topk, seed=seed)
+        return anchored_search(f, here, algorithms, ks, anchor_least, overall_least, **how)
+    return search(f, algorithms, ks, **how)
 
 
-def over_subsets(f: MixedFrame, subsets: list[tuple[str, ...]], anchors: list[str] | None = None, **how) -> tuple[tuple[str, ...], Trial]:
-    """The best trial over column subsets: a choice by anchors precedes one by composite score, then the score decides."""
-    best = None
+def over_subsets(f: MixedFrame, subsets: list[tuple[str, ...]], anchors: list[str], algorithms: tuple[str, ...], ks: range, **how) -> list[tuple[tuple[str, ...], Trial, list[Trial]]]:
+    """The best trial of each column subset, and all its trials, best subset first: a choice by anchors precedes one by
+    composite score, then the score decides, then the order given. A subset without a clustering is left out."""
+    out = []
     for s in subsets:
-        t = anchored_search(f.select(list(s)), anchors, **how)[0] if anchors else search(f.select(list(s)), **how)[0]
-        if best is None or (t.by_anchor, t.score) > (best[1].by_anchor, best[1].score):
-            best = (s, t)
-    return best
+        try:
+            out.append((s, *choose(f.select(list(s)), anchors, algorithms, ks, **how)))
+        except ValueError:
+            continue
+    if not out:
+        raise ValueError("no clustering with two clusters or more was found")
+    return sorted(out, key=lambda x: (not x[1].by_anchor, -x[1].score))
 
 
 def with_control(f: MixedFrame, ranked: list[tuple[tuple[str, ...], Trial]], least: float = 0.5, retries: int = 3, seed: int = 42) -> tuple[tuple[str, ...], Trial, str, float]:

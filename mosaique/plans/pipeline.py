@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import time
 from dataclasses import asdict, dataclass, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,15 @@ class Params:
     rerank: bool = False
     rerank_topk: int = 3
     redundancy_cache: str | None = None
+    n_clusters: int | None = None
+    recluster: bool = False
+    phase_b_subsets: int = 1
+    phase_b_skip_lnc: bool = False
+    full_rows: int = 10_000
+    sc_retries: int = 3
+    disguised: str = "warn"
+    categorical: tuple[str, ...] = ()
+    numeric: tuple[str, ...] = ()
     algorithms: tuple[str, ...] = ("kprototypes",)
     engine: str = "A"
     anchors: tuple[str, ...] = ()
@@ -83,8 +91,11 @@ def exact_score(f: MixedFrame) -> search.Score:
     return score
 
 
-def subset_reward(f: MixedFrame, red: dict, alpha: float, engine: str = "A", c: float = 3.0, seed: int = 42) -> search.Score:
-    """Scorer of column subsets by engine: the exact silhouette, fixed landmarks, or landmarks calibrated by it."""
+def subset_reward(f: MixedFrame, red: dict, alpha: float, engine: str = "A", c: float = 3.0, seed: int = 42, recluster: int | None = None) -> search.Score:
+    """Scorer of column subsets by engine: the exact silhouette, fixed landmarks, or landmarks calibrated by it. Labels are
+    fixed, unless ``recluster`` gives a number of clusters that are made anew on each subset's columns."""
+    if recluster:
+        return reward.with_penalty(reward.reclustered(f, recluster, seed=seed), red, alpha)
     kind = reward.resolve(engine, f.n)
     if kind == "exact":
         return reward.with_penalty(exact_score(f), red, alpha)
@@ -102,56 +113,124 @@ def reranked(f: MixedFrame, subsets: list[tuple[str, ...]], k: int, seed: int =
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None, outdir: str | None = None, params: Params | None = None) -> dict:
-    """Checks and imputes ``df``, searches columns, picks the number of clusters by the composite score, profiles the clusters.
+def hint(p: Params, explicit: int | None, labels: DataFrame | None) -> tuple[int, str]:
+    """The number of clusters that the column search starts from, and where it is from: the parameters, the call, the number
+    of labels (within the range that is searched), or the middle of the range."""
+    if p.n_clusters is not None:
+        return p.n_clusters, "parameters"
+    if explicit is not None:
+        return explicit, "explicit"
+    if labels is not None:
+        return max(p.c_min, min(labels.distinct().count(), p.c_max)), "label"
+    return p.c_min + (p.c_max - p.c_min) // 2, "midpoint"
 
-    ``key`` is a unique long column. Returns columns, K, scores, assignments and profiles, and writes them to ``outdir``.
-    """
-    began = time.time()
+
+@dataclass
+class Prepared:
+    """What the column search needs, and what the checks did."""
+
+    frame: MixedFrame
+    params: Params
+    report: DataFrame
+    dropped: list[str]
+    cast: list[str]
+    hint: tuple[int, str]
+
+
+def prepare(df: DataFrame, key: str | None = None, label: str | None = None, params: Params | None = None, k: int | None = None) -> Prepared:
     key = key or infer_id(df)
     if key is None:
         raise ValueError("a unique key column is needed")
+    p = params or Params()
     features = df.drop(key, *([label] if label else []))
-    report = clean.dqc_report(features)
-    _, gone = clean.drop_flagged(features, report)
-    num, cat = split_types(df, (key, *([label] if label else []), *gone))
-    ready = clean.impute(df.select(F.col(key).cast("long").alias(key), *num, *cat), num, cat).persist()
+    report = clean.dqc_report(features, on_disguised=p.disguised, categorical=p.categorical, numeric_columns=p.numeric)
+    kept, gone, cast = clean.apply_dqc(features, report, p.categorical)
+    num, cat = split_types(kept)
+    whole, _, _ = clean.apply_dqc(df.select(F.col(key).cast("long").alias(key), *kept.columns), report, p.categorical)
+    ready = clean.impute(whole.select(key, *num, *cat), num, cat).persist()
     p = params or auto_params(ready.drop(key))
-    f = MixedFrame(ready, key, num, cat)
+    found = hint(p, k, df.select(label) if label else None)
+    return Prepared(MixedFrame(ready, key, num, cat), p, report, gone, cast, found)
+
+
+def phase_a(ready: Prepared) -> dict:
+    """Search over column subsets only: the archive's best, each without redundant columns, their scores, and its trace."""
+    f, p = ready.frame, ready.params
     red = redundancy.as_dict(redundancy.cached(f, p.kmsnc_k, p.redundancy_cache) if p.redundancy_cache else redundancy.matrix(f, p.kmsnc_k))
-    columns = num + cat
+    columns = f.num + f.cat
     least, most = max(1, math.ceil(p.subset_min_frac * len(columns))), max(1, int(p.subset_max_frac * len(columns)))
     start, bandit = search.bandit(columns, lambda ss: [redundancy.penalty(list(s), red) for s in ss], p.mab_T, min(p.mab_k, most), red, p.mab_redundancy_threshold, p.mab_penalty_beta, p.mab_warmup_frac, p.random_state)
-    first = cluster.k_prototypes(f, (p.c_min + p.c_max) // 2, seed=p.random_state, starts=1)[0]
-    labelled = MixedFrame(ready.join(first.withColumnRenamed("cluster", "_c"), key).persist(), key, num, cat, "_c")
+    labels = cluster.k_prototypes(f, ready.hint[0], seed=p.random_state, starts=1)[0].persist()
+    labelled = MixedFrame(f.df.join(labels.withColumnRenamed("cluster", "_c"), f.key).persist(), f.key, f.num, f.cat, "_c")
     archive = search.Archive()
-    best, reward, annealed = search.anneal(start, columns, subset_reward(labelled, red, p.reward_alpha_penalty, p.engine, p.lsil_c, p.random_state), p.sa_iters, mode=p.sa_neighbor_mode, least=least, most=most, rate=0.15, archive=archive, seed=p.random_state)
+    score = subset_reward(labelled, red, p.reward_alpha_penalty, p.engine, p.lsil_c, p.random_state, ready.hint[0] if p.recluster else None)
+    best, value, annealed = search.anneal(start, columns, score, p.sa_iters, mode=p.sa_neighbor_mode, least=least, most=most, rate=0.15, archive=archive, seed=p.random_state)
+    labelled.df.unpersist()
+    top = archive.top(max(p.rerank_topk, p.phase_b_subsets, 1 + p.sc_retries))
+    subsets = [s for s, _ in top if s != best]
     if p.rerank:
-        best = reranked(f, [s for s, _ in archive.top(p.rerank_topk)], (p.c_min + p.c_max) // 2, p.random_state)[0][0]
-    chosen = redundancy.prune(list(best), red, p.mab_redundancy_threshold)
-    sub, ks = f.select(chosen), range(p.c_min, max(p.c_min, p.c_max) + 1)
-    top, trials = anchored.choose(sub, list(p.anchors), p.algorithms, ks, p.anchor_threshold, p.sc_lnc_threshold, p.lsil_c, p.weight, p.lsil_topk, p.random_state)
-    t = replace_frame(sub, ready.join(top.labels, key).persist())
-    marks = metrics.landmarks_of(t, p.lsil_c, p.random_state)
+        subsets = [s for s, _ in reranked(f, [best, *subsets][: p.rerank_topk], ready.hint[0], p.random_state)]
+    else:
+        subsets = [best, *subsets]
+    pruned = list(dict.fromkeys(tuple(redundancy.prune(list(s), red, p.mab_redundancy_threshold)) for s in subsets))
+    return {"subsets": pruned, "scores": dict(top), "reward": value, "labels": labels, "mab_stats": bandit, "sa_stats": annealed}
+
+
+def find_subsets(df: DataFrame, key: str | None = None, label: str | None = None, params: Params | None = None, k: int | None = None) -> dict:
+    """Phase A alone: the best column subsets of a table, after its checks."""
+    return phase_a(prepare(df, key, label, params, k))
+
+
+def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None, outdir: str | None = None, params: Params | None = None, k: int | None = None) -> dict:
+    """Checks and imputes ``df``, searches columns, picks subset, algorithm and number of clusters by the composite score (or by
+    anchors), holds the choice against structural control, where it fails tries the next best subsets, and profiles the clusters.
+
+    ``key`` is a unique long column; ``label`` is left out of the search and only hints at the number of clusters, as does
+    ``k``. Returns columns, K, scores, assignments and profiles, and writes them to ``outdir``.
+    """
+    began = time.time()
+    ready = prepare(df, key, label, params, k)
+    f, p, key = ready.frame, ready.params, ready.frame.key
+    found = phase_a(ready)
+    ks = range(p.c_min, max(p.c_min, p.c_max) + 1)
+    how = {"anchor_least": p.anchor_threshold, "overall_least": p.sc_lnc_threshold, "c": p.lsil_c, "weight": p.weight, "topk": p.lsil_topk, "seed": p.random_state, "known": found["labels"], "full_rows": p.full_rows, "skip_lnc": p.phase_b_skip_lnc}
+    tried = anchored.over_subsets(f, found["subsets"][: p.phase_b_subsets], list(p.anchors), p.algorithms, ks, **how)
+    chosen, top, action, lnc = anchored.with_control(f, [(s, t) for s, t, _ in tried], p.sc_lnc_threshold, p.sc_retries, p.random_state)
+    rest = [s for s in found["subsets"][p.phase_b_subsets :] if s not in [x[0] for x in tried]][: p.sc_retries]
+    if action == "rejected_all" and rest:
+        tried += anchored.over_subsets(f, rest, list(p.anchors), p.algorithms, ks, **how)
+        again = anchored.with_control(f, [(s, t) for s, t, _ in tried[-len(rest) :]], p.sc_lnc_threshold, p.sc_retries, p.random_state)
+        if again[2] != "rejected_all":
+            chosen, top, action, lnc = again[0], again[1], "retried", again[3]
+    sub = f.select(list(chosen))
+    t = replace_frame(sub, f.df.join(top.labels, key).persist())
     classes = t.clean.select("label").distinct().count()
-    lnc = metrics.lnc_star(t, marks, metrics.default_k(t.n), classes).agg(F.avg("lnc")).first()[0]
     final = metrics.silhouette(t).agg(F.avg("s")).first()[0]
-    profiles = {"sizes": profile.sizes(t.df, "cluster"), "numeric": profile.numeric(t.df, "cluster", t.num) if t.num else None, "categorical": profile.table(t.df, "cluster", t.cat) if t.cat else None}
-    info = {"best_columns": chosen, "best_K": classes, "best_reward": reward, "final_algo": top.algorithm, "dav_applied": top.by_anchor, "anchor_cols": list(p.anchors), "final_ss_gower": final, "structural_control": {"lnc_score": lnc, "threshold": p.sc_lnc_threshold, "passed": lnc >= p.sc_lnc_threshold, "action": "accept" if lnc >= p.sc_lnc_threshold else "warning"}, "trials": [{"algorithm": x.algorithm, "k": x.k, "J": x.score, "lnc_anchor": x.anchored, "lnc": x.overall} for x in trials], "mab_stats": bandit, "sa_stats": annealed, "dropped": gone, "timing_s": time.time() - began}
+    profiles = {"sizes": profile.sizes(t.df, "cluster"), "numeric": profile.numeric(t.df, "cluster", t.num) if t.num else None, "categorical": profile.table(t.df, "cluster", t.cat) if t.cat else None, "table": profile.wide(t.df, "cluster", t.num[:10], t.cat[:6])}
+    trials = [{"columns": list(s), "algorithm": x.algorithm, "k": x.k, "J": x.score, "dbi": x.dbi, "chi": x.chi, "lnc_anchor": x.anchored, "lnc": x.overall} for s, _, every in tried for x in every]
+    info = {"best_columns": list(chosen), "best_K": classes, "best_reward": found["reward"], "final_algo": top.algorithm, "dav_applied": top.by_anchor, "anchor_cols": list(p.anchors), "final_ss_gower": final, "k_hint": ready.hint[0], "k_hint_source": ready.hint[1], "structural_control": {"lnc_score": lnc, "threshold": p.sc_lnc_threshold, "passed": action != "rejected_all", "action": action}, "trials": trials, "mab_stats": found["mab_stats"], "sa_stats": found["sa_stats"], "dropped": ready.dropped, "cast": ready.cast, "timing_s": time.time() - began}
     if outdir:
-        Path(outdir).mkdir(parents=True, exist_ok=True)
-        artifacts.save_table(t.df.select(key, "cluster"), f"{outdir}/cluster_assignments")
-        artifacts.save_table(report, f"{outdir}/dqc_report")
-        artifacts.save_json(f"{outdir}/config.json", asdict(p))
-        artifacts.save_json(f"{outdir}/features.json", chosen)
-        artifacts.save_json(f"{outdir}/metrics_internal.json", info)
-        told = {k: [r.asDict() for r in v.collect()] for k, v in profiles.items() if v is not None}
-        artifacts.save_json(f"{outdir}/profiles.json", told)
-        lines = [f"## Cluster {r['cluster']}: {100 * r['fraction']:.1f} % (n = {r['n']})\n" + "".join(f"- {x['feature']}: {x['mean']:.3g} ({x['diff_vs_global']:+.3g})\n" for x in told.get("numeric", []) if x["cluster"] == r["cluster"]) + "".join(f"- {x['feature']}: {x['top_lifts']}\n" for x in told.get("categorical", []) if x["cluster"] == r["cluster"]) for r in sorted(told["sizes"], key=lambda r: r["cluster"])]
-        Path(outdir, "profiles.md").write_text("\n".join(lines), encoding="utf-8")
-        artifacts.save_workbook(f"{outdir}/summary.xlsx", [{k: info[k] for k in ("best_K", "final_algo", "best_reward", "final_ss_gower", "timing_s")}])
+        write_artifacts(outdir, t, info, ready, profiles)
     return info | {"assignments": t.df.select(key, "cluster"), "profiles": profiles}
 
 
+def write_artifacts(outdir: str, t: MixedFrame, info: dict, ready: Prepared, profiles: dict) -> None:
+    """Tables as folders by the executors, documents as single files, all through Spark's file systems."""
+    spark = t.df.sparkSession
+    artifacts.save_table(t.df.select(t.key, "cluster"), f"{outdir}/cluster_assignments")
+    artifacts.save_table(ready.report, f"{outdir}/dqc_report")
+    artifacts.save_table(spark.createDataFrame([(c,) for c in info["best_columns"]], "feature string"), f"{outdir}/features")
+    artifacts.save_table(profiles["table"], f"{outdir}/profiles_table")
+    artifacts.save_json(f"{outdir}/config.json", asdict(ready.params), spark)
+    artifacts.save_json(f"{outdir}/features.json", info["best_columns"], spark)
+    artifacts.save_json(f"{outdir}/metrics_internal.json", info, spark)
+    told = {k: [r.asDict() for r in v.collect()] for k, v in profiles.items() if v is not None}
+    artifacts.save_json(f"{outdir}/profiles.json", told, spark)
+    lines = [f"## Cluster {r['cluster']}: {100 * r['fraction']:.1f} % (n = {r['n']})\n" + "".join(f"- {x['feature']}: {x['mean']:.3g} ({x['diff_vs_global']:+.3g})\n" for x in told.get("numeric", []) if x["cluster"] == r["cluster"]) + "".join(f"- {x['feature']}: {x['top_lifts']}\n" for x in told.get("categorical", []) if x["cluster"] == r["cluster"]) for r in sorted(told["sizes"], key=lambda r: r["cluster"])]
+    artifacts.save_bytes(f"{outdir}/profiles.md", "\n".join(lines).encode(), spark)
+    row = {"dataset": outdir.rstrip("/").rsplit("/", 1)[-1], **{k: info[k] for k in ("best_K", "final_algo", "best_reward", "final_ss_gower")}, "lnc_anchor": max((x["lnc_anchor"] for x in info["trials"] if not math.isnan(x["lnc_anchor"])), default=""), "lnc_global": info["structural_control"]["lnc_score"], "dav_applied": info["dav_applied"], "anchor_cols": ",".join(info["anchor_cols"]), "runtime_s": info["timing_s"]}
+    artifacts.save_workbook(f"{outdir}/summary.xlsx", [row], spark)
+
+
 def replace_frame(f: MixedFrame, df: DataFrame) -> MixedFrame:
     return MixedFrame(df, f.key, f.num, f.cat, "cluster")

@@ -27,11 +27,11 @@ def unit_features(spark, d):
     return unit.scaled(f).select("c_custkey", F.round(F.col("c_acctbal") / F.col("_norm"), 6).alias("u_num"), F.round(1 / F.col("_norm"), 6).alias("u_cat"))
 
 
-@query("""with s as (select p_partkey, p_brand || '-' || p_type as s, p_size from part), some_rows as (select * from s order by md5('42|' || p_partkey::varchar), p_partkey limit 500), known as (select s, min(p_size) as v from some_rows group by s)
+@query("""with s as (select p_partkey, p_brand || '-' || p_type as s, p_size from part), some_rows as (select * from s order by md5('42|' || p_partkey::varchar), p_partkey limit 6000), known as (select s, min(p_size) as v from some_rows group by s)
 select p_partkey, coalesce(v, -1)::int as label from s left join known using (s)""")
 def signature_join(spark, d):
     df = read(spark, d, "part").select("p_partkey", features.signature(["p_brand", "p_type"]).alias("s"), "p_size")
-    known = landmarks.sample(df, "p_partkey", 500).groupBy("s").agg(F.min("p_size").alias("v"))
+    known = landmarks.sample(df, "p_partkey", 6000).groupBy("s").agg(F.min("p_size").alias("v"))
     return df.join(known, "s", "left").select("p_partkey", F.coalesce("v", F.lit(-1)).alias("label"))
 
 
@@ -42,11 +42,11 @@ def gower_topk_to_set(spark, d):
     return metrics.cost_to_set(f, metrics.landmarks_of(f))
 
 
-@query("""with k as (select o_orderkey, o_totalprice, o_orderstatus from orders order by md5('42|' || o_orderkey::varchar), o_orderkey limit 200)
+@query("""with k as (select o_orderkey, o_totalprice, o_orderstatus from orders order by md5('42|' || o_orderkey::varchar), o_orderkey limit 6000)
 select a.o_orderkey, arg_min(k.o_orderstatus, ((a.o_totalprice - k.o_totalprice) * (a.o_totalprice - k.o_totalprice), k.o_orderkey)) as o_orderstatus from orders a cross join k group by 1""")
 def nearest_label_propagation(spark, d):
     f = orders(spark, d)
-    return cluster.propagate(f, landmarks.sample(f.df, "o_orderkey", 200), "o_orderstatus")
+    return cluster.propagate(f, landmarks.sample(f.df, "o_orderkey", 6000), "o_orderstatus")
 
 
 # --- landmarks ----------------------------------------------------------------------------------------------------------
@@ -72,7 +72,7 @@ def landmark_coverage(spark, d):
 def mini_pam(spark, d):
     f = part(spark, d)
     marks = landmarks.stratified(f.clean, f.key, "label", 30, 3)
-    better = refine.swap(f, marks, unit.candidate_pool(f, marks, F.abs(F.col("p_size") - 25), 20), rounds=5)
+    better = refine.swap(f, marks, unit.candidate_pool(f, marks, F.abs(F.col("p_size") - 25), 20))
     return refine.coverage(f, better)
 
 
@@ -164,7 +164,7 @@ def kde_grid(spark, d):
 
 @query()
 def kamila_clusters(spark, d):
-    return kamila.kamila(part(spark, d), 3, starts=1, rounds=8)[0].groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return kamila.kamila(part(spark, d), 3)[0].groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- searches and evaluation ----------------------------------------------------------------------------------------------
@@ -180,7 +180,7 @@ def anchored_precedence(spark, d):
 
 @query()
 def anchored_search(spark, d):
-    best, tried = anchored.anchored_search(part(spark, d), ["p_size"], ks=range(2, 4))
+    best, tried = anchored.anchored_search(part(spark, d), ["p_size"])
     return spark.createDataFrame([(t.algorithm, t.k, float(t.anchored), float(t.overall), t is best) for t in tried], "algorithm string, k int, lnc_anchor double, lnc double, chosen boolean")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 import zipfile
-from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +33,22 @@ def plain(x):
     return None if isinstance(x, float) and not math.isfinite(x) else x
 
 
-def save_json(path: str, value) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(plain(value), ensure_ascii=False, indent=2), encoding="utf-8")
+def save_bytes(path: str, data: bytes, spark: SparkSession) -> None:
+    """One file, by the file system that Spark finds for its path, so that it lies where the tables do."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
 
 
-def save_workbook(path: str, rows: list[dict]) -> None:
+def save_json(path: str, value, spark: SparkSession) -> None:
+    save_bytes(path, json.dumps(plain(value), ensure_ascii=False, indent=2).encode(), spark)
+
+
+def save_workbook(path: str, rows: list[dict], spark: SparkSession) -> None:
     """A workbook of one sheet, written as its parts; numbers as numbers, the rest as text."""
     head = list(rows[0]) if rows else []
     cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v) else f'<c t="inlineStr"><is><t>{escape("" if v is None else str(v))}</t></is></c>'
@@ -52,6 +62,8 @@ def save_workbook(path: str, rows: list[dict]) -> None:
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
     }
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{text}')
+    save_bytes(path, held.getvalue(), spark)

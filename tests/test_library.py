@@ -2,10 +2,11 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mosaique.frame import MixedFrame
 from mosaique.functions.tails import chi2_sf, f_sf
-from mosaique.operators import clean, cluster, features, landmarks, metrics, profile, redundancy, search
+from mosaique.operators import clean, cluster, features, metrics, ordered, profile, redundancy, search
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def six(spark):
 
 
 def test_gower_by_hand(six):
-    got = {(r["query"], r["neighbour"]): r["d"] for r in landmarks.nearest_rows(six, six.clean, 5).collect()}
+    got = {(r["landmark"], r["key"]): r["d"] for r in metrics.neighbours(six, six.clean, 5).collect()}
     assert got[0, 1] == pytest.approx(0.1 / 3)
     assert got[0, 3] == pytest.approx(1.0)
     assert all(got[a, b] == got[b, a] for a, b in got)
@@ -132,4 +133,112 @@ def test_pipeline_writes_its_artifacts(spark, tmp_path):
     out = run_pipeline(df, outdir=str(tmp_path / "out"), params=Params(c_max=3, sa_iters=6, mab_T=5))
     assert out["dropped"] == ["const"] and out["assignments"].count() == 200
     names = {p.name for p in (tmp_path / "out").iterdir()}
-    assert names >= {"cluster_assignments", "dqc_report", "config.json", "features.json", "metrics_internal.json", "profiles.json", "profiles.md", "summary.xlsx"}
+    assert names >= {"cluster_assignments", "dqc_report", "features", "profiles_table", "config.json", "features.json", "metrics_internal.json", "profiles.json", "profiles.md", "summary.xlsx"}
+    table = spark.read.option("header", True).csv(str(tmp_path / "out" / "profiles_table"))
+    assert table.count() == out["best_K"] and {"cluster", "size", "fraction"} <= set(table.columns)
+    assert out["k_hint_source"] == "midpoint" and out["k_hint"] == 2 and out["structural_control"]["action"] in ("accept", "retried", "rejected_all")
+    assert all(not math.isnan(t["J"]) for t in out["trials"])
+
+
+def test_running_sums_and_quantiles_by_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("a", "p", float(x)) for x in rng.normal(size=500)] + [("a", "q", float(x)) for x in rng.integers(0, 5, 300)] + [("b", "p", 7.0)] * 40 + [("b", "q", None), ("c", "q", None)]
+    df = spark.createDataFrame(rows, "f string, g string, x double")
+    data = df.toPandas().dropna()
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["f"], r["g"]): r["q"] for r in ordered.quantiles(df, ["f", "g"], "x", probabilities).collect()}
+    assert got.keys() == set(data.groupby(["f", "g"]).groups)
+    for k, part in data.groupby(["f", "g"]):
+        assert got[k] == pytest.approx(list(np.quantile(part.x, probabilities)))
+    values = df.where("x is not null").groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
+    run = ordered.running(values, ["f"], "x", ["n"], ordered.ranges(df, "f", "x")).toPandas()
+    for f, part in run.sort_values("x").groupby("f"):
+        assert list(part.run_n) == list(part.n.cumsum())
+    none = df.where("x > 100")
+    assert ordered.quantiles(none, ["f"], "x", [0.5]).count() == 0 and ordered.column_quantiles(none, ["x"], [0.5]) == {"x": [None]}
+
+
+def test_no_window_over_a_whole_column(six):
+    for df in (profile.kruskal(six.clean, "label", ["x", "y"]), metrics.silhouette(six), ordered.quantiles(six.clean, ["label"], "x", [0.5])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        ordered_windows = [line for line in plan.split("\n") if "windowspecdefinition" in line and ("x#" in line.split("windowspecdefinition")[1].split("ASC")[0])]
+        assert ordered_windows and all("_range" in line for line in ordered_windows)
+
+
+def test_p_values(spark):
+    df = spark.createDataFrame([("a", 1.0, "u"), ("a", 2.0, "u"), ("a", 4.0, "v"), ("b", 3.0, "v"), ("b", 6.0, "v"), ("b", 7.0, "u"), ("c", 9.0, "w"), ("c", 8.0, "w"), ("c", 5.0, "u")], "g string, x double, c string")
+    r = profile.anova(df, "g", ["x"]).first()
+    assert r["p"] == pytest.approx(f_sf(r["f_stat"], r["dof1"], r["dof2"]), abs=1e-5) and 0 < r["p"] < 1
+    r = profile.kruskal(df, "g", ["x"]).first()
+    assert r["p"] == pytest.approx(math.exp(-r["h_stat"] / 2), abs=1e-4)
+    r = profile.chi_square(df, "g", ["c"]).first()
+    assert r["p"] == pytest.approx(chi2_sf(r["chi2"], r["dof"]), abs=1e-5)
+    assert profile.chi_square(df.withColumn("c", F.lit("one")), "g", ["c"]).first()["p"] is None
+
+
+def test_wide_profile(six):
+    got = {r["cluster"]: r.asDict() for r in profile.wide(six.df, "label", ["x", "y"], ["c"]).collect()}
+    assert got["p"]["size"] == 3 and got["p"]["x_mean"] == pytest.approx(1 / 3, abs=1e-5) and got["q"]["x_median"] == 10
+    assert got["p"]["c_top_lifts"].startswith("a:2.000;b:2.000") and got["p"]["x_cis"] == got["q"]["x_cis"] > 1
+
+
+def test_null_numbers_count_as_zero_in_both_silhouettes(spark):
+    rows = [(0, None, "a", "p"), (1, 1.0, "a", "p"), (2, 9.0, None, "q"), (3, 10.0, "b", "q"), (4, None, None, "q")]
+    nulls = spark.createDataFrame(rows, "k long, x double, c string, label string")
+    filled = nulls.fillna({"x": 0.0, "c": "nan"})
+    score = lambda df: {r["key"]: r["s"] for r in metrics.silhouette(MixedFrame(df, "k", ["x"], ["c"], "label")).collect()}
+    cheap = lambda df: {r["key"]: r["s"] for r in metrics.landmark_scores(MixedFrame(df, "k", ["x"], ["c"], "label"), MixedFrame(df, "k", ["x"], ["c"], "label").clean, mode="mean").collect()}
+    assert score(nulls) == pytest.approx(score(filled)) and cheap(nulls) == pytest.approx(cheap(filled))
+
+
+def test_explicit_types_casts_and_prefilter(spark):
+    rows = [(k, k % 7, k % 5, 0 if k % 10 else 1, None if k % 2 else f"x{k % 3}", f"s{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, code int, count int, rare int, half string, name string")
+    report = clean.dqc_report(df, on_disguised="cast", categorical=("k",), numeric_columns=("count",))
+    got = {r["column"]: (r["kind"], r["issue"], r["action"]) for r in report.collect()}
+    assert got["code"] == ("numeric", "disguised_categorical", "cast") and got["count"][1] == "ok" and got["k"][0] == "categorical"
+    out, gone, cast = clean.apply_dqc(df, report, ("k",))
+    assert cast == ["code", "k"] and not gone and dict(out.dtypes)["code"] == dict(out.dtypes)["k"] == "string"
+    assert clean.prefilter(df)[1] == ["half", "rare"] or sorted(clean.prefilter(df)[1]) == ["half", "rare"]
+    assert clean.prefilter(df.limit(0))[1] == []
+
+
+def test_labels_are_derived_and_fitted_on_a_sample(spark):
+    rows = [(i, 10.0 * (i % 3) + (i * 37 % 100) / 100, ["a", "b", "c"][i % 3]) for i in range(300)]
+    f = MixedFrame(spark.createDataFrame(rows, "k long, x double, c string"), "k", ["x"], ["c"])
+    got = cluster.k_prototypes_on_sample(f, 3, rows=90).toPandas()
+    assert len(got) == 300 and got.assign(t=got["k"] % 3).groupby("t")["cluster"].nunique().eq(1).all() and got.cluster.nunique() == 3
+    three = cluster.k_prototypes(f, 3)[0]
+    assert cluster.derived(f, three, 2).select("cluster").distinct().count() == 2
+    assert cluster.derived(f, three, 4).select("cluster").distinct().count() == 4
+    assert cluster.derived(f, three, 3) is three
+    for k in (1, 301):
+        with pytest.raises(ValueError):
+            cluster.k_prototypes(f, k)
+
+
+def test_trials_rank_by_score_then_dispersion(spark):
+    from mosaique.plans.anchored import rank_trials
+
+    rows = [(1, 0.5, 2.0, 1.0), (2, 0.5 + 1e-11, 1.0, 1.0), (3, 0.7, 9.0, 0.0), (4, 0.5, 2.0, 5.0), (5, 0.4, 0.0, 9.0)]
+    got = {r["trial"]: r["place"] for r in rank_trials(spark.createDataFrame(rows, "trial int, j double, dbi double, chi double")).collect()}
+    assert got == {3: 1, 2: 2, 4: 3, 1: 4, 5: 5}
+
+
+def test_hints_of_the_number_of_clusters(spark):
+    from mosaique.plans.pipeline import Params, hint
+
+    labels = spark.createDataFrame([(k % 9,) for k in range(50)], "label int")
+    assert hint(Params(n_clusters=7), 3, labels) == (7, "parameters") and hint(Params(), 3, labels) == (3, "explicit")
+    assert hint(Params(c_max=6), None, labels) == (6, "label") and hint(Params(c_max=6), None, None) == (4, "midpoint")
+
+
+def test_weighted_landmark_silhouette(six):
+    per = {r["label"]: (r["n"], r["lsil"]) for r in metrics.lsil(six, six.clean).collect()}
+    plain = metrics.lsil_score(six, six.clean).first()[0]
+    assert plain == pytest.approx(sum(n * s for n, s in per.values()) / 6, abs=1e-5)
+    five = MixedFrame(six.df.where("k < 5"), "k", ["x", "y"], ["c"], "label")
+    per = {r["label"]: (r["n"], r["lsil"]) for r in metrics.lsil(five, five.clean).collect()}
+    assert metrics.lsil_score(five, five.clean, weighted=True).first()[0] == pytest.approx(sum(n * n * s for n, s in per.values()) / 13, abs=1e-5)
