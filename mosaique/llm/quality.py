@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, fresh
+
 DIM, SAMPLE, EPOCHS, SEED = 1 << 12, 6000, 60, 3
-SYMBOLS = re.compile(r"[^\w\s]{2,}$")
+SYMBOL, RUN = re.compile(r"[^\w\s]"), re.compile(r"(.)\1+", re.S)
 #: Fixed list: frequent function words of English, French, German and Spanish.
 STOP = frozenset("the of and to in a is that it for was on with be as by at this are from de la le les des et un une que est pour dans sur der die das und den von zu im mit sich ein eine auf nicht el los las en y del se por con para su no".split())
 LABELLERS = ("symbols", "capitals", "separators", "one_word", "repeats", "function_words", "sentences")
@@ -31,10 +32,10 @@ class Kinds(dict):
 class Words(dict):
     """Word -> 32 * hashed shape + flags (symbols at the end, all capitals, no letter, end of a clause, function word).
 
-    Words and shapes are remembered; both memories are bounded.
+    Words and shapes are remembered, but for very long ones, so that both memories are bounded; all are taken whole.
     """
 
-    most = 200_000
+    most, longest = 200_000, 64
 
     def __init__(self):
         super().__init__()
@@ -42,23 +43,25 @@ class Words(dict):
 
     def shape(self, raw: str) -> int:
         letters = raw.count("x") + raw.count("X")
-        short = re.sub(r"(.)\1+", r"\1\1", raw)[:12]
-        flags = (SYMBOLS.search(raw[-8:]) is not None, letters > 1 and "x" not in raw, letters == 0, raw[-1] in ".,;:?!" and (len(raw) < 2 or raw[-2] not in ".,;:?!"))
-        if len(self.shapes) >= self.most:
-            self.shapes.clear()
-        got = self.shapes[raw] = 32 * (zlib.crc32(short.encode("utf-8", "surrogatepass")) % (DIM - 8)) + sum(f << k for k, f in enumerate(flags))
-        return got
+        flags = (len(raw) > 1 and SYMBOL.match(raw[-1]) is not None and SYMBOL.match(raw[-2]) is not None, letters > 1 and "x" not in raw, letters == 0, raw[-1] in ".,;:?!" and (len(raw) < 2 or raw[-2] not in ".,;:?!"))
+        short = RUN.sub(r"\1\1", raw)
+        return 32 * (zlib.crc32(short.encode("utf-8", "surrogatepass")) % (DIM - 8)) + sum(f << k for k, f in enumerate(flags))
 
     def __missing__(self, w: str) -> int:
-        raw = w.translate(self.kinds) if len(w) <= 64 else (w[:56] + w[-8:]).translate(self.kinds)
+        raw = w.translate(self.kinds)
         got = self.shapes.get(raw)
         if got is None:
             got = self.shape(raw)
-        if len(w) < 12 and w.rstrip(".,;:!?").lower() in STOP:
+            if len(raw) <= self.longest:
+                if len(self.shapes) >= self.most:
+                    self.shapes.clear()
+                self.shapes[raw] = got
+        if w.rstrip(".,;:!?").lower() in STOP:
             got += 16
-        if len(self) >= self.most:
-            self.clear()
-        self[w] = got
+        if len(w) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[w] = got
         return got
 
 
@@ -141,81 +144,69 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], epochs: int = E
     return weights
 
 
-def plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+def described(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a struct column of each text's votes, features, and place in the order of sampling; written, so that texts are read once."""
 
+    @F.pandas_udf("votes string, i array<int>, v array<float>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in texts:
+            got = [describe(t, words) for t in batch]
+            yield pd.DataFrame({"votes": [v for v, _ in got], "i": [list(f) for _, f in got], "v": [[float(x) for x in f.values()] for _, f in got]})
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray] | None:
-    """Posterior per vote pattern, and the scorer's weights, from ``docs`` (doc_id long, text not null); None without rows."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn(name, F.struct(of(text).alias("d"), F.xxhash64(text, F.col("doc_id").cast("long")).alias("h")))
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            counts = Counter(describe(t, words)[0] for t in batch["text"])
-            yield pd.DataFrame({"votes": list(counts), "n": list(counts.values())})
 
-    patterns = {r["votes"]: r["n"] for r in docs.select("text").mapInPandas(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+def fit(table: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray] | None:
+    """Posterior per vote pattern, and the scorer's weights, from described documents (votes, i, v, h); None without rows."""
+    patterns = {r["votes"]: r["n"] for r in table.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not patterns:
         return None
     patterns = dict(sorted(patterns.items()))
     posterior, _ = fit_labellers(patterns)
-    total = sum(patterns.values())
-    share = min(1.0, 1.2 * sample / total)
-    order = F.xxhash64("text", "doc_id")
-    chosen = docs if share >= 1 else docs.where(order < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    # A bound on the hash leaves some more than the sample, so that few rows are sorted.
+    share = min(1.0, 1.2 * sample / sum(patterns.values()))
+    chosen = table if share >= 1 else table.where(F.col("h") < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    rows = chosen.orderBy("h", "votes").limit(sample).collect()
+    return posterior, fit_scorer([(r["i"], r["v"], posterior[r["votes"]]) for r in rows])
 
-    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            got = [describe(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"h": batch["h"], "i": [list(f) for _, f in got], "v": [[float(x) for x in f.values()] for _, f in got], "p": [posterior.get(v, 0.5) for v, _ in got]})
 
-    rows = chosen.select("text", order.alias("h")).mapInPandas(featurise, "h long, i array<int>, v array<float>, p double").orderBy("h", "p").limit(sample).collect()
-    return posterior, fit_scorer([(r["i"], r["v"], r["p"]) for r in rows])
+def grade(weights: np.ndarray):
+    """A UDF of features (i, v): the scorer's probability per text; 0 without features."""
 
+    @F.pandas_udf("double")
+    def of(i: pd.Series, v: pd.Series) -> pd.Series:
+        z = np.array([float(weights[a] @ b) + weights[DIM] if len(a) else -np.inf for a, b in zip(i, v, strict=True)])
+        return pd.Series(np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500)))), dtype="float64")
 
-def grade(features: list[dict[int, float]], weights: np.ndarray) -> np.ndarray:
-    """The scorer's probability per text; 0 without features."""
-    z = np.array([float(weights[list(f)] @ np.fromiter(f.values(), float)) + weights[DIM] if f else -np.inf for f in features])
-    return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    return of
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): votes, posterior of the label model, score of the scorer, and accepted.
 
-    Votes of all documents are counted per pattern (at most 3 ** labellers of them, so bounded); EM over these counts
-    estimates each labeller's accuracy. The scorer is trained on the posteriors of at most ``sample`` documents, those with
-    the smallest hash of text and id, and then scores every document. Null, empty and blank texts have no votes; they get
-    the posterior of that pattern, score 0 and are not accepted. Equal texts are judged equally; rows of one or of null id
-    are judged each; no rows give no rows; other columns are not looked at.
+    Every text is read once, whole, whatever its length; its votes and features are written. Votes of all documents are
+    counted per pattern (at most 3 ** labellers of them, so bounded); EM over these counts estimates each labeller's
+    accuracy. The scorer is trained on the posteriors of at most ``sample`` documents, those with the smallest hash of text
+    and id, and then scores every document. Null, empty and blank texts have no votes; they get the posterior of that
+    pattern, score 0 and are not accepted. Equal texts are judged equally; rows of one or of null id are judged each; no
+    rows give no rows; other columns are not looked at.
     """
-    docs = plain(docs)
-    model = fit(docs, sample)
+    table = cut(described(docs.select(F.col("doc_id").cast("long"), "text"), "_").select("doc_id", "_.d.*", "_.h"), "described")
+    model = fit(table, sample)
     if model is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, votes string, posterior double, score double, accepted boolean")
+        return table.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     posterior, weights = model
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            got = [describe(t, words) for t in batch["text"]]
-            s = grade([f for _, f in got], weights)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "votes": [v for v, _ in got], "posterior": [posterior.get(v, 0.5) for v, _ in got], "score": s, "accepted": s >= threshold})
-
-    return docs.mapInPandas(score, "doc_id long, votes string, posterior double, score double, accepted boolean")
+    p = F.create_map(*[F.lit(x) for pair in posterior.items() for x in pair])
+    return table.select("doc_id", "votes", F.element_at(p, F.col("votes")).alias("posterior"), grade(weights)("i", "v").alias("score")).withColumn("accepted", F.col("score") >= threshold)
 
 
 def accept(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`classify` accepts; each row is judged by its own text, whatever its id."""
-    model = fit(plain(docs), sample)
+    name = fresh("_mosaique_d", docs.columns)
+    table = cut(described(docs, name), "described")
+    model = fit(table.select(f"{name}.d.*", f"{name}.h"), sample)
     if model is None:
         return docs
-    weights = model[1]
-
-    @F.pandas_udf("boolean")
-    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words()
-        for batch in texts:
-            yield pd.Series(grade([describe(t, words)[1] for t in batch], weights) >= threshold)
-
-    return docs.where(good(F.coalesce("text", F.lit(""))))
+    return table.where(grade(model[1])(f"{name}.d.i", f"{name}.d.v") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
