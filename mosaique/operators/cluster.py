@@ -203,28 +203,36 @@ def split_to(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42) -> DataFr
 def propagate(f: MixedFrame, known: DataFrame, label: str) -> DataFrame:
     """(key, label) of the nearest labelled row by Euclidean distance of the numbers (of equals the smallest key).
 
-    ``known`` is a sample whose size is a parameter; rows stream past it in blocks.
+    Rows stream in blocks past each part of ``known`` that fits a task; of the parts' nearest the nearest stays.
     """
     import numpy as np
 
-    from .landmarks import MOST_BROADCAST
+    from .landmarks import dealt
 
-    some = known.select(f.key, label, *[F.col(c).cast("double").alias(c) for c in f.num]).orderBy(f.key).toPandas()
-    if some.memory_usage(deep=True).sum() > MOST_BROADCAST:
-        raise ValueError("labelled sample beyond the broadcast bound")
-    to, names, num, key = some[f.num].to_numpy(float), some[label].to_numpy(), f.num, f.key
+    num, key, kind = f.num, f.key, dict(known.dtypes)[label]
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                rows = batch.iloc[at : at + 2048]
-                d = np.zeros((len(rows), len(to)))
-                for i, c in enumerate(num):
-                    d += (rows[c].to_numpy()[:, None] - to[None, :, i]) ** 2
-                yield rows[[key]].assign(**{label: names[d.argmin(axis=1)]})
-
-    kind = dict(known.dtypes)[label]
-    return f.clean.select(key, *num).mapInPandas(run, f"{key} long, {label} {kind}")
+    def passed(some):
+        some = some.sort_values(key)
+        to, names, keys = some[num].to_numpy(float), some[label].to_numpy(), some[key].to_numpy()
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, len(batch) if len(to) else 0, 2048):
+                    rows = batch.iloc[at : at + 2048]
+                    d = np.zeros((len(rows), len(to)))
+                    for i, c in enumerate(num):
+                        d += (rows[c].to_numpy()[:, None] - to[None, :, i]) ** 2
+                    best = d.argmin(axis=1)
+                    yield rows[[key]].assign(_d=d[np.arange(len(d)), best], _k=keys[best], **{label: names[best]})
+
+        return f.clean.select(key, *num).mapInPandas(run, f"{key} long, _d double, _k long, {label} {kind}")
+
+    every = None
+    for n, some in enumerate(dealt(known.select(key, label, *[F.col(c).cast("double").alias(c) for c in num]), key)):  # noqa: B007
+        every = passed(some) if every is None else every.union(passed(some))
+    if n:
+        every = every.groupBy(key).agg(F.min(F.struct("_d", "_k", label)).alias("_b")).select(key, f"_b.{label}")
+    return every.select(key, label)
 
 
 def smooth_counts(counts: DataFrame, label: str, level: str, b: float = 0.025) -> DataFrame:

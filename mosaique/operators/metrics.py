@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..frame import MixedFrame
 from ..functions.gower import gower_block
-from .landmarks import MOST_BROADCAST, landmark_count, stratified
+from .landmarks import dealt, label_sizes, landmark_count, stratified
 from .ordered import ranges, running
 
 EPS = 1e-12
@@ -31,41 +31,93 @@ def group_distance(d: np.ndarray, mode: str, k: int) -> np.ndarray:
     return np.where(n > 0, np.where(finite, d, 0).sum(axis=1) / np.maximum(n, 1), np.inf)
 
 
+def group_parts(d: np.ndarray, mode: str, k: int) -> np.ndarray:
+    """Per row what :func:`group_distance` needs of a part of a group: its ``k`` least distances, or the sum and number of the finite ones."""
+    if mode == "mean":
+        finite = np.isfinite(d)
+        return np.stack([np.where(finite, d, 0).sum(axis=1), finite.sum(axis=1)], axis=1)
+    k = 1 if mode == "min" else k
+    if d.shape[1] > k:
+        return np.partition(d, k - 1, axis=1)[:, :k]
+    return np.pad(d, ((0, 0), (0, k - d.shape[1])), constant_values=np.inf)
+
+
+def group_whole(parts: np.ndarray, mode: str, k: int) -> np.ndarray:
+    """(rows, parts, width) of a group's parts -> its distances."""
+    if mode == "mean":
+        n = parts[:, :, 1].sum(axis=1)
+        return np.where(n > 0, parts[:, :, 0].sum(axis=1) / np.maximum(n, 1), np.inf)
+    return group_distance(parts.reshape(len(parts), -1), mode, k)
+
+
+def _landmark_silhouette(g: np.ndarray, label: np.ndarray, order: list) -> np.ndarray:
+    """(rows, labels) distances -> the rows' silhouettes; 0 where a side is missing."""
+    mine = label[:, None] == np.array(order, dtype=object)[None, :]
+    a, b = np.where(mine, g, np.inf).min(axis=1), np.where(mine, np.inf, g).min(axis=1)
+    top = np.maximum(a, b)
+    with np.errstate(invalid="ignore"):
+        return np.clip(np.where(np.isfinite(top) & (top > EPS), (b - a) / np.where(top > EPS, top, 1), 0.0), -1, 1)
+
+
 def landmark_scores(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int = 3) -> DataFrame:
     """(key, label, s) for every row: (b - a) / max(a, b) of own and best other label's distance to the landmarks.
 
-    The landmarks (some c * sqrt(n) rows) lie in every task while they are small; rows stream past them in blocks. A larger
-    set would be dealt out in parts and the distances merged; it is refused, as its size says that c is wrong.
+    The landmarks (some c * sqrt(n) rows) lie in every task; rows stream past them in blocks. Of a set beyond
+    ``MOST_BROADCAST`` rows pass part by part, and the parts' least distances (or sums) per row and label meet in one shuffle.
     """
-    marks = landmarks.select(f.key, "label", *f.num, *f.cat).toPandas()
-    if marks.memory_usage(deep=True).sum() > MOST_BROADCAST:
-        raise ValueError("landmarks beyond the broadcast bound: lower c")
-    order = sorted(marks["label"].unique(), key=str)
-    parts = {v: np.nonzero((marks["label"] == v).to_numpy())[0] for v in order}
-    num, cat, stats, key = f.num, f.cat, f.stats, f.key
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = dealt(landmarks.select(f.key, "label", *f.num, *f.cat), f.key)
+    first, second = next(parts), next(parts, None)
+    order = sorted(first["label"].unique() if second is None else (r[0] for r in landmarks.select("label").distinct().collect()), key=str)
+    num, cat, stats, key, clean = f.num, f.cat, f.stats, f.key, f.clean
+
+    def near(rows: pd.DataFrame, marks: pd.DataFrame) -> np.ndarray:
+        d = gower_block(rows, marks, num, cat, stats)
+        own = (rows["label"].to_numpy()[:, None] == marks["label"].to_numpy()[None, :]) & (d <= EPS)
+        return np.where(own, np.inf, d)
+
+    if second is None:
+        at = [np.nonzero((first["label"] == v).to_numpy())[0] for v in order]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), 2048):
+                    rows = batch.iloc[start : start + 2048]
+                    d = near(rows, first)
+                    g = np.stack([group_distance(d[:, a], mode, k) for a in at], axis=1)
+                    yield pd.DataFrame({"key": rows[key], "label": rows["label"].astype(str), "s": _landmark_silhouette(g, rows["label"].to_numpy(object), order)})
+
+        return clean.mapInPandas(run, "key long, label string, s double")
+
+    def passed(marks: pd.DataFrame) -> DataFrame:
+        at = [np.nonzero((marks["label"] == v).to_numpy())[0] for v in order]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), 2048):
+                    rows = batch.iloc[start : start + 2048]
+                    d = near(rows, marks)
+                    flat = np.concatenate([group_parts(d[:, a], mode, k) for a in at], axis=1)
+                    yield pd.DataFrame({"key": rows[key], "label": rows["label"].astype(str), "d": list(flat)})
+
+        return clean.mapInPandas(run, "key long, label string, d array<double>")
+
+    every = passed(first).union(passed(second))
+    for marks in parts:
+        every = every.union(passed(marks))
+    names = [str(v) for v in order]
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                rows = batch.iloc[at : at + 2048]
-                d = gower_block(rows, marks, num, cat, stats)
-                own = (rows["label"].to_numpy()[:, None] == marks["label"].to_numpy()[None, :]) & (d <= EPS)
-                d = np.where(own, np.inf, d)
-                g = np.stack([group_distance(d[:, parts[v]], mode, k) for v in order], axis=1)
-                mine = rows["label"].to_numpy()[:, None] == np.array(order, dtype=object)[None, :]
-                a = np.where(mine, g, np.inf).min(axis=1)
-                b = np.where(mine, np.inf, g).min(axis=1)
-                top = np.maximum(a, b)
-                with np.errstate(invalid="ignore"):
-                    s = np.where(np.isfinite(top) & (top > EPS), (b - a) / np.where(top > EPS, top, 1), 0.0)
-                yield pd.DataFrame({"key": rows[key], "label": rows["label"].astype(str), "s": np.clip(s, -1, 1)})
+            x = np.array([np.stack(p) for p in batch["d"]]).reshape(len(batch), -1, len(names), 2 if mode == "mean" else 1 if mode == "min" else k)
+            g = np.stack([group_whole(x[:, :, i], mode, k) for i in range(len(names))], axis=1)
+            yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "s": _landmark_silhouette(g, batch["label"].to_numpy(object), names)})
 
-    return f.clean.mapInPandas(run, "key long, label string, s double")
+    return every.groupBy("key", "label").agg(F.collect_list("d").alias("d")).mapInPandas(merge, "key long, label string, s double")
 
 
 def landmarks_of(f: MixedFrame, c: float = 3.0, seed: int = 42) -> DataFrame:
-    k = f.clean.select("label").distinct().count()
-    return stratified(f.clean, f.key, "label", landmark_count(f.n, k, c), 3, seed)
+    known = label_sizes(f.clean, "label")
+    return stratified(f.clean, f.key, "label", landmark_count(sum(known.values()), len(known), c), 3, seed, known)
 
 
 def lsil(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int = 3) -> DataFrame:
@@ -85,10 +137,17 @@ def default_k(n: int) -> int:
 
 
 def neighbours(f: MixedFrame, landmarks: DataFrame, k: int, ranked: bool = False) -> DataFrame:
-    """(landmark, lm_label, label, d) of the k nearest rows of each landmark; each task passes on its own k nearest only."""
-    marks = landmarks.select(f.key, "label", *f.num, *f.cat).toPandas()
-    if marks.memory_usage(deep=True).sum() > MOST_BROADCAST:
-        raise ValueError("landmarks beyond the broadcast bound: lower c")
+    """(landmark, lm_label, label, d) of the k nearest rows of each landmark; each task passes on its own k nearest only. Rows
+    pass once for each part of landmarks that fits a task."""
+    near = None
+    for marks in dealt(landmarks.select(f.key, "label", *f.num, *f.cat), f.key):
+        part = _nearest_rows(f, marks, k)
+        near = part if near is None else near.union(part)
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("landmark").orderBy("d", "key"))).where(F.col("r") <= k)
+    return first if ranked else first.drop("r")
+
+
+def _nearest_rows(f: MixedFrame, marks: pd.DataFrame, k: int) -> DataFrame:
     num, cat, stats, key = f.num, f.cat, f.stats, f.key
     cols = ["landmark", "lm_label", "key", "label", "d"]
 
@@ -109,19 +168,22 @@ def neighbours(f: MixedFrame, landmarks: DataFrame, k: int, ranked: bool = False
         if best is not None:
             yield best[cols]
 
-    near = f.clean.mapInPandas(run, "landmark long, lm_label string, key long, label string, d double")
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("landmark").orderBy("d", "key"))).where(F.col("r") <= k)
-    return first if ranked else first.drop("r")
+    return f.clean.mapInPandas(run, "landmark long, lm_label string, key long, label string, d double")
 
 
 def vector_neighbours(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """(query, neighbour, d, rank) of the ``k`` nearest rows by cosine distance, itself left out; of equals the smallest key.
 
-    Queries are a sample whose size is a parameter; each task passes on its own k nearest of every query only.
+    Each task passes on its own k nearest of every query only; rows pass once for each part of the queries that fits a task.
     """
-    asked = queries.select(key, vector).toPandas()
-    if asked[vector].map(len).sum() * 8 > MOST_BROADCAST:
-        raise ValueError("queries beyond the broadcast bound")
+    near = None
+    for asked in dealt(queries.select(key, vector), key):
+        part = _nearest_vectors(df, key, vector, asked, k)
+        near = part if near is None else near.union(part)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))).where(F.col("rank") <= k)
+
+
+def _nearest_vectors(df: DataFrame, key: str, vector: str, asked: pd.DataFrame, k: int) -> DataFrame:
     names = asked[key].to_numpy()
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPS)
     to = unit(np.stack(asked[vector].to_numpy()).astype(float)) if len(asked) else np.zeros((0, 1))
@@ -142,8 +204,7 @@ def vector_neighbours(df: DataFrame, key: str, vector: str, queries: DataFrame,
         if best is not None:
             yield best
 
-    near = df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, "query long, neighbour long, d double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))).where(F.col("rank") <= k)
+    return df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, "query long, neighbour long, d double")
 
 
 def lnc_star(f: MixedFrame, landmarks: DataFrame, k: int, classes: int, alpha: float = 0.7) -> DataFrame:
@@ -273,19 +334,33 @@ def cosine_silhouette(df: DataFrame, key: str, label: str, vector: str) -> DataF
 
 
 def cost_to_set(f: MixedFrame, to: DataFrame, k: int = 3) -> DataFrame:
-    """(key, mean_d, min_d, topk_d): mean, least, and mean of the ``k`` least distances to a small set, itself left out."""
-    some = to.select(f.key, *f.num, *f.cat).toPandas()
-    if some.memory_usage(deep=True).sum() > MOST_BROADCAST:
-        raise ValueError("set beyond the broadcast bound")
-    num, cat, stats, key = f.num, f.cat, f.stats, f.key
+    """(key, mean_d, min_d, topk_d): mean, least, and mean of the ``k`` least distances to a set, itself left out.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows pass once for each part of the set that fits a task; what the parts give for a row meets in one shuffle.
+    """
+    num, cat, stats, key, clean = f.num, f.cat, f.stats, f.key, f.clean
+    modes = (("mean_d", "mean"), ("min_d", "min"), ("topk_d", "topk"))
+
+    def passed(some: pd.DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 2048):
+                    rows = batch.iloc[at : at + 2048]
+                    d = gower_block(rows, some, num, cat, stats)
+                    d[rows[key].to_numpy()[:, None] == some[key].to_numpy()[None, :]] = np.inf
+                    yield rows[[key]].assign(d=list(np.concatenate([group_parts(d, mode, k) for _, mode in modes], axis=1)))
+
+        return clean.mapInPandas(run, f"{key} long, d array<double>")
+
+    every = None
+    for n, some in enumerate(dealt(to.select(f.key, *f.num, *f.cat), f.key)):  # noqa: B007
+        every = passed(some) if every is None else every.union(passed(some))
+    met = every.groupBy(key).agg(F.collect_list("d").alias("d")) if n else every.select(key, F.array("d").alias("d"))
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                rows = batch.iloc[at : at + 2048]
-                d = gower_block(rows, some, num, cat, stats)
-                d[rows[key].to_numpy()[:, None] == some[key].to_numpy()[None, :]] = np.inf
-                got = {name: group_distance(d, mode, k) for name, mode in (("mean_d", "mean"), ("min_d", "min"), ("topk_d", "topk"))}
-                yield rows[[key]].assign(**{c: np.round(np.where(np.isfinite(v), v, 0.0), 6) for c, v in got.items()})
+            x = np.array([np.stack(p) for p in batch["d"]]).reshape(len(batch), -1, 3 + k)
+            got = {name: group_whole(part, mode, k) for (name, mode), part in zip(modes, np.split(x, [2, 3], axis=2), strict=True)}
+            yield batch[[key]].assign(**{c: np.round(np.where(np.isfinite(v), v, 0.0), 6) for c, v in got.items()})
 
-    return f.clean.mapInPandas(run, f"{key} long, mean_d double, min_d double, topk_d double")
+    return met.mapInPandas(merge, f"{key} long, mean_d double, min_d double, topk_d double")

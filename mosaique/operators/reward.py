@@ -16,9 +16,11 @@ from .search import Score, Subset
 
 def landmark_reward(f: MixedFrame, marks: DataFrame, mode: str = "topk", k: int = 3) -> Score:
     """Mean landmark silhouette of each subset of a batch; one pass over the rows, and one sum per subset and task back."""
-    some = marks.select(f.key, "label", *f.num, *f.cat).toPandas()
-    if some.memory_usage(deep=True).sum() > metrics.MOST_BROADCAST:
-        raise ValueError("landmarks beyond the broadcast bound: lower c")
+    parts = landmarks.dealt(marks.select(f.key, "label", *f.num, *f.cat), f.key)
+    some = next(parts)
+    if next(parts, None) is not None:
+        # Beyond what a task holds, subset by subset by the scores that take landmarks in parts.
+        return lambda subsets: [metrics.landmark_scores(f.select(list(s)), marks, mode, k).agg(F.avg("s")).first()[0] for s in subsets]
     order = sorted(some["label"].unique(), key=str)
     parts = [np.nonzero((some["label"] == v).to_numpy())[0] for v in order]
     num, stats, clean = set(f.num), f.stats, f.clean

@@ -242,3 +242,28 @@ def test_weighted_landmark_silhouette(six):
     five = MixedFrame(six.df.where("k < 5"), "k", ["x", "y"], ["c"], "label")
     per = {r["label"]: (r["n"], r["lsil"]) for r in metrics.lsil(five, five.clean).collect()}
     assert metrics.lsil_score(five, five.clean, weighted=True).first()[0] == pytest.approx(sum(n * n * s for n, s in per.values()) / 13, abs=1e-5)
+
+
+def test_landmarks_beyond_a_task_are_dealt_in_parts(spark, monkeypatch):
+    from mosaique.operators import landmarks, reward
+
+    rows = [(i, float(i * 37 % 101), float(i % 7), "abc"[i * 5 % 3], "pq"[i % 2]) for i in range(120)]
+    f = MixedFrame(spark.createDataFrame(rows, "k long, x double, y double, c string, label string"), "k", ["x", "y"], ["c"], "label")
+    marks = f.clean.where("k % 3 = 0")
+    vectors = f.clean.select("k", F.array("x", "y").alias("v")).where("x > 0")
+
+    def every():
+        out = [sorted(map(tuple, metrics.landmark_scores(f, marks, mode).collect())) for mode in ("topk", "mean", "min")]
+        out.append(sorted(map(tuple, metrics.neighbours(f, marks, 4).collect())))
+        out.append(sorted(map(tuple, metrics.cost_to_set(f, marks).collect())))
+        out.append(sorted(map(tuple, metrics.vector_neighbours(vectors, "k", "v", vectors.where("k % 5 = 0"), 3).collect())))
+        out.append(sorted(map(tuple, cluster.propagate(f, marks, "label").collect())))
+        out.append([(None, x) for x in reward.landmark_reward(f, marks)([("x",), ("c", "x")])])
+        return out
+
+    whole = every()
+    monkeypatch.setattr(landmarks, "MOST_BROADCAST", 2000)
+    assert len(list(landmarks.dealt(marks, "k"))) > 2
+    for a, b in zip(whole, every(), strict=True):
+        assert len(a) == len(b) > 0
+        assert all(x[:-1] == y[:-1] and (x[-1] == y[-1] or x[-1] == pytest.approx(y[-1], abs=1e-9)) for x, y in zip(a, b, strict=True))
