@@ -42,12 +42,11 @@ def dqc_report(df: DataFrame, near_zero: float = 0.998, missing: float = 0.5, fe
         F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("known"),
         F.count("value").alias("n_unique"),
         F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top"),
+        F.substring(F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("m"), "value")))["value"], 1, 40).alias("top_value"),
     )
-    top = counts.where("value is not null").groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("t")).select("column", F.substring("t.value", 1, 40).alias("top_value"))
     spread = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in num])
     spread = spread.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("std")) for c in num])).alias("e")).select("e.*") if num else None
-    out = per.join(top, "column", "left")
-    out = out.join(spread, "column", "left") if spread is not None else out.withColumn("std", F.lit(None).cast("double"))
+    out = per.join(spread, "column", "left") if spread is not None else per.withColumn("std", F.lit(None).cast("double"))
     out = out.withColumn("top_frac", F.coalesce(F.col("top") / F.col("known"), F.lit(0.0))).withColumn("missing_frac", 1 - F.coalesce("known", F.lit(0)) / F.col("rows"))
     first = F.when((F.col("n_unique") <= 1) | (F.col("std") < 1e-6), "zero_variance").when(F.col("top_frac") >= near_zero, "near_zero_variance")
     high = F.col("missing_frac") >= missing

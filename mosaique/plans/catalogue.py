@@ -42,23 +42,35 @@ PART_COLUMNS = ["p_partkey", "p_size", "p_retailprice", "p_name", "p_brand", "p_
 _COUNTS = "with counts as (" + " union all ".join(f"select '{c}' as col, cast({c} as varchar) as v, count(*) as n from part group by {c}" for c in PART_COLUMNS) + ")"
 
 
-@query(f"""{_COUNTS}, per as (
-  select col, sum(n) as row_n, coalesce(sum(n) filter (v is not null), 0) as known, count(v) as n_unique, max(n) filter (v is not null) as top from counts group by col
+#: Part with holes and dull columns planted, so that every issue occurs.
+_HOLES = """select p_partkey, p_size, p_name, p_brand, case when p_partkey % 5 = 0 then p_type end as rare_type, 'one' as constant, case when p_partkey % 1000 = 7 then 1 else 0 end as nearly,
+  cast(null as int) as nothing, cast(p_size % 7 as int) as code, case when p_partkey % 9 = 0 then cast(p_size as int) end as rare_size from part"""
+_HOLE_COLUMNS = ["p_partkey", "p_size", "p_name", "p_brand", "rare_type", "constant", "nearly", "nothing", "code", "rare_size"]
+_HOLE_COUNTS = f"with holes as ({_HOLES}), counts as (" + " union all ".join(f"select '{c}' as col, cast({c} as varchar) as v, count(*) as n from holes group by {c}" for c in _HOLE_COLUMNS) + ")"
+
+
+@query(f"""{_HOLE_COUNTS}, per as (
+  select col, sum(n) as row_n, coalesce(sum(n) filter (v is not null), 0) as known, count(v) as n_unique, max(n) filter (v is not null) as top, arg_min(v, (-n, v)) filter (v is not null) as top_value from counts group by col
 ), spread as (
-  select 'p_partkey' as col, stddev_samp(p_partkey::double) as std from part union all select 'p_size', stddev_samp(p_size::double) from part
-  union all select 'p_retailprice', stddev_samp(p_retailprice) from part
+  select unnest(['p_partkey', 'p_size', 'nearly', 'nothing', 'code', 'rare_size']) as col, unnest([stddev_samp(p_partkey::double), stddev_samp(p_size::double), stddev_samp(nearly::double), stddev_samp(nothing::double), stddev_samp(code::double), stddev_samp(rare_size::double)]) as std from holes
 ), rated as (
-  select per.col, n_unique, coalesce(top / known, 0.0) as tf, 1 - known / row_n as mf, std, std is not null as is_num from per left join spread using (col)
+  select per.col, n_unique, top_value, coalesce(top / known, 0.0) as tf, 1 - known / row_n as mf, std, spread.col is not null as is_num from per left join spread on per.col = spread.col
+), first_issue as (
+  select *, case when n_unique <= 1 or std < 1e-6 then 'zero_variance' when tf >= 0.998 then 'near_zero_variance' end as dull from rated
 ), told as (
-  select *, case when n_unique <= 1 or std < 1e-6 then 'zero_variance' when tf >= 0.998 then 'near_zero_variance' when mf >= 0.5 then 'high_missing'
-    when is_num and n_unique between 3 and 20 then 'disguised_categorical' else 'ok' end as issue from rated
+  select *, case when dull is not null and mf >= 0.5 then dull || '+high_missing' when dull is not null then dull when mf >= 0.5 then 'high_missing'
+    when is_num and n_unique between 3 and 20 then 'disguised_categorical' else 'ok' end as issue from first_issue
 )
-select col as "column", case when is_num then 'numeric' else 'categorical' end as kind, n_unique::bigint as n_unique, round(tf, 4) as top_frac, round(mf, 4) as missing_frac, round(std, 6) as std, issue,
+select col as "column", case when is_num then 'numeric' else 'categorical' end as kind, n_unique::bigint as n_unique, top_value[:40] as top_value, round(tf, 4) as top_frac, round(mf, 4) as missing_frac, round(std, 6) as std, issue,
   case when issue like '%zero_variance%' then 'drop' when issue in ('disguised_categorical', 'high_missing') then 'warn' else 'keep' end as action
 from told""")
 def dqc_report(spark, d):
-    # The top value is left out, as engines write doubles as text in other ways.
-    return clean.dqc_report(read(spark, d, "part").select(*PART_COLUMNS)).drop("top_value")
+    k = F.col("p_partkey")
+    holes = read(spark, d, "part").select(
+        "p_partkey", "p_size", "p_name", "p_brand", F.when(k % 5 == 0, F.col("p_type")).alias("rare_type"), F.lit("one").alias("constant"), F.when(k % 1000 == 7, 1).otherwise(0).alias("nearly"),
+        F.lit(None).cast("int").alias("nothing"), (F.col("p_size") % 7).cast("int").alias("code"), F.when(k % 9 == 0, F.col("p_size").cast("int")).alias("rare_size"),
+    )
+    return clean.dqc_report(holes)
 
 
 @query(f"""{_COUNTS}, per as (
