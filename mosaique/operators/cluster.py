@@ -60,6 +60,14 @@ def k_prototypes(f: MixedFrame, k: int, gamma: float | None = None, seed: int =
     return assign(f, plain, best[1], gamma).select(f.key, "cluster"), best[1], best[0]
 
 
+def estimate_gamma(f: MixedFrame, scale: float = 1.0) -> float:
+    """The weight of a mismatch against numbers as they are: their mean deviation, times ``scale``; 1 without numbers."""
+    if not f.num:
+        return 1.0
+    row = f.clean.agg(*[F.stddev_pop(c).alias(c) for c in f.num]).first()
+    return scale * sum(row[c] or 1e-9 for c in f.num) / len(f.num)
+
+
 def check_k(k: int, n: int) -> int:
     """The number of clusters, if 2 <= k <= n."""
     if not 2 <= k <= n:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MixedFrame, hash_order
-from ..functions.gower import gower
+from ..functions.gower import gower, gower_block
 
 #: Of landmarks and the like at most about so many bytes lie in a task at once.
 MOST_BROADCAST = 64 << 20
@@ -73,3 +74,25 @@ def medoids(f: MixedFrame, cap: int = 64, seed: int = 42) -> DataFrame:
     pairs = some.alias("a").join(some.alias("b"), F.col("a.label") == F.col("b.label"))
     sums = pairs.groupBy(F.col("a.label").alias("label"), F.col(f"a.{f.key}").alias("key")).agg(F.round(F.sum(d), 9).alias("s"))
     return sums.groupBy("label").agg(F.min(F.struct("s", "key")).alias("m")).select("label", F.col("m.key").alias("medoid"), F.round("m.s", 6).alias("total"))
+
+
+def prototypes(f: MixedFrame, per_label: int = 2, cap: int = 64, seed: int = 42) -> DataFrame:
+    """(label, place, key): per label its medoid among ``cap`` sampled rows, then rows that lie farthest from those chosen.
+
+    The first has the least sum of distances; each next one the greatest sum of distances to those before it; of equals
+    the smallest key. A label's sample is bounded by ``cap``.
+    """
+    num, cat, stats, key = f.num, f.cat, f.stats, f.key
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key)
+        d = np.round(gower_block(rows, rows, num, cat, stats), 9)
+        chosen = [int(np.round(d.sum(axis=1), 9).argmin())]
+        while len(chosen) < min(per_label, len(rows)):
+            far = np.round(d[:, chosen].sum(axis=1), 9)
+            far[chosen] = -1
+            chosen.append(int(far.argmax()))
+        return pd.DataFrame({"label": rows["label"].astype(str).iloc[0], "place": np.arange(1, len(chosen) + 1), "key": rows[key].to_numpy()[chosen]})
+
+    some = stratified(f.clean, key, "label", 0, cap, seed)
+    return some.groupBy("label").applyInPandas(pick, "label string, place int, key long")

@@ -132,6 +132,17 @@ def lsil_score(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int =
     return per.agg(F.round(F.sum(w * F.col("t")) / F.greatest(F.sum(w * F.col("n")), F.lit(EPS)), 6).alias("lsil"))
 
 
+def score_internal(f: MixedFrame, metric: str = "auto", exact_below: int = 1000, most: int = 150, seed: int = 42) -> float:
+    """One score of a labelled frame: the exact silhouette of small tables (or if asked for: ``ss_gower``), else a landmark
+    silhouette by the nearest of at most ``most`` landmarks that cover the rows."""
+    if metric == "ss_gower" or metric == "auto" and f.n < exact_below:
+        return silhouette(f).agg(F.avg("s")).first()[0]
+    from .unit import k_center
+
+    keys = k_center(f, min(most, max(20, f.n // 10)), seed=seed).select(f.key)
+    return lsil_score(f, f.clean.join(keys, f.key, "left_semi"), "topk", 1).first()[0]
+
+
 def default_k(n: int) -> int:
     return max(5, n // 3) if n <= 50 else 20 if n <= 200 else min(50, int(math.sqrt(n)))
 

@@ -164,6 +164,17 @@ def medoid_prototypes(spark, d):
     return landmarks.medoids(part(spark, d))
 
 
+_CAPPED = _LM.replace("greatest(3, round({m}", "greatest(64, round(0")
+
+
+@query(f"""with {_CAPPED}, {_RANGES}, d as (select a.p_type, a.p_partkey as x, b.p_partkey as y, round({_GOWER}, 9) as d from lm a join lm b on a.p_type = b.p_type, ranges),
+first as (select p_type, arg_min(x, (s, x)) as m from (select p_type, x, round(sum(d), 9) as s from d group by 1, 2) group by 1),
+second as (select p_type, arg_min(y, (-d, y)) as m from d join first using (p_type) where x = m and y <> m group by 1)
+select p_type as label, 1 as place, m as key from first union all select p_type, 2, m from second""")
+def medoid_pairs(spark, d):
+    return landmarks.prototypes(part(spark, d), 2)
+
+
 @query(f"with {_LANDMARKS}, {_RANGES} select a.p_partkey as query, b.p_partkey as neighbour, round({_GOWER}, 9) as d, row_number() over (partition by a.p_partkey order by round({_GOWER}, 9), b.p_partkey)::int as rank from lm a join part b on a.p_partkey <> b.p_partkey, ranges qualify rank <= 5")
 def gower_topk(spark, d):
     f = part(spark, d)

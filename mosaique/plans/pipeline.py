@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -15,6 +17,9 @@ from ..sources import artifacts
 from . import anchored
 
 
+log = logging.getLogger("mosaique")
+
+
 @dataclass(frozen=True)
 class Params:
     mab_T: int = 12
@@ -35,6 +40,7 @@ class Params:
     weight: float = 0.6
     sc_lnc_threshold: float = 0.5
     rerank: bool = False
+    rerank_shadow: bool = False
     rerank_topk: int = 3
     redundancy_cache: str | None = None
     n_clusters: int | None = None
@@ -168,12 +174,13 @@ def phase_a(ready: Prepared) -> dict:
     labelled.df.unpersist()
     top = archive.top(max(p.rerank_topk, p.phase_b_subsets, 1 + p.sc_retries))
     subsets = [s for s, _ in top if s != best]
-    if p.rerank:
-        subsets = [s for s, _ in reranked(f, [best, *subsets][: p.rerank_topk], ready.hint[0], p.random_state)]
-    else:
-        subsets = [best, *subsets]
+    subsets, again = [best, *subsets], []
+    if p.rerank or p.rerank_shadow:
+        # In the shadow the new order is only reported.
+        again = reranked(f, subsets[: p.rerank_topk], ready.hint[0], p.random_state)
+        subsets = [s for s, _ in again] + subsets[p.rerank_topk :] if p.rerank else subsets
     pruned = list(dict.fromkeys(tuple(redundancy.prune(list(s), red, p.mab_redundancy_threshold)) for s in subsets))
-    return {"subsets": pruned, "scores": dict(top), "reward": value, "labels": labels, "mab_stats": bandit, "sa_stats": annealed}
+    return {"subsets": pruned, "scores": dict(top), "reward": value, "labels": labels, "reranked": again, "mab_stats": bandit, "sa_stats": annealed}
 
 
 def find_subsets(df: DataFrame, key: str | None = None, label: str | None = None, params: Params | None = None, k: int | None = None) -> dict:
@@ -181,10 +188,11 @@ def find_subsets(df: DataFrame, key: str | None = None, label: str | None = None
     return phase_a(prepare(df, key, label, params, k))
 
 
-def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None, outdir: str | None = None, params: Params | None = None, k: int | None = None) -> dict:
+def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None, outdir: str | None = None, params: Params | None = None, k: int | None = None, cluster_fn: Callable[[MixedFrame], DataFrame] | None = None) -> dict:
     """Checks and imputes ``df``, searches columns, picks subset, algorithm and number of clusters by the composite score (or by
     anchors), holds the choice against structural control, where it fails tries the next best subsets, and profiles the clusters.
 
+    ``cluster_fn`` (frame of the best columns -> key, cluster) takes the place of the search over algorithms and K.
     ``key`` is a unique long column; ``label`` is left out of the search and only hints at the number of clusters, as does
     ``k``. Returns columns, K, scores, assignments and profiles, and writes them to ``outdir``.
     """
@@ -192,23 +200,31 @@ def run_pipeline(df: DataFrame, key: str | None = None, label: str | None = None
     ready = prepare(df, key, label, params, k)
     f, p, key = ready.frame, ready.params, ready.frame.key
     found = phase_a(ready)
+    log.info("columns %s dropped, %s cast; %d clusters by %s; best columns %s", ready.dropped, ready.cast, *ready.hint, found["subsets"][0])
     ks = range(p.c_min, max(p.c_min, p.c_max) + 1)
     how = {"anchor_least": p.anchor_threshold, "overall_least": p.sc_lnc_threshold, "c": p.lsil_c, "weight": p.weight, "topk": p.lsil_topk, "seed": p.random_state, "known": found["labels"], "full_rows": p.full_rows, "skip_lnc": p.phase_b_skip_lnc}
-    tried = anchored.over_subsets(f, found["subsets"][: p.phase_b_subsets], list(p.anchors), p.algorithms, ks, **how)
+    if cluster_fn:
+        first = found["subsets"][0]
+        given = anchored.Trial("given", 0, cluster_fn(f.select(list(first))).persist())
+        given.k, given.score = given.labels.select("cluster").distinct().count(), anchored.composite_score(anchored.labelled(f.select(list(first)), given.labels), p.lsil_c, p.weight, p.lsil_topk, p.random_state, p.phase_b_skip_lnc)
+        tried = [(first, given, [given])]
+    else:
+        tried = anchored.over_subsets(f, found["subsets"][: p.phase_b_subsets], list(p.anchors), p.algorithms, ks, **how)
     chosen, top, action, lnc = anchored.with_control(f, [(s, t) for s, t, _ in tried], p.sc_lnc_threshold, p.sc_retries, p.random_state)
-    rest = [s for s in found["subsets"][p.phase_b_subsets :] if s not in [x[0] for x in tried]][: p.sc_retries]
+    rest = [] if cluster_fn else [s for s in found["subsets"][p.phase_b_subsets :] if s not in [x[0] for x in tried]][: p.sc_retries]
     if action == "rejected_all" and rest:
         tried += anchored.over_subsets(f, rest, list(p.anchors), p.algorithms, ks, **how)
         again = anchored.with_control(f, [(s, t) for s, t, _ in tried[-len(rest) :]], p.sc_lnc_threshold, p.sc_retries, p.random_state)
         if again[2] != "rejected_all":
             chosen, top, action, lnc = again[0], again[1], "retried", again[3]
+    log.info("%s with %d clusters, J %.4f, control %s (%.3f)", top.algorithm, top.k, top.score, action, lnc)
     sub = f.select(list(chosen))
     t = replace_frame(sub, f.df.join(top.labels, key).persist())
     classes = t.clean.select("label").distinct().count()
     final = metrics.silhouette(t).agg(F.avg("s")).first()[0]
     profiles = {"sizes": profile.sizes(t.df, "cluster"), "numeric": profile.numeric(t.df, "cluster", t.num) if t.num else None, "categorical": profile.table(t.df, "cluster", t.cat) if t.cat else None, "table": profile.wide(t.df, "cluster", t.num[:10], t.cat[:6])}
     trials = [{"columns": list(s), "algorithm": x.algorithm, "k": x.k, "J": x.score, "dbi": x.dbi, "chi": x.chi, "lnc_anchor": x.anchored, "lnc": x.overall} for s, _, every in tried for x in every]
-    info = {"best_columns": list(chosen), "best_K": classes, "best_reward": found["reward"], "final_algo": top.algorithm, "dav_applied": top.by_anchor, "anchor_cols": list(p.anchors), "final_ss_gower": final, "k_hint": ready.hint[0], "k_hint_source": ready.hint[1], "structural_control": {"lnc_score": lnc, "threshold": p.sc_lnc_threshold, "passed": action != "rejected_all", "action": action}, "trials": trials, "mab_stats": found["mab_stats"], "sa_stats": found["sa_stats"], "dropped": ready.dropped, "cast": ready.cast, "timing_s": time.time() - began}
+    info = {"best_columns": list(chosen), "best_K": classes, "best_reward": found["reward"], "final_algo": top.algorithm, "dav_applied": top.by_anchor, "anchor_cols": list(p.anchors), "final_ss_gower": final, "k_hint": ready.hint[0], "k_hint_source": ready.hint[1], "structural_control": {"lnc_score": lnc, "threshold": p.sc_lnc_threshold, "passed": action != "rejected_all", "action": action}, "trials": trials, "mab_stats": found["mab_stats"], "sa_stats": found["sa_stats"], "reranked": [[list(s), x] for s, x in found["reranked"]], "dropped": ready.dropped, "cast": ready.cast, "timing_s": time.time() - began}
     if outdir:
         write_artifacts(outdir, t, info, ready, profiles)
     return info | {"assignments": t.df.select(key, "cluster"), "profiles": profiles}

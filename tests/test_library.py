@@ -267,3 +267,26 @@ def test_landmarks_beyond_a_task_are_dealt_in_parts(spark, monkeypatch):
     for a, b in zip(whole, every(), strict=True):
         assert len(a) == len(b) > 0
         assert all(x[:-1] == y[:-1] and (x[-1] == y[-1] or x[-1] == pytest.approx(y[-1], abs=1e-9)) for x, y in zip(a, b, strict=True))
+
+
+def test_internal_score_gamma_and_prototypes(six, spark):
+    from mosaique.operators import landmarks
+
+    want = metrics.silhouette(six).agg(F.avg("s")).first()[0]
+    assert metrics.score_internal(six) == pytest.approx(want)
+    assert 0 < metrics.score_internal(six, metric="lsil") <= 1
+    assert cluster.estimate_gamma(six, 2.0) == pytest.approx(six.df.select(F.stddev_pop("x") + F.stddev_pop("y")).first()[0])
+    got = [(r["label"], r["place"], r["key"]) for r in landmarks.prototypes(six, 3).orderBy("label", "place").collect()]
+    assert [g[:2] for g in got] == [(v, k) for v in "pq" for k in (1, 2, 3)] and {g[2] for g in got} == set(range(6))
+
+
+def test_pipeline_with_a_clustering_of_the_callers_own(spark):
+    from mosaique.plans.pipeline import Params, find_subsets, run_pipeline
+
+    rows = [(i, 10.0 * (i % 2) + (i * 37 % 100) / 100, float(i * 61 % 97), ["a", "b"][i % 2], i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, noise double, c string, truth int")
+    p = Params(c_max=3, sa_iters=4, mab_T=4, rerank_shadow=True, recluster=True)
+    out = run_pipeline(df, label="truth", params=p, cluster_fn=lambda f: f.df.select(f.key, (F.col(f.key) % 2).cast("int").alias("cluster")))
+    assert out["final_algo"] == "given" and out["best_K"] == 2 and out["k_hint_source"] == "label" and out["reranked"]
+    found = find_subsets(df, label="truth", params=p)
+    assert set(found["subsets"][0]) <= {"x", "noise", "c"} and found["reward"] > 0
