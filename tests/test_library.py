@@ -285,8 +285,7 @@ def test_pipeline_with_a_clustering_of_the_callers_own(spark):
 
     rows = [(i, 10.0 * (i % 2) + (i * 37 % 100) / 100, float(i * 61 % 97), ["a", "b"][i % 2], i % 2) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, x double, noise double, c string, truth int")
-    p = Params(c_max=3, sa_iters=4, mab_T=4, rerank_shadow=True, recluster=True)
-    out = run_pipeline(df, label="truth", params=p, cluster_fn=lambda f: f.df.select(f.key, (F.col(f.key) % 2).cast("int").alias("cluster")))
+    out = run_pipeline(df, label="truth", params=Params(c_max=3, sa_iters=1, mab_T=2, rerank_shadow=True, rerank_topk=1), cluster_fn=lambda f: f.df.select(f.key, (F.col(f.key) % 2).cast("int").alias("cluster")))
     assert out["final_algo"] == "given" and out["best_K"] == 2 and out["k_hint_source"] == "label" and out["reranked"]
-    found = find_subsets(df, label="truth", params=p)
+    found = find_subsets(df, label="truth", params=Params(c_max=3, sa_iters=1, mab_T=2, recluster=True))
     assert set(found["subsets"][0]) <= {"x", "noise", "c"} and found["reward"] > 0
