@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MixedFrame
+from ..functions import nearest
 from ..functions.gower import gower_block
 from .landmarks import dealt, label_sizes, landmark_count, stratified
 from .ordered import ranges, running
@@ -52,13 +55,48 @@ def group_whole(parts: np.ndarray, mode: str, k: int) -> np.ndarray:
 
 def _landmark_silhouette(g: np.ndarray, label: np.ndarray, order: list) -> np.ndarray:
     """(rows, labels) distances -> the rows' silhouettes; 0 where a side is missing."""
-    mine = label[:, None] == np.array(order, dtype=object)[None, :]
+    mine = label[:, None] == np.array(order, dtype=label.dtype)[None, :]
     a, b = np.where(mine, g, np.inf).min(axis=1), np.where(mine, np.inf, g).min(axis=1)
     top = np.maximum(a, b)
     with np.errstate(invalid="ignore"):
         return np.clip(np.where(np.isfinite(top) & (top > EPS), (b - a) / np.where(top > EPS, top, 1), 0.0), -1, 1)
 
 
+def spread(f: MixedFrame, rows: int) -> DataFrame:
+    """The frame's clean rows in tasks of about ``rows`` rows, and no fewer tasks than run at once; small tables as they lie."""
+    n = f.n
+    if n <= 20_000:
+        return f.clean
+    return f.clean.repartition(max(f.df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / rows)), f.key)
+
+
+def _nearest_scores(f: MixedFrame, marks: pd.DataFrame, order: list, k: int) -> DataFrame:
+    """Scores by the ``k`` nearest landmarks of each label: rows are put in boxes, which leave out the landmarks that are too far."""
+    num, cat, key, scale = f.num, f.cat, f.key, [f.stats[c][2] for c in f.num]
+    values, names = nearest.values_of(marks, cat), [str(v) for v in order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = nearest.points(pa.table({c: pa.array(marks[c]) for c in (*num, *cat)}), num, cat, values)
+        at = [np.flatnonzero((marks["label"] == v).to_numpy()) for v in order]
+        known = pa.array(order)
+        for table in nearest.chunks(batches):
+            label = table.column("label")
+            mine = pc.fill_null(pc.index_in(label, value_set=known.cast(label.type)), -1).to_numpy()
+            g = np.empty((table.num_rows, len(order)))
+            for rows, here, some in nearest.near(nearest.points(table, num, cat, values), to, scale, at, k, EPS):
+                for i, near in enumerate(some):
+                    d = nearest.block(here, to.take(near), scale)
+                    d[(mine[rows] == i)[:, None] & (d <= EPS)] = np.inf
+                    g[rows, i] = group_distance(nearest.least_of(d, k), "topk", k)
+            s = _landmark_silhouette(g, mine, list(range(len(order))))
+            text = pa.array(names, pa.string()).take(pa.array(np.maximum(mine, 0))) if order else pa.nulls(table.num_rows, pa.string())
+            if (mine < 0).any():
+                text = pa.array(np.where(mine < 0, label.to_pandas().astype(str), text.to_numpy(False)), pa.string())
+            yield from pa.table({"key": table.column(key).cast(pa.int64()), "label": text, "s": pa.array(s)}).to_batches(10_000)
+
+    return spread(f, 1 << 18).mapInArrow(run, "key long, label string, s double")
+
+
 def landmark_scores(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int = 3) -> DataFrame:
     """(key, label, s) for every row: (b - a) / max(a, b) of own and best other label's distance to the landmarks.
 
@@ -75,6 +113,9 @@ def landmark_scores(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k:
         own = (rows["label"].to_numpy()[:, None] == marks["label"].to_numpy()[None, :]) & (d <= EPS)
         return np.where(own, np.inf, d)
 
+    if second is None and mode != "mean" and (num or cat):
+        return _nearest_scores(f, first, order, 1 if mode == "min" else k)
+
     if second is None:
         at = [np.nonzero((first["label"] == v).to_numpy())[0] for v in order]
 
