@@ -40,7 +40,10 @@ class MixedFrame:
     label: str | None = None
 
     def select(self, columns: list[str]) -> MixedFrame:
-        return replace(self, num=[c for c in self.num if c in columns], cat=[c for c in self.cat if c in columns])
+        out = replace(self, num=[c for c in self.num if c in columns], cat=[c for c in self.cat if c in columns])
+        if "stats" in self.__dict__:
+            out.__dict__["stats"] = self.stats  # of the same rows: nothing is counted anew
+        return out
 
     @property
     def clean(self) -> DataFrame:

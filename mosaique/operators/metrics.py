@@ -200,27 +200,39 @@ def neighbours(f: MixedFrame, landmarks: DataFrame, k: int, ranked: bool = False
 
 
 def _nearest_rows(f: MixedFrame, marks: pd.DataFrame, k: int) -> DataFrame:
-    num, cat, stats, key = f.num, f.cat, f.stats, f.key
-    cols = ["landmark", "lm_label", "key", "label", "d"]
+    """Each task's ``k`` nearest rows of every landmark; of equals the smallest keys. Landmarks are put in boxes, which leave out
+    the rows that are too far; of rows with equal values only the k + 1 of smallest key come into question."""
+    num, cat, key, scale = f.num, f.cat, f.key, [f.stats[c][2] for c in f.num]
+    kind = pa.schema([("landmark", pa.int64()), ("lm_label", pa.string()), ("key", pa.int64()), ("label", pa.string()), ("d", pa.float64())])
+    names, lm_label = marks[key].to_numpy(), marks["label"].astype(str).to_numpy()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                rows = batch.iloc[at : at + 2048]
-                d = np.round(gower_block(marks, rows, num, cat, stats), 9)
-                d[marks[key].to_numpy()[:, None] == rows[key].to_numpy()[None, :]] = np.inf
-                take = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
-                # Ties at the k-th distance are all passed on, so that the order by key decides among them.
-                edge = np.take_along_axis(d, take, axis=1).max(axis=1, keepdims=True)
-                i, j = np.nonzero((d <= edge) & np.isfinite(d))
-                part = pd.DataFrame({"landmark": marks[key].to_numpy()[i], "lm_label": marks["label"].astype(str).to_numpy()[i], "key": rows[key].to_numpy()[j], "label": rows["label"].astype(str).to_numpy()[j], "d": d[i, j]})
-                best = part if best is None else pd.concat([best, part])
-                best = best.sort_values(["landmark", "d", "key"]).groupby("landmark", sort=False).head(k)
+        to = nearest.points(pa.table({c: pa.array(marks[c]) for c in (*num, *cat)}), num, cat, values)
+        if not num and not cat:
+            to = nearest.Points([], [np.zeros(len(marks), int)])
+        for table in nearest.chunks(batches):
+            table = table.take(pc.sort_indices(table, [(key, "ascending")]))
+            # Without columns all rows are equally far.
+            every = nearest.points(table, num, cat, values) if num or cat else nearest.Points([], [np.full(table.num_rows, -1)])
+            first = nearest.first_of_equals(every, k + 1)
+            rows, keys, labels = every.take(first), table.column(key).to_numpy()[first], table.column("label").take(pa.array(first)).to_pandas().astype(str).to_numpy()
+            part = []
+            for at, here, (near,) in nearest.near(to, rows, scale, [np.arange(rows.n)], k + 1, leaf=16):
+                d = np.round(nearest.block(here, rows.take(near), scale), 9)
+                d[names[at][:, None] == keys[near][None, :]] = np.inf
+                by = nearest.first_of(d, k)
+                d = np.take_along_axis(d, by, axis=1)
+                i, j = np.nonzero(np.isfinite(d))
+                part.append((at[i], near[by[i, j]], d[i, j]))
+            i, j, d = (np.concatenate(x) for x in zip(*part, strict=True)) if part else (np.zeros(0, int),) * 3
+            found = pd.DataFrame({"landmark": names[i], "lm_label": lm_label[i], "key": keys[j], "label": labels[j], "d": d})
+            best = found if best is None else pd.concat([best, found]).sort_values(["landmark", "d", "key"]).groupby("landmark", sort=False).head(k)
         if best is not None:
-            yield best[cols]
+            yield from pa.Table.from_pandas(best, kind, preserve_index=False).to_batches(10_000)
 
-    return f.clean.mapInPandas(run, "landmark long, lm_label string, key long, label string, d double")
+    values = nearest.values_of(marks, cat)
+    return spread(f, 1 << 19).mapInArrow(run, "landmark long, lm_label string, key long, label string, d double")
 
 
 def vector_neighbours(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
@@ -262,16 +274,18 @@ def _nearest_vectors(df: DataFrame, key: str, vector: str, asked: pd.DataFrame,
 def lnc_star(f: MixedFrame, landmarks: DataFrame, k: int, classes: int, alpha: float = 0.7) -> DataFrame:
     """(landmark, lnc): label entropy of its k neighbours (Miller-Madow) and the gap of other to own labels' distances."""
     near = neighbours(f, landmarks, k)
-    counts = near.groupBy("landmark", "label").agg(F.count(F.lit(1)).alias("c"))
-    total = F.sum("c").over(Window.partitionBy("landmark"))
-    p = F.col("c") / F.col("t")
-    entropy = counts.withColumn("t", total).groupBy("landmark").agg((-F.sum(p * F.ln(p + 1e-12))).alias("h"), F.count(F.lit(1)).alias("m"), F.first("t").alias("t"))
+    # A landmark's neighbours are in one task, for the labels' shares and for the distances alike: they are sought once.
+    one, every = Window.partitionBy("landmark", "label"), Window.partitionBy("landmark")
+    near = near.withColumn("c", F.count(F.lit(1)).over(one)).withColumn("t", F.count(F.lit(1)).over(every)).withColumn("i", F.row_number().over(one.orderBy("d", "key")))
+    p, same = F.col("c") / F.col("t"), F.col("label") == F.col("lm_label")
+    gaps = near.groupBy("landmark").agg(
+        (-F.sum(F.when(F.col("i") == 1, p * F.ln(p + 1e-12)))).alias("h"), F.count(F.when(F.col("i") == 1, 1)).alias("m"), F.first("t").alias("t"),
+        F.avg(F.when(same, F.col("d"))).alias("intra"), F.avg(F.when(~same, F.col("d"))).alias("inter"), F.avg("d").alias("every"), F.percentile("d", F.array(F.lit(0.05), F.lit(0.95))).alias("q"),
+    )
     nc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.col("h") + (F.col("m") - 1) / (2 * F.col("t"))) / math.log(classes)))
-    same = F.col("label") == F.col("lm_label")
-    gaps = near.groupBy("landmark").agg(F.avg(F.when(same, F.col("d"))).alias("intra"), F.avg(F.when(~same, F.col("d"))).alias("inter"), F.avg("d").alias("every"), F.percentile("d", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     gaps = gaps.withColumn("intra", F.coalesce("intra", "every")).withColumn("inter", F.coalesce("inter", "intra"))
     delta = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("inter") - F.col("intra")) / F.greatest(F.lit(1e-9), F.col("q")[1] - F.col("q")[0])))
-    return entropy.join(gaps, "landmark").select("landmark", F.round(alpha * nc + (1 - alpha) * delta, 6).alias("lnc"))
+    return gaps.select("landmark", F.round(alpha * nc + (1 - alpha) * delta, 6).alias("lnc"))
 
 
 def _distances(f: MixedFrame) -> tuple[DataFrame, list, list[int]]:

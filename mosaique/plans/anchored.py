@@ -98,12 +98,13 @@ def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int =
     return out
 
 
-def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, skip_lnc: bool = False) -> tuple[Trial, list[Trial]]:
-    """Best composite score, and all trials. Algorithms whose mean over the first and last k is worse than the best one's by
+def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, skip_lnc: bool = False, made: list[Trial] | None = None) -> tuple[Trial, list[Trial]]:
+    """Best composite score, and all trials; those already ``made`` with the same parameters are only scored. Algorithms whose mean over the first and last k is worse than the best one's by
     ``screen`` are not tried on the other numbers of clusters. Equal scores go by :func:`best_of`."""
 
     def scored(names: tuple[str, ...], some: list[int]) -> list[Trial]:
-        found = trials_of(f, names, some, seed, known, full_rows)
+        # What is made is all that could be made.
+        found = trials_of(f, names, some, seed, known, full_rows) if made is None else [t for t in made if t.algorithm in names and t.k in some]
         for t in found:
             g = labelled(f, t.labels)
             t.score = composite_score(g, c, weight, topk, seed, skip_lnc)
@@ -126,13 +127,15 @@ def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ..
     found = trials_of(f, algorithms, ks, seed, known, full_rows)
     for t in found:
         g = labelled(f, t.labels, some)
+        g.n  # noqa: B018  the statistics of all columns, counted once
         t.anchored, t.overall = consistency(g, [c for c in anchors if c in f.num + f.cat], seed=seed), consistency(g, f.num + f.cat, seed=seed)
+        g.df.unpersist()
     good = [t for t in found if t.anchored >= anchor_least and not t.overall < overall_least]
     if good:
         best = max(good, key=lambda t: (t.anchored, -t.k))
         best.by_anchor, best.score = True, best.anchored
         return best, found
-    return search(f, algorithms, ks, seed=seed, known=known, full_rows=full_rows, **how)[0], found
+    return search(f, algorithms, ks, seed=seed, known=known, full_rows=full_rows, made=found, **how)[0], found
 
 
 def choose(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...], ks: range, anchor_least: float, overall_least: float, c: float, weight: float, topk: int, seed: int, known: DataFrame | None = None, full_rows: int = 10_000, skip_lnc: bool = False) -> tuple[Trial, list[Trial]]:

@@ -77,3 +77,46 @@ def test_landmark_scores_of_odd_rows(spark):
     fine = ~df.index.isin([3, 4])
     assert np.allclose(got["s"][fine], want[fine], atol=1e-12)
     assert f.clean.agg(F.count(F.lit(1))).first()[0] == len(got)
+
+
+def brute(df: pd.DataFrame, marks: pd.DataFrame, num: list[str], cat: list[str], stats: dict, k: int) -> list[tuple]:
+    d = np.round(gower_block(marks, df, num, cat, stats), 9)
+    out = []
+    for i, m in enumerate(marks["k"]):
+        near = pd.DataFrame({"key": df["k"], "label": df["label"], "d": d[i]})[(df["k"] != m).to_numpy()].sort_values(["d", "key"]).head(k)
+        out += [(m, *r) for r in near.itertuples(index=False)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("num", "cat"), [(NUM, CAT), (["y"], []), ([], CAT), ([], [])])
+def test_neighbours_are_those_of_all_pairs_and_of_equals_the_smallest_keys(spark, num, cat):
+    df = rows(3000, 1).sample(frac=1, random_state=1)
+    f = MixedFrame(spark.createDataFrame(df), "k", NUM, CAT, "label").select([*num, *cat])
+    marks = landmarks.stratified(f.clean, "k", "label", 100, 3)
+    got = metrics.neighbours(f, marks, 20).select("landmark", "key", "label", "d").collect()
+    assert sorted(map(tuple, got)) == brute(df, marks.toPandas(), num, cat, f.stats, 20)
+
+
+def test_rows_of_equal_values_are_few_in_each_task():
+    x = np.tile(np.arange(50.0), 2000)
+    first = nearest.first_of_equals(nearest.Points([x], []), 51)
+    assert len(first) == 50 * 51 and first.max() < 50 * 51
+
+
+def test_neighbours_are_sought_once_for_a_consistency(spark, monkeypatch):
+    f = MixedFrame(spark.createDataFrame(rows(500, 1)), "k", NUM, CAT, "label")
+    got = metrics.lnc_star(f, landmarks.stratified(f.clean, "k", "label", 40, 3), 10, 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_fallback_of_the_anchored_search_makes_no_clustering_twice(spark, monkeypatch):
+    from mosaique.plans import anchored
+
+    f, made = MixedFrame(spark.createDataFrame(rows(300, 1).drop(columns="label")), "k", NUM, CAT), []
+    plain = anchored.CLUSTERERS["kprototypes"]
+    monkeypatch.setitem(anchored.CLUSTERERS, "kprototypes", lambda f, k, seed: made.append(k) or plain(f, k, seed))
+    best, tried = anchored.anchored_search(f, ["x"], ks=range(2, 4), anchor_least=2.0)
+    assert not best.by_anchor and made == [2, 3] and len(tried) == 2
+    again = anchored.search(f, ks=range(2, 4))[0]
+    assert (again.k, again.score) == (best.k, pytest.approx(best.score, abs=1e-9))
