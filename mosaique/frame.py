@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -31,6 +32,12 @@ def hash_order(seed: int, *keys: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
 
 
+def spread(df: DataFrame, key: str, n: int, rows: int = 1 << 18) -> DataFrame:
+    """The ``n`` rows in tasks of about ``rows`` rows, and no fewer tasks than run at once, however few splits a file has; small
+    tables as they lie."""
+    return df if n <= 20_000 else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / rows)), key)
+
+
 @dataclass
 class MixedFrame:
     df: DataFrame

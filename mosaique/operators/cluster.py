@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import MixedFrame, hash_order
+from ..frame import MixedFrame, hash_order, spread
 from .features import standard
 from .ordered import column_quantiles
 
@@ -37,7 +37,7 @@ def k_prototypes(f: MixedFrame, k: int, gamma: float | None = None, seed: int =
     """
     check_k(k, f.n)
     plain = standard(f.clean, f.num) if f.num and scale else f.clean
-    rows = plain.persist()
+    rows = spread(plain, f.key, f.n).persist()
     gamma = gamma if gamma is not None else (0.5 if f.num else 1.0)
     best: tuple[float, list[dict]] = (math.inf, [])
     for start in range(starts):
@@ -87,11 +87,12 @@ def k_prototypes_on_sample(f: MixedFrame, k: int, rows: int = 6000, seed: int =
     return assign(f, scaled, prototypes, gamma).select(f.key, "cluster")
 
 
-def derived(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Labels of ``k`` clusters from others: as they are, or the smallest merged, or the largest split."""
+def derived(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42, steps: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Labels of ``k`` clusters from others: as they are, or the smallest merged, or the largest split. ``steps`` holds what the
+    splits of the same labels gave so far, by number of clusters, and is added to."""
     sizes = {r["cluster"]: r["count"] for r in labels.groupBy("cluster").count().collect()}
     if len(sizes) < k:
-        return split_to(f, labels, k, seed)
+        return split_to(f, labels, k, seed, steps)
     if len(sizes) == k:
         return labels
     to = F.create_map(*[F.lit(x) for pair in merge_to(sizes, k).items() for x in pair])
@@ -189,9 +190,13 @@ def balanced(f: MixedFrame, k: int, least: float = 0.02, retries: int = 3, seed:
     return best[1]
 
 
-def split_to(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42) -> DataFrame:
+def split_to(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42, steps: dict[int, DataFrame] | None = None) -> DataFrame:
     """Splits the largest cluster (of equals the first) in two, again and again, until there are k; clusters below 4 rows,
-    and those whose rows are all alike, stay whole."""
+    and those whose rows are all alike, stay whole. A split only depends on the labels before it, so that more clusters go on
+    from the ``steps`` of fewer."""
+    steps = {} if steps is None else steps
+    done = [n for n in steps if n <= k]
+    labels = steps[max(done)] if done else labels
     while True:
         sizes = {r["cluster"]: r["count"] for r in labels.groupBy("cluster").count().collect()}
         if len(sizes) >= k:
@@ -206,6 +211,7 @@ def split_to(f: MixedFrame, labels: DataFrame, k: int, seed: int = 42) -> DataFr
             return labels
         new = max(sizes) + 1
         labels = labels.join(halves, f.key, "left").select(f.key, F.when(F.col("_half") == 1, F.lit(new)).otherwise(F.col("cluster")).alias("cluster")).persist()
+        steps[len(sizes) + 1] = labels
 
 
 def propagate(f: MixedFrame, known: DataFrame, label: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import MixedFrame
+from ..frame import MixedFrame, spread
 from ..functions import nearest
 from ..functions.gower import gower_block
 from .landmarks import dealt, label_sizes, landmark_count, stratified
@@ -62,14 +62,6 @@ def _landmark_silhouette(g: np.ndarray, label: np.ndarray, order: list) -> np.nd
         return np.clip(np.where(np.isfinite(top) & (top > EPS), (b - a) / np.where(top > EPS, top, 1), 0.0), -1, 1)
 
 
-def spread(f: MixedFrame, rows: int) -> DataFrame:
-    """The frame's clean rows in tasks of about ``rows`` rows, and no fewer tasks than run at once; small tables as they lie."""
-    n = f.n
-    if n <= 20_000:
-        return f.clean
-    return f.clean.repartition(max(f.df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / rows)), f.key)
-
-
 def _nearest_scores(f: MixedFrame, marks: pd.DataFrame, order: list, k: int) -> DataFrame:
     """Scores by the ``k`` nearest landmarks of each label: rows are put in boxes, which leave out the landmarks that are too far."""
     num, cat, key, scale = f.num, f.cat, f.key, [f.stats[c][2] for c in f.num]
@@ -94,7 +86,7 @@ def _nearest_scores(f: MixedFrame, marks: pd.DataFrame, order: list, k: int) ->
                 text = pa.array(np.where(mine < 0, label.to_pandas().astype(str), text.to_numpy(False)), pa.string())
             yield from pa.table({"key": table.column(key).cast(pa.int64()), "label": text, "s": pa.array(s)}).to_batches(10_000)
 
-    return spread(f, 1 << 18).mapInArrow(run, "key long, label string, s double")
+    return spread(f.clean, f.key, f.n).mapInArrow(run, "key long, label string, s double")
 
 
 def landmark_scores(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k: int = 3) -> DataFrame:
@@ -156,8 +148,8 @@ def landmark_scores(f: MixedFrame, landmarks: DataFrame, mode: str = "topk", k:
     return every.groupBy("key", "label").agg(F.collect_list("d").alias("d")).mapInPandas(merge, "key long, label string, s double")
 
 
-def landmarks_of(f: MixedFrame, c: float = 3.0, seed: int = 42) -> DataFrame:
-    known = label_sizes(f.clean, "label")
+def landmarks_of(f: MixedFrame, c: float = 3.0, seed: int = 42, known: dict | None = None) -> DataFrame:
+    known = label_sizes(f.clean, "label") if known is None else known
     return stratified(f.clean, f.key, "label", landmark_count(sum(known.values()), len(known), c), 3, seed, known)
 
 
@@ -232,7 +224,7 @@ def _nearest_rows(f: MixedFrame, marks: pd.DataFrame, k: int) -> DataFrame:
             yield from pa.Table.from_pandas(best, kind, preserve_index=False).to_batches(10_000)
 
     values = nearest.values_of(marks, cat)
-    return spread(f, 1 << 19).mapInArrow(run, "landmark long, lm_label string, key long, label string, d double")
+    return spread(f.clean, f.key, f.n, 1 << 19).mapInArrow(run, "landmark long, lm_label string, key long, label string, d double")
 
 
 def vector_neighbours(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:

@@ -39,14 +39,15 @@ def labelled(f: MixedFrame, labels: DataFrame, rows: DataFrame | None = None) ->
     return MixedFrame(base.join(labels.withColumnRenamed("cluster", "_cluster"), f.key).persist(), f.key, f.num, f.cat, "_cluster")
 
 
-def consistency(f: MixedFrame, columns: list[str], c: float = 3.0, k: int = 50, seed: int = 42) -> float:
-    """Mean neighbour consistency of a labelled frame in the space of ``columns``; NaN for a single label or no column."""
+def consistency(f: MixedFrame, columns: list[str], c: float = 3.0, k: int = 50, seed: int = 42, known: dict | None = None) -> float:
+    """Mean neighbour consistency of a labelled frame in the space of ``columns``; NaN for a single label or no column. ``known``
+    has the labels' sizes, if they are; no label is null then."""
     g = f.select(columns)
-    classes = g.clean.select("label").distinct().count()
+    classes = g.clean.select("label").distinct().count() if known is None else len(known)
     if classes < 2 or not (g.num or g.cat):
         return math.nan
     m = max(30, min(int(c * math.sqrt(g.n)), 3000, g.n - 1))
-    marks = landmarks.stratified(g.clean, g.key, "label", m, 3, seed)
+    marks = landmarks.stratified(g.clean, g.key, "label", m, 3, seed, known)
     k = min(max(k, 5), max(5, g.n - 1))
     got = metrics.lnc_star(g, marks, k, classes).agg(F.avg("lnc")).first()[0]
     return math.nan if got is None else got
@@ -54,10 +55,11 @@ def consistency(f: MixedFrame, columns: list[str], c: float = 3.0, k: int = 50,
 
 def composite_score(f: MixedFrame, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42, skip_lnc: bool = False) -> float:
     """Landmark silhouette and neighbour consistency of a labelled frame as one score; ``skip_lnc`` leaves the latter out."""
-    sizes = [r["count"] for r in f.df.groupBy(f.label).count().collect()]
-    ss = metrics.landmark_scores(f, metrics.landmarks_of(f, c, seed), k=topk).agg(F.avg("s")).first()[0]
-    lnc = math.nan if skip_lnc else consistency(f, f.num + f.cat, c, metrics.default_k(f.n), seed)
-    return metrics.composite(sizes, ss, lnc, weight)
+    sizes = {r[0]: r["count"] for r in f.df.groupBy(f.label).count().collect()}
+    known = None if None in sizes else sizes
+    ss = metrics.landmark_scores(f, metrics.landmarks_of(f, c, seed, known), k=topk).agg(F.avg("s")).first()[0]
+    lnc = math.nan if skip_lnc else consistency(f, f.num + f.cat, c, metrics.default_k(f.n), seed, known)
+    return metrics.composite(list(sizes.values()), ss, lnc, weight)
 
 
 def rank_trials(trials: DataFrame) -> DataFrame:
@@ -77,18 +79,18 @@ def best_of(f: MixedFrame, trials: list[Trial]) -> Trial:
     return min(equal, key=lambda t: (low(t.dbi), -t.chi if not math.isnan(t.chi) else math.inf, t.k))
 
 
-def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000) -> list[Trial]:
+def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, steps: dict[int, DataFrame] | None = None) -> list[Trial]:
     """A clustering for each algorithm and k; those that fail for the data's sake, or have one cluster, are left out.
 
     k-prototypes goes over all rows of a table of up to ``full_rows``; of a larger one it derives its labels from ``known``
-    ones by merging and splitting, or without these takes prototypes of a sample.
+    ones by merging and splitting (from ``steps`` that are done already), or without these takes prototypes of a sample.
     """
-    out = []
+    out, steps = [], {} if steps is None else steps
     for name in algorithms:
         for k in ks:
             try:
                 if name == "kprototypes" and f.n > full_rows:
-                    labels = (cluster.derived(f, known, k, seed) if known is not None else cluster.k_prototypes_on_sample(f, k, seed=seed)).persist()
+                    labels = (cluster.derived(f, known, k, seed, steps) if known is not None else cluster.k_prototypes_on_sample(f, k, seed=seed)).persist()
                 else:
                     labels = CLUSTERERS[name](f, k, seed).persist()
             except ValueError:
@@ -102,11 +104,14 @@ def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: ra
     """Best composite score, and all trials; those already ``made`` with the same parameters are only scored. Algorithms whose mean over the first and last k is worse than the best one's by
     ``screen`` are not tried on the other numbers of clusters. Equal scores go by :func:`best_of`."""
 
+    steps: dict[int, DataFrame] = {}
+
     def scored(names: tuple[str, ...], some: list[int]) -> list[Trial]:
         # What is made is all that could be made.
-        found = trials_of(f, names, some, seed, known, full_rows) if made is None else [t for t in made if t.algorithm in names and t.k in some]
+        found = trials_of(f, names, some, seed, known, full_rows, steps) if made is None else [t for t in made if t.algorithm in names and t.k in some]
         for t in found:
             g = labelled(f, t.labels)
+            g.__dict__["stats"] = f.stats  # of the same rows
             t.score = composite_score(g, c, weight, topk, seed, skip_lnc)
             g.df.unpersist()
         return found

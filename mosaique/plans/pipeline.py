@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import MixedFrame, infer_id, split_types
+from ..frame import MixedFrame, infer_id, split_types, spread
 from ..operators import clean, cluster, metrics, profile, redundancy, reward, search
 from ..sources import artifacts
 from . import anchored
@@ -153,7 +153,7 @@ def prepare(df: DataFrame, key: str | None = None, label: str | None = None, par
     kept, gone, cast = clean.apply_dqc(features, report, p.categorical)
     num, cat = split_types(kept)
     whole, _, _ = clean.apply_dqc(df.select(F.col(key).cast("long").alias(key), *kept.columns), report, p.categorical)
-    ready = clean.impute(whole.select(key, *num, *cat), num, cat).persist()
+    ready = spread(clean.impute(whole.select(key, *num, *cat), num, cat), key, whole.count()).persist()
     p = params or auto_params(ready.drop(key))
     found = hint(p, k, df.select(label) if label else None)
     return Prepared(MixedFrame(ready, key, num, cat), p, report, gone, cast, found)

@@ -120,3 +120,29 @@ def test_fallback_of_the_anchored_search_makes_no_clustering_twice(spark, monkey
     assert not best.by_anchor and made == [2, 3] and len(tried) == 2
     again = anchored.search(f, ks=range(2, 4))[0]
     assert (again.k, again.score) == (best.k, pytest.approx(best.score, abs=1e-9))
+
+
+def test_splits_go_on_from_those_of_fewer_clusters(spark, monkeypatch):
+    from mosaique.operators import cluster
+    from mosaique.plans import anchored
+
+    df = rows(400, 1).drop(columns="label")
+    f = MixedFrame(spark.createDataFrame(df), "k", NUM, CAT)
+    two, calls = cluster.k_prototypes(f, 2, starts=1)[0].persist(), []
+    want = {k: {tuple(r) for r in cluster.derived(f, two, k).collect()} for k in (3, 4, 5)}
+    plain = cluster.k_prototypes
+    monkeypatch.setattr(cluster, "k_prototypes", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    steps = {}
+    got = {k: {tuple(r) for r in cluster.derived(f, two, k, 42, steps).collect()} for k in (5, 3, 4)}
+    assert got == want and len(calls) == 3
+    calls.clear()
+    anchored.search(f, ks=range(2, 6), known=two, full_rows=100, screen=9.0)
+    assert len(calls) == 3
+
+
+def test_rows_of_one_split_go_to_all_tasks(spark):
+    from mosaique.frame import spread
+
+    df = spark.range(0, 30_000, 1, 1)
+    assert spread(df, "id", 30_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(df, "id", 30_000, 1000).rdd.getNumPartitions() == 30 and spread(df, "id", 20_000) is df
