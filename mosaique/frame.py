@@ -63,6 +63,11 @@ class MixedFrame:
     def n(self) -> int:
         return self.stats["n"]
 
+    @cached_property
+    def fits(self) -> dict:
+        """Clusterings that were fitted to these rows and columns, by their parameters; another selection begins anew."""
+        return {}
+
     @cached_property
     def stats(self) -> dict:
         """Row count, and per numeric column least, greatest and 1 / range; one pass, one row."""

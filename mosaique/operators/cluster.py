@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,30 +37,142 @@ def k_prototypes(f: MixedFrame, k: int, gamma: float | None = None, seed: int =
     rows back. ``scale`` says whether the numbers are yet to be standardised.
     """
     check_k(k, f.n)
-    plain = standard(f.clean, f.num) if f.num and scale else f.clean
-    rows = spread(plain, f.key, f.n).persist()
-    gamma = gamma if gamma is not None else (0.5 if f.num else 1.0)
-    best: tuple[float, list[dict]] = (math.inf, [])
-    for start in range(starts):
-        pool = [r.asDict() for r in rows.orderBy(hash_order(seed + start, f.key)).limit(max(50, 10 * k)).collect()]
-        cost = lambda a, b: sum((a[c] - b[c]) ** 2 for c in f.num) + gamma * sum(a[c] != b[c] for c in f.cat)
-        chosen = [pool[0]]
-        while len(chosen) < k:
-            chosen.append(max(pool, key=lambda r: min(cost(r, p) for p in chosen)))
-        total = math.inf
-        for _ in range(rounds):
-            got = {r["cluster"]: r.asDict() for r in update(f, assign(f, rows, chosen, gamma)).collect()}
-            now = sum(r["cost"] for r in got.values())
-            if now < best[0]:
-                best = (now, list(chosen))
-            chosen = [got.get(i, chosen[i]) for i in range(k)]
-            if total - now <= 1e-9 * max(1.0, abs(now)):
-                break
-            total = now
+    plain, rows, gamma = _scaled(f, gamma, scale)
+    step = lambda fits: [{r["cluster"]: r.asDict() for r in update(f, assign(f, rows, p, gamma)).collect()} for p in fits]
+    best = min((_descend(step, [_first(f, _pool(f, rows, k, seed + start), k, gamma)], rounds)[0] for start in range(starts)), key=lambda b: b[0])
     rows.unpersist()
     return assign(f, plain, best[1], gamma).select(f.key, "cluster"), best[1], best[0]
 
 
+def k_prototypes_of(f: MixedFrame, ks: Iterable[int], seed: int = 42, rounds: int = 20) -> dict[int, DataFrame]:
+    """Labels (key, cluster) for each of ``ks``, of one start on all rows as :func:`k_prototypes` makes them; the fits go on
+    together, so that a round of all is one job. The frame keeps what was fitted, and is not fitted to it again."""
+    done = f.fits
+    new = sorted({check_k(k, f.n) for k in ks if (k, seed, rounds) not in done})
+    if new:
+        plain, rows, gamma = _scaled(f)
+        pool = _pool(f, rows, new[-1], seed)
+        best = _descend(lambda fits: _updates(f, rows, fits, gamma), [_first(f, pool[: _pool_size(k)], k, gamma) for k in new], rounds)
+        rows.unpersist()
+        done |= {(k, seed, rounds): assign(f, plain, p, gamma).select(f.key, "cluster") for k, (_, p) in zip(new, best, strict=True)}
+    return {k: done[k, seed, rounds] for k in ks}
+
+
+def _scaled(f: MixedFrame, gamma: float | None = None, scale: bool = True) -> tuple[DataFrame, DataFrame, float]:
+    """Standardised rows, the same spread and cached, and gamma."""
+    plain = standard(f.clean, f.num) if f.num and scale else f.clean
+    return plain, spread(plain, f.key, f.n).persist(), gamma if gamma is not None else (0.5 if f.num else 1.0)
+
+
+def _pool_size(k: int) -> int:
+    return max(50, 10 * k)
+
+
+def _pool(f: MixedFrame, rows: DataFrame, k: int, seed: int) -> list[dict]:
+    """The rows of smallest hash that a start is picked from."""
+    return [r.asDict() for r in rows.orderBy(hash_order(seed, f.key)).limit(_pool_size(k)).collect()]
+
+
+def _first(f: MixedFrame, pool: list[dict], k: int, gamma: float) -> list[dict]:
+    """A start: rows of the pool, each the farthest from those before it."""
+    cost = lambda a, b: sum((a[c] - b[c]) ** 2 for c in f.num) + gamma * sum(a[c] != b[c] for c in f.cat)
+    chosen = [pool[0]]
+    while len(chosen) < k:
+        chosen.append(max(pool, key=lambda r: min(cost(r, p) for p in chosen)))
+    return chosen
+
+
+def _descend(step: Callable[[list[list[dict]]], list[dict[int, dict]]], fits: list[list[dict]], rounds: int) -> list[tuple[float, list[dict]]]:
+    """Cost and prototypes of each fit's best round. ``step`` gives each fit's new prototypes by cluster, with their costs; a fit
+    that gains no more leaves the rounds."""
+    best, total, left = [(math.inf, [])] * len(fits), [math.inf] * len(fits), list(range(len(fits)))
+    for _ in range(rounds):
+        still = []
+        for i, got in zip(left, step([fits[i] for i in left]), strict=True):
+            now = sum(r["cost"] for r in got.values())
+            if now < best[i][0]:
+                best[i] = (now, fits[i])
+            fits[i] = [got.get(j, p) for j, p in enumerate(fits[i])]
+            if not total[i] - now <= 1e-9 * max(1.0, abs(now)):
+                still.append(i)
+            total[i] = now
+        left = still
+        if not left:
+            break
+    return best
+
+
+def _updates(f: MixedFrame, rows: DataFrame, fits: list[list[dict]], gamma: float, block: int = 1 << 16) -> list[dict[int, dict]]:
+    """What :func:`assign` and :func:`update` give for several lists of prototypes, by one pass over the rows: tasks pass on sums
+    of numbers and counts of values for each block of rows, of which the sums and modes are made by two aggregates."""
+    import numpy as np
+    import pyarrow as pa
+
+    num, cat = f.num, f.cat
+    kind = "fit int, cluster int, col int, value string, n long, s double"
+
+    def part(rows: pa.Table) -> Iterator[tuple]:
+        x = [rows.column(c).to_numpy() for c in num]
+        coded = [rows.column(c).combine_chunks().dictionary_encode() for c in cat]
+        codes, values = [c.indices.to_numpy() for c in coded], [c.dictionary for c in coded]
+        place = [{v: i for i, v in enumerate(v.to_pylist())} for v in values]
+        for fit, prototypes in enumerate(fits):
+            least, nearest = np.full(rows.num_rows, np.nan), np.zeros(rows.num_rows, np.int64)
+            for j, p in enumerate(prototypes):
+                cost, differ = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
+                for c, v in zip(num, x, strict=True):
+                    cost += (v - p[c]) ** 2
+                for c, v, at in zip(cat, codes, place, strict=True):
+                    differ += v != at.get(p[c], -1)
+                cost += gamma * differ
+                # NaN is the greatest, as in Spark.
+                better = (cost < least) | (np.isnan(least) & ~np.isnan(cost))
+                least[better], nearest[better] = cost[better], j
+            k = len(prototypes)
+            n = np.bincount(nearest, minlength=k)
+            here = np.nonzero(n)[0]
+            for col, w in enumerate([least, *x]):
+                yield fit, here, col, None, n[here], np.bincount(nearest, w, k)[here]
+            for col, (v, names) in enumerate(zip(codes, values, strict=True), 1 + len(num)):
+                counts = np.bincount(nearest * len(names) + v, minlength=k * len(names))
+                some = np.nonzero(counts)[0]
+                yield fit, some // len(names), col, names.take(pa.array(some % len(names))), counts[some], np.zeros(len(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _blocks(batches, block):
+            for fit, cluster, col, value, n, s in part(some):
+                size, i32 = len(cluster), pa.int32()
+                value = pa.nulls(size, pa.string()) if value is None else value.cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, fit), i32), pa.array(cluster, i32), pa.array(np.full(size, col), i32), value, pa.array(n, pa.int64()), pa.array(s, pa.float64())], ["fit", "cluster", "col", "value", "n", "s"])
+
+    sums = rows.select(*num, *cat).mapInArrow(run, kind).groupBy("fit", "cluster", "col", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    got = sums.groupBy("fit", "cluster", "col").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    out: list[dict[int, dict]] = [{} for _ in fits]
+    for r in got:
+        to = out[r["fit"]].setdefault(r["cluster"], {"cluster": r["cluster"], "n": r["n"]})
+        if r["col"] == 0:
+            to["cost"] = r["s"]
+        elif r["col"] <= len(num):
+            to[num[r["col"] - 1]] = r["s"] / r["n"]
+        else:
+            to[cat[r["col"] - 1 - len(num)]] = r["top"]["value"]
+    return out
+
+
+def _blocks(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches as tables of about ``rows`` rows."""
+    import pyarrow as pa
+
+    held = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if any(h.num_rows for h in held):
+        yield pa.Table.from_batches(held)
+
+
 def estimate_gamma(f: MixedFrame, scale: float = 1.0) -> float:
     """The weight of a mismatch against numbers as they are: their mean deviation, times ``scale``; 1 without numbers."""
     if not f.num:

@@ -13,7 +13,7 @@ from ..frame import MixedFrame
 from ..operators import cluster, kamila, landmarks, metrics
 
 CLUSTERERS: dict[str, Callable[[MixedFrame, int, int], DataFrame]] = {
-    "kprototypes": lambda f, k, seed: cluster.k_prototypes(f, k, seed=seed, starts=1)[0],
+    "kprototypes": lambda f, k, seed: cluster.k_prototypes_of(f, [k], seed)[k],
     "auto": lambda f, k, seed: cluster.balanced(f, k, seed=seed),
     "hac_landmark": lambda f, k, seed: cluster.hac(f, k, seed=seed),
     "kamila": lambda f, k, seed: kamila.kamila(f, k, 2, seed=seed)[0] if f.num and f.cat else cluster.k_prototypes(f, k, seed=seed, starts=1)[0],
@@ -82,17 +82,17 @@ def best_of(f: MixedFrame, trials: list[Trial]) -> Trial:
 def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, steps: dict[int, DataFrame] | None = None) -> list[Trial]:
     """A clustering for each algorithm and k; those that fail for the data's sake, or have one cluster, are left out.
 
-    k-prototypes goes over all rows of a table of up to ``full_rows``; of a larger one it derives its labels from ``known``
-    ones by merging and splitting (from ``steps`` that are done already), or without these takes prototypes of a sample.
+    k-prototypes is fitted to all rows. Where labels are ``known``, it goes over tables of up to ``full_rows``; of a larger one it
+    derives its labels from the known ones by merging and splitting (from ``steps`` that are done already).
     """
     out, steps = [], {} if steps is None else steps
+    derive = known is not None and f.n > full_rows
+    if "kprototypes" in algorithms and not derive:
+        cluster.k_prototypes_of(f, [k for k in ks if 2 <= k <= f.n], seed)
     for name in algorithms:
         for k in ks:
             try:
-                if name == "kprototypes" and f.n > full_rows:
-                    labels = (cluster.derived(f, known, k, seed, steps) if known is not None else cluster.k_prototypes_on_sample(f, k, seed=seed)).persist()
-                else:
-                    labels = CLUSTERERS[name](f, k, seed).persist()
+                labels = (cluster.derived(f, known, k, seed, steps) if derive and name == "kprototypes" else CLUSTERERS[name](f, k, seed)).persist()
             except ValueError:
                 continue
             if labels.select("cluster").distinct().count() > 1:
