@@ -79,14 +79,14 @@ def best_of(f: MixedFrame, trials: list[Trial]) -> Trial:
     return min(equal, key=lambda t: (low(t.dbi), -t.chi if not math.isnan(t.chi) else math.inf, t.k))
 
 
-def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, steps: dict[int, DataFrame] | None = None) -> list[Trial]:
+def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int = 42, known: DataFrame | None = None, full_rows: int | None = None, steps: dict[int, DataFrame] | None = None) -> list[Trial]:
     """A clustering for each algorithm and k; those that fail for the data's sake, or have one cluster, are left out.
 
-    k-prototypes is fitted to all rows. Where labels are ``known``, it goes over tables of up to ``full_rows``; of a larger one it
-    derives its labels from the known ones by merging and splitting (from ``steps`` that are done already).
+    k-prototypes is fitted to all rows, whatever their number. Only for a caller who gives ``known`` labels and ``full_rows`` are
+    those of more rows derived from the known ones instead, by merging and splitting (from ``steps`` that are done already).
     """
     out, steps = [], {} if steps is None else steps
-    derive = known is not None and f.n > full_rows
+    derive = known is not None and full_rows is not None and f.n > full_rows
     if "kprototypes" in algorithms and not derive:
         cluster.k_prototypes_of(f, [k for k in ks if 2 <= k <= f.n], seed)
     for name in algorithms:
@@ -100,7 +100,7 @@ def trials_of(f: MixedFrame, algorithms: tuple[str, ...], ks: range, seed: int =
     return out
 
 
-def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, skip_lnc: bool = False, made: list[Trial] | None = None) -> tuple[Trial, list[Trial]]:
+def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), screen: float = 0.15, c: float = 3.0, weight: float = 0.6, topk: int = 3, seed: int = 42, known: DataFrame | None = None, full_rows: int | None = None, skip_lnc: bool = False, made: list[Trial] | None = None) -> tuple[Trial, list[Trial]]:
     """Best composite score, and all trials; those already ``made`` with the same parameters are only scored. Algorithms whose mean over the first and last k is worse than the best one's by
     ``screen`` are not tried on the other numbers of clusters. Equal scores go by :func:`best_of`."""
 
@@ -125,7 +125,7 @@ def search(f: MixedFrame, algorithms: tuple[str, ...] = ("kprototypes",), ks: ra
     return best_of(f, every), every
 
 
-def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), anchor_least: float = 0.5, overall_least: float = 0.5, rows: int | None = None, seed: int = 42, known: DataFrame | None = None, full_rows: int = 10_000, **how) -> tuple[Trial, list[Trial]]:
+def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...] = ("kprototypes",), ks: range = range(2, 6), anchor_least: float = 0.5, overall_least: float = 0.5, rows: int | None = None, seed: int = 42, known: DataFrame | None = None, full_rows: int | None = None, **how) -> tuple[Trial, list[Trial]]:
     """Greatest consistency in the anchors' space among clusterings that are consistent enough there and over all columns;
     where none is, the choice by composite score. Consistency is measured on all rows, or on ``rows`` of smallest hash."""
     some = None if rows is None else landmarks.sample(f.clean.drop("label"), f.key, rows, seed).persist()
@@ -143,7 +143,7 @@ def anchored_search(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ..
     return search(f, algorithms, ks, seed=seed, known=known, full_rows=full_rows, made=found, **how)[0], found
 
 
-def choose(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...], ks: range, anchor_least: float, overall_least: float, c: float, weight: float, topk: int, seed: int, known: DataFrame | None = None, full_rows: int = 10_000, skip_lnc: bool = False) -> tuple[Trial, list[Trial]]:
+def choose(f: MixedFrame, anchors: list[str], algorithms: tuple[str, ...], ks: range, anchor_least: float, overall_least: float, c: float, weight: float, topk: int, seed: int, known: DataFrame | None = None, full_rows: int | None = None, skip_lnc: bool = False) -> tuple[Trial, list[Trial]]:
     """By anchors where there are any among the columns, else by composite score."""
     how = {"c": c, "weight": weight, "topk": topk, "seed": seed, "known": known, "full_rows": full_rows, "skip_lnc": skip_lnc}
     here = [a for a in anchors if a in f.num + f.cat]

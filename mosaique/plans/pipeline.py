@@ -47,7 +47,7 @@ class Params:
     recluster: bool = False
     phase_b_subsets: int = 1
     phase_b_skip_lnc: bool = False
-    full_rows: int = 10_000
+    full_rows: int | None = None
     sc_retries: int = 3
     disguised: str = "warn"
     categorical: tuple[str, ...] = ()

@@ -263,3 +263,14 @@ def test_fits_that_go_on_together_are_those_made_alone(spark, monkeypatch):
     rows.unpersist()
     monkeypatch.setattr(cluster, "_updates", None)
     assert set(cluster.k_prototypes_of(f, [4, 2], seed=7)) == {2, 4}
+
+
+def test_pipeline_fits_all_numbers_of_clusters_whatever_the_rows(spark):
+    from mosaique.plans.pipeline import Params, run_pipeline
+
+    f = table(spark, 10_500)
+    f.df = f.df.fillna({"y": 5.0, "c": "c9"}).persist()
+    out = run_pipeline(f.df, "k", params=Params(c_min=3, c_max=4, n_clusters=2, sa_iters=1, mab_T=2, sc_retries=0))
+    assert [t["k"] for t in out["trials"]] == [3, 4]
+    assert rows_of(out["assignments"]) == rows_of(cluster.k_prototypes(f.select(out["best_columns"]), out["best_K"], starts=1)[0])
+    f.df.unpersist()
